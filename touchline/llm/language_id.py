@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import bounded_sample, bucket, column_bytes, pieces
 
-SAMPLE, BUCKETS, WIDTH = 4000, 8192, 16
+SAMPLE, BUCKETS, WIDTH = 3000, 4096, 16
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 #: Share of wrong labels among accepted rows that calibration allows.
 WRONG = 0.005
