@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import line_dedup, warc
+from touchline.llm import line_dedup, ngram_join, warc
 from touchline.llm.decontamination import contaminated
 from touchline.llm.language_id import language_id
 from touchline.llm.packing import best_fit_packing
@@ -42,6 +42,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -54,5 +58,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_quality_model, op4_warc_round_trip, op7_secret_scan, op8_best_fit_packing, op9_line_dedup, op10_decontamination)}
-ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_quality_model, op4_warc_round_trip, op5_ngram_join, op7_secret_scan, op8_best_fit_packing, op9_line_dedup, op10_decontamination)}
+ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
