@@ -11,6 +11,7 @@ from touchline.llm import line_dedup, ngram_join, warc
 from touchline.llm.decontamination import contaminated
 from touchline.llm.language_id import language_id
 from touchline.llm.packing import best_fit_packing
+from touchline.llm.passages import repeated_passages
 from touchline.llm.quality_model import quality_scores
 from touchline.llm.quality_rules import quality_rules
 from touchline.llm.secrets import secret_digest
@@ -32,6 +33,11 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("spans")
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", spans, "other_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -58,5 +64,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_quality_model, op4_warc_round_trip, op5_ngram_join, op7_secret_scan, op8_best_fit_packing, op9_line_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_quality_model, op4_warc_round_trip, op5_ngram_join, op6_repeated_passages, op7_secret_scan, op8_best_fit_packing, op9_line_dedup, op10_decontamination)}
 ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
