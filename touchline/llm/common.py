@@ -95,3 +95,14 @@ def bucket(column: F.Column, n: int) -> F.Column:
 def bounded_sample(keys: DataFrame, column: str, most: int) -> DataFrame:
     """At most that many rows of keys, the same ones on every run, chosen by a hash of column."""
     return keys.orderBy(F.xxhash64(F.col(column), F.lit(17)), F.col(column)).limit(most)
+
+
+#: Ids that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't among ids; rows with a null id stay."""
+    ids = staged(ids.select(F.col(column).alias("__gone")).where(F.col("__gone").isNotNull()).distinct())
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs[column] == ids["__gone"], "left_anti")

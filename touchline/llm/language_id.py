@@ -145,3 +145,19 @@ def language_id(docs: DataFrame, sample: int = SAMPLE, model: LanguageModel | No
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, sample: int = SAMPLE, model: LanguageModel | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language isn't rejected."""
+    model = model or fit_languages(docs, sample)
+
+    def run(batches):
+        for batch in pieces(batches):
+            texts = column_bytes(batch, "text")
+            keep = np.zeros(len(texts), bool)
+            known = [i for i, x in enumerate(texts) if model is not None and has_letter(x)]
+            if known:
+                keep[known] = model.predict(np.array([subwords(texts[i]) for i in known]))[1] >= model.threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
