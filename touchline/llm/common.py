@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that a Python worker remembers; the cache is emptied beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Bytes of an Arrow batch at most: texts are long, and several batches are held at once.
+BATCH_BYTES = 8 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -34,6 +36,23 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches small enough for executors with little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_in_use: list[dict] = []
+
+
+def in_use(cache: dict) -> None:
+    """Call before a worker fills a cache: it is emptied if it has grown large, and so is another one that was used before."""
+    if _in_use and _in_use[0] is not cache:
+        _in_use[0].clear()
+    _in_use[:] = [cache]
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
+
+
 class _Words(dict):
     """Word (bytes) to its 64-bit hash."""
 
@@ -47,8 +66,7 @@ _words = _Words()
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """The 64-bit hash of each word."""
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
+    in_use(_words)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 

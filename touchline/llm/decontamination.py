@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, column_bytes, mix, pieces
+from touchline.llm.common import column_bytes, in_use, mix, pieces, small_batches
 
 #: Kept (1) and ignored (0) positions.  Items with fewer words than a mask's length are looked up by their first and last words, see seeds().
 MASKS = ("11101011", "1101100111", "10110101101")
@@ -50,8 +50,7 @@ _plain = _Plain()
 def word_ids(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a text's words with a core, and their positions among all its words."""
     words = data.split() if data else []
-    if len(_plain) > CACHE_WORDS:
-        _plain.clear()
+    in_use(_plain)
     found = np.fromiter(map(_plain.__getitem__, words), np.uint64, len(words))
     at = np.flatnonzero(found)
     return found[at], at
@@ -120,6 +119,7 @@ class Block:
 
 def contaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row per document and item found in it: doc_id, item_id, start, end (words of the text), n_same, n_item."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, start long, end long, n_same long, n_item long"
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"), (F.size(F.split("text", r"\s+"))).alias("n")).where("text is not null")
     total = tests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

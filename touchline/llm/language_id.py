@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_sample, bucket, column_bytes, pieces
+from touchline.llm.common import bounded_sample, bucket, column_bytes, pieces, small_batches
 
 SAMPLE, BUCKETS, WIDTH = 3000, 4096, 16
 EPOCHS, BATCH, RATE = 12, 32, 0.5
@@ -110,6 +110,7 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Learns from rows outside fold 2 of 4 that have a language; a bounded sample of their texts."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (bucket(F.col("doc_id"), 4) != 2))
     chosen = bounded_sample(rows.select("doc_id"), "doc_id", sample).distinct()
 

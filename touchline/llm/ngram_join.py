@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import column_bytes, pieces, staged, windows, word_hashes
+from touchline.llm.common import column_bytes, pieces, small_batches, staged, windows, word_hashes
 from touchline.llm.components import components
 
 #: Buckets of the corpus counts, a power of two; what tasks get of them is a byte for each.
@@ -262,6 +262,7 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     links reach, itself included.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     first = staged(_first_pass(docs, n))
     sets = first.where("chunk is null").select("doc_id", "n_shingles", "cid")
     classes = staged(sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))

@@ -20,15 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import column_bytes, pieces, staged
+from touchline.llm.common import column_bytes, in_use, pieces, small_batches, staged
 
 CAPACITY = 2048
 #: A bin with so few free places is emitted at once.
 SLACK = 8
 #: Items that one task of a merging round gets, in the mean.
 GROUP, FAN_IN = 40_000, 8
-#: Distinct words that a worker remembers.
-CACHE = 600_000
 
 BIN = "sequence_id long, total long, members array<struct<doc_id long, piece int, start long, length long, ids_crc32 long, offset long>>"
 _FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
@@ -63,8 +61,8 @@ class WordIds:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remembers the words of some texts."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+        in_use(self.known)
+        if not self.known:
             self.units.clear()
         known, new = self.known, {w for words in texts for w in words}.difference(self.known)
         parts, units, alone = [], {}, []
@@ -191,6 +189,7 @@ def merged(bins: DataFrame, capacity: int, number: int) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, slack: int = SLACK, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and its offset there."""
+    small_batches(docs.sparkSession)
     bins = staged(token_bins(docs, path, capacity, end_id))
     under = F.col("total") < capacity - slack
     done, number, parts = [bins.where(~under)], 0, bins.rdd.getNumPartitions()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import column_bytes, pieces
+from touchline.llm.common import column_bytes, pieces, small_batches
 
 KINDS = ("assign", "access", "hex")
 INFLATE = 16_000_000
@@ -125,6 +125,7 @@ def may_hold(data: bytes) -> bool:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id and findings (kind, start, end, path), in code points of the text."""
+    small_batches(docs.sparkSession)
     finding = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("path", pa.string())])
 
     def run(batches):

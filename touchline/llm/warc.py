@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import pieces, shared_dir, staged
+from touchline.llm.common import pieces, shared_dir, small_batches, staged
 
 #: Payloads from this size on are stored once.
 LEAST = 100
@@ -131,6 +131,7 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write_pages(pages: DataFrame, folder: str, least: int = LEAST, roll: int = ROLL, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes page_id, url, html as monolithic archives below folder; returns their manifest."""
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.length("payload").cast("long")})
     again = revisits(rows, least)
