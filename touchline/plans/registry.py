@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from touchline.plans import crawl_queries, match_queries, model_queries, odds_queries, pricing_queries
+from touchline.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "crawl_queries", "match_queries", "model_queries", "odds_queries", "pricing_queries"]
 FLAGSHIP = "q_facts_latest"
