@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from touchline.llm.common import bounded_sample, bucket, column_bytes, pieces, small_batches
 
 SAMPLE, BUCKETS, WIDTH = 3000, 4096, 16
-EPOCHS, BATCH, RATE = 12, 32, 0.5
-#: Share of wrong labels among accepted rows that calibration allows.
-WRONG = 0.005
+EPOCHS, BATCH, RATE = 12, 32, 0.2
+#: Share of wrong labels among accepted rows that calibration aims at, and of right ones that it may reject for that.
+WRONG, RIGHT_LOST = 0.005, 0.002
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -78,6 +78,9 @@ class LanguageModel:
         embed = draw.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
         layer, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
         layer += draw.normal(0, 0.1, layer.shape).astype(np.float32)
+        # each weight's step shrinks with the squared gradients that it has seen, so that no rate makes the descent diverge
+        parts = (embed, layer, bias)
+        seen = [np.full(w.shape, 1e-8, np.float32) for w in parts]
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
             for at in np.array_split(draw.permutation(used), max(1, len(used) // BATCH)):
@@ -86,11 +89,10 @@ class LanguageModel:
                 hidden = x[at] @ embed
                 p = softmax(hidden @ layer + bias)
                 p[np.arange(len(at)), y[at]] -= 1
-                back = p @ layer.T
-                layer -= rate * hidden.T @ p
-                bias -= rate * p.mean(axis=0)
-                seen = np.flatnonzero(x[at].any(axis=0))
-                embed[seen] -= rate * 40 * (x[at][:, seen].T @ back)
+                p /= len(at)
+                for w, total, grad in zip(parts, seen, (x[at].T @ (p @ layer.T), hidden.T @ p, p.sum(axis=0)), strict=True):
+                    total += grad * grad
+                    w -= rate * grad / np.sqrt(total)
         table = embed @ layer
         logits = x[held] @ table + bias
         grid = [t for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)]
@@ -100,8 +102,9 @@ class LanguageModel:
         if len(held):
             score, right = softmax(logits / heat).max(axis=1), logits.argmax(axis=1) == y[held]
             steps = np.arange(0.3, 0.96, 0.01)
+            most = np.quantile(score[right], RIGHT_LOST) if right.any() else 0.0
             fine = [t for t in steps if not right[score >= t].size or 1 - right[score >= t].mean() <= WRONG]
-            self.threshold = float(fine[0] if fine else steps[-1])
+            self.threshold = float(min(fine[0] if fine else steps[-1], most))
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = softmax(averaged(counts) @ self.table + self.bias)
