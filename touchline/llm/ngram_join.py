@@ -126,7 +126,7 @@ class Order:
         self.common = int(4 * np.log2(8 * total / BUCKETS + 1000))
         ends = np.cumsum(mass) / max(mass.sum(), 1)
         goal = np.arange(1, FRAGMENTS) / FRAGMENTS
-        level = np.searchsorted(ends, goal)
+        level = np.minimum(np.searchsorted(ends, goal), 255)
         inside = (goal - np.where(level > 0, ends[level - 1], 0)) / np.maximum(np.diff(ends, prepend=0)[level], 1e-12)
         self.pivots = (level.astype(np.uint64) << np.uint64(56)) + (np.clip(inside, 0, 1) * (2.0**56 - 2**8)).astype(np.uint64)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import bucket, column_bytes, pieces
-from touchline.llm.docstats import text_stats
+from touchline.llm.docstats import COUNTS, RATIOS, text_stats
 from touchline.llm.quality_rules import labelled_stats
 
 SAMPLE, TREES, DEPTH, BINS, RATE = 12000, 80, 4, 48, 0.15
@@ -95,7 +95,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def run(batches):
         for batch in pieces(batches):
-            stats = np.array([text_stats(x) for x in column_bytes(batch, "text")]).reshape(batch.num_rows, -1)
+            stats = np.array([text_stats(x) for x in column_bytes(batch, "text")]).reshape(batch.num_rows, len(COUNTS) + len(RATIOS))
             score = model.score(features(stats))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
