@@ -8,7 +8,7 @@ shorter item), at least MATCHED agree.
 
 Test items go to the tasks in blocks of at most BLOCK words, each against all rows.
 
-Nulls: null texts and items without words match nothing; null ids are kept.  Empty tables give empty results.
+Nulls: null texts and items of under LEAST words match nothing; null ids are kept.  Empty tables give empty results.
 Repeated training rows are each reported; items with the same id are told apart by their texts only within
 the search, and reported by id once per row.  Other columns are ignored.
 """
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import column_bytes, in_use, mix, pieces, small_batches
 
-#: Kept (1) and ignored (0) positions.  Items with fewer words than a mask's length are looked up by their first and last words, see seeds().
+#: Kept (1) and ignored (0) positions; items with fewer words than the longest mask are looked up by SHORT words in a row.
 MASKS = ("11101011", "1101100111", "10110101101")
 SHORT = 3
+#: Items with fewer words tell nothing apart and aren't searched for.
+LEAST = 8
 WINDOW, MATCHED = 16, 0.8
 BLOCK = 400_000
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -78,9 +80,8 @@ class Block:
         longest = max(map(len, MASKS))
         self.masks = []
         for number in range(len(MASKS) + 1):
-            use = [k for k, w in enumerate(self.words) if (number < len(MASKS)) == (len(w) >= longest) and len(w)]
+            use = [k for k, w in enumerate(self.words) if (number < len(MASKS)) == (len(w) >= longest) and len(w) >= LEAST]
             found = [(seeds(self.words[k], number), k) for k in use]
-            found += [] if number < len(MASKS) else [(np.array([self.words[k][0]], np.uint64), k) for k in use if len(self.words[k]) < SHORT]
             if not any(len(s) for s, _ in found):
                 continue
             values = np.concatenate([s for s, _ in found])
