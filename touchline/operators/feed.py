@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions.odds import milli_line, milli_odds
 
 SCHEMA_VERSION = "1.0.0"
-EVENT = "struct<id:bigint,name:string,start:string,state:string,`group`:string,homeName:string,awayName:string,path:array<struct<id:bigint,name:string,englishName:string,termKey:string>>>"
+EVENT = "id bigint, name string, start string, state string, `group` string, homeName string, awayName string, path array<struct<id:bigint,name:string,englishName:string,termKey:string>>"
 OUTCOME = "struct<id:bigint,label:string,participant:string,participantId:bigint,eventParticipantId:bigint,type:string,line:bigint,odds:bigint,status:string>"
 OFFER = f"struct<id:bigint,criterion:struct<id:bigint,label:string>,betOfferType:struct<name:string>,outcomes:array<{OUTCOME}>>"
 #: How deep groups of a combination may nest.

@@ -27,7 +27,7 @@ def boosted(train: DataFrame, rows: DataFrame, features: list[str], rounds: int
     data, models = prepared(train, train.where("y is not null"), features), []
     scored = prepared(train, rows, features)
     for k in range(3):
-        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, predictionCol=f"__k{k}", probabilityCol=f"__p{k}", rawPredictionCol=f"__r{k}").fit(data.withColumn("label", (F.col("y") == k).cast("double")))
+        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).setPredictionCol(f"__k{k}").setProbabilityCol(f"__p{k}").setRawPredictionCol(f"__r{k}").fit(data.withColumn("label", (F.col("y") == k).cast("double")))
         scored = model.transform(scored).withColumn(f"__s{k}", vector_to_array(f"__p{k}")[1])
         models.append(model)
     p = dict(zip(("p1", "px", "p2"), clipped(*(F.col(f"__s{k}") for k in range(3))), strict=True))

@@ -102,9 +102,9 @@ def crawled_urls(spark: SparkSession, path: str, domains: list[str] | None = Non
 
 def ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The tickets of a ledger, and its unreadable lines."""
-    rows = spark.read.schema(f"{LEDGER}, __bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
-    names = [f.name for f in rows.schema if f.name != "__bad"]
-    return rows.where("__bad is null and ticket_id is not null").select(*names), rows.where("__bad is not null").select(F.col("__bad").alias("line"))
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.from_json("value", LEDGER).alias("t"))
+    good = F.col("t.ticket_id").isNotNull()
+    return lines.where(good).select("t.*"), lines.where(~good).select(F.col("value").alias("line"))
 
 
 def partitioned(spark: SparkSession, path: str, schema: str | None = None, latest_by: str | None = None) -> DataFrame:
@@ -115,7 +115,7 @@ def partitioned(spark: SparkSession, path: str, schema: str | None = None, lates
 
 
 def feed_events(spark: SparkSession, path: str, captured_at: str) -> DataFrame:
-    return feed.events(spark.read.schema(feed.EVENT.removeprefix("struct<").removesuffix(">")).json(path), F.lit(captured_at))
+    return feed.events(spark.read.schema(feed.EVENT).json(path), F.lit(captured_at))
 
 
 def feed_responses(spark: SparkSession, path: str) -> DataFrame:
