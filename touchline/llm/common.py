@@ -44,12 +44,12 @@ def small_batches(spark: SparkSession) -> None:
 _in_use: list[dict] = []
 
 
-def in_use(cache: dict) -> None:
+def in_use(cache: dict, most: int = CACHE_WORDS) -> None:
     """Call before a worker fills a cache: it is emptied if it has grown large, and so is another one that was used before."""
     if _in_use and _in_use[0] is not cache:
         _in_use[0].clear()
     _in_use[:] = [cache]
-    if len(cache) > CACHE_WORDS:
+    if len(cache) > most:
         cache.clear()
 
 

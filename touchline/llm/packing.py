@@ -25,6 +25,8 @@ from touchline.llm.common import column_bytes, in_use, pieces, small_batches, st
 CAPACITY = 2048
 #: A bin with so few free places is emitted at once.
 SLACK = 8
+#: Words that a worker remembers.
+CACHE = 700_000
 #: Items that one task of a merging round gets, in the mean.
 GROUP, FAN_IN = 40_000, 8
 
@@ -53,7 +55,7 @@ class WordIds:
     def __init__(self, path: str, mark: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith(mark)]] = True
@@ -61,22 +63,21 @@ class WordIds:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Remembers the words of some texts."""
-        in_use(self.known)
-        if not self.known:
-            self.units.clear()
-        known, new = self.known, {w for words in texts for w in words}.difference(self.known)
-        parts, units, alone = [], {}, []
-        for w in new:
+        in_use(self.known, CACHE)
+        known, whole, parts, alone = self.known, [], [], []
+        for w in set().union(*texts).difference(known):
+            if w.isalpha():
+                whole.append(w)
+                continue
             core = w.rstrip(_MARKS)
             if core and (core.isalpha() or _letters(core)):
                 parts.append((w, core, w[len(core) :]))
-                units[core] = units[w[len(core) :]] = None
             else:
                 alone.append(w)
-        self._learn_units([u for u in units if u and u not in self.units])
-        self.units[b""] = b""
+        units = {u for _, *pair in parts for u in pair if u not in known}.difference(whole, (b"",))
+        self._learn_units([*whole, *units])
         for w, core, tail in parts:
-            known[w] = self.units[core] + self.units[tail]
+            known[w] = known[core] + known[tail] if tail else known[core]
         for w, e in zip(alone, self.encode([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -85,13 +86,13 @@ class WordIds:
             some = units[i : i + at_once]
             (e,) = self.encode([b" ".join(some).decode()], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(some):
-                for u, a, b in zip(some, [0, *stops], stops, strict=False):
-                    self.units[u] = ids[a:b].tobytes()
+                data = ids.tobytes()
+                self.known.update((u, data[a:b]) for u, a, b in zip(some, [0, *stops], stops, strict=False))
             else:  # some unit isn't one to this tokenizer
                 for u, one in zip(some, self.encode([u.decode() for u in some], add_special_tokens=False), strict=True):
-                    self.units[u] = np.array(one.ids, "<u4").tobytes()
+                    self.known[u] = np.array(one.ids, "<u4").tobytes()
 
     def ids(self, words: list[bytes]) -> bytes:
         """Little-endian 32-bit ids, without the end id."""
