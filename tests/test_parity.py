@@ -24,7 +24,7 @@ def duck():
 
 def plain(value):
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else f"{value:.6g}"
+        return "NaN" if math.isnan(value) else f"{value:.5g}"
     return str(value)
 
 
