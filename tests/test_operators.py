@@ -367,3 +367,25 @@ def test_ledger(spark):
     assert (done.state, done.payout, done.net) == ("liquidado", 3.0, 4.0)
     open_ = tickets.settle_ledger(fresh, scores(spark, [(1, 1, 0, 0, 0)]))
     assert open_.first().state == "pendiente" and tickets.ledger_summary(open_).first().settled == 0
+
+
+@pytest.mark.parametrize(
+    ("market_name", "selection", "line", "side", "want"),
+    [("Hándicap asiático", "1", -1.5, None, "Real -1.5"), ("Hándicap asiático", "x", 0.75, "visitante", "Betis +0.75"), ("Total de goles", "Menos de", 1.5, None, "Menos de 1.5"), ("Resultado Final", "X", None, None, "Empate"), ("Resultado Final", "2", None, None, "Betis"), ("Total de goles", "Más de", 3.0, None, "Más de 3")],
+)
+def test_selection_labels(spark, market_name, selection, line, side, want):
+    got = text.selection_label(F.lit("Real - Betis"), F.lit(market_name), F.lit(selection), F.lit(line).cast("double"), F.lit(side).cast("string"))
+    assert one(spark, got) == want
+
+
+def test_league_keys(spark):
+    wanted = spark.createDataFrame([("Inglaterra", "premier_league")], "country string, league_key string")
+    rows = spark.createDataFrame([("Inglaterra", "premier_league", 1), ("Jordania", "premier_league", 2)], "country string, league_key string, n int")
+    assert [x.n for x in feed.selected_leagues(rows, wanted).collect()] == [1]
+    assert feed.missing_leagues(rows.select("country", "league_key"), wanted.select("country", "league_key")).count() == 1
+
+
+def test_closing_probabilities(spark):
+    quotes = spark.createDataFrame([("m", "b", 1, 2.0, 4.0, 4.0), ("m", "b", 2, 4.0, 4.0, 2.0), ("n", "b", 1, 2.0, None, 4.0)], "match_id string, book string, kickoff int, odds_1 double, odds_x double, odds_2 double")
+    got = {x.match_id: x for x in market.closing_probabilities(spark.createDataFrame([("m",), ("n",), ("o",)], "match_id string"), quotes, "b").collect()}
+    assert (got["m"].p1, got["m"].p2) == (0.25, 0.5) and got["n"].p1 is None and got["o"].p1 is None

@@ -81,3 +81,13 @@ def first_events(rows: DataFrame, n: int) -> DataFrame:
     """Each event once (the first league it was seen in), the earliest n."""
     once = rows.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "event_id"]), F.struct("start", "league")).alias("r")).select("event_id", "r.*")
     return once.orderBy("start", "event_id").limit(n)
+
+
+def selected_leagues(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Leagues or events whose country and league key are wanted; a key alone isn't unique."""
+    return rows.join(F.broadcast(wanted.select("country", "league_key").distinct()), ["country", "league_key"], "left_semi")
+
+
+def missing_leagues(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """Wanted leagues that the feed doesn't have."""
+    return wanted.select("country", "league_key").subtract(rows.select("country", "league_key"))

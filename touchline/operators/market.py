@@ -14,6 +14,14 @@ def with_implied(odds: DataFrame) -> DataFrame:
     return rows.withColumns({f"p{s}": implied(F.col(f"odds_{s}"), F.col("total")) for s in ("1", "x", "2")})
 
 
+def closing_probabilities(matches: DataFrame, odds: DataFrame, book: str, order: str = "kickoff") -> DataFrame:
+    """matches with p1, px, p2 of a bookmaker's closing odds; of several rows for a match the last counts; null without all three."""
+    values = ("p1", "px", "p2")
+    quotes = with_implied(odds.where((F.col("book") == book) & (F.col("odds_1") > 1) & (F.col("odds_x") > 1) & (F.col("odds_2") > 1)))
+    last = quotes.groupBy("match_id").agg(F.max_by(F.struct(*values), order).alias("q"))
+    return matches.join(last, "match_id", "left").select(*matches.columns, *(F.col(f"q.{v}").alias(v) for v in values))
+
+
 def book_margins(odds: DataFrame) -> DataFrame:
     """Per bookmaker: lines, mean overround, margin in percent, and whether the mean is below 1."""
     rows = with_implied(odds).where("total is not null and book is not null")

@@ -39,3 +39,11 @@ def logistic(train: DataFrame, rows: DataFrame, features: list[str], ridge: floa
     model = LogisticRegression(labelCol="label", featuresCol="features", family="multinomial", regParam=ridge).fit(prepared(train, train.where("y is not null"), features).withColumn("label", F.col("y").cast("double")))
     scored = model.transform(prepared(train, rows, features)).withColumn("__p", vector_to_array("probability"))
     return scored.select(*rows.columns, *(F.col("__p")[k].alias(n) for k, n in enumerate(("p1", "px", "p2"))))
+
+
+def importances(models: list, features: list[str], n: int = 15) -> list[tuple[str, float]]:
+    """The features that the three models' trees gained most by, flags of missing values added to their features."""
+    half = len(models[0].featureImportances) // 2
+    total = [sum(float(m.featureImportances[i] + m.featureImportances[i + half]) for m in models) / len(models) for i in range(half)]
+    ranked = sorted(zip(features, total, strict=False), key=lambda x: (-x[1], x[0]))
+    return [x for x in ranked if x[1] > 0][:n]

@@ -19,6 +19,12 @@ def q_implied(t: Tables) -> DataFrame:
     return rounded(market.with_implied(t.sql(ODDS)).select("match_id", "book", "total", "p1", "px", "p2"), "total", "p1", "px", "p2")
 
 
+@query(_O + f", m AS ({MATCH}), b AS (SELECT match_id, 1 / odds_1 / total AS p1, 1 / odds_x / total AS px, 1 / odds_2 / total AS p2 FROM i WHERE book = 'pinnacle' AND odds_x IS NOT NULL) SELECT m.match_id, round(p1, 6) AS p1, round(px, 6) AS px, round(p2, 6) AS p2 FROM m LEFT JOIN b ON m.match_id = b.match_id")
+def q_closing_probabilities(t: Tables) -> DataFrame:
+    odds = t.sql(ODDS).withColumn("kickoff", F.lit(0))
+    return rounded(market.closing_probabilities(t.sql(MATCH).select("match_id"), odds, "pinnacle"), "p1", "px", "p2")
+
+
 @query(_O + "SELECT book, count(*) AS n, round(avg(total), 6) AS mean_total, round((avg(total) - 1) * 100, 6) AS margin_pct, avg(total) < 1 AS suspect FROM i WHERE total IS NOT NULL GROUP BY book")
 def q_book_margin(t: Tables) -> DataFrame:
     return rounded(market.book_margins(t.sql(ODDS)), "mean_total", "margin_pct")

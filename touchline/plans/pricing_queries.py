@@ -94,7 +94,7 @@ def q_count_market(t: Tables) -> DataFrame:
 
 
 # offered lines with the bookmaker's names, in several spellings
-_OFFERED = f"""SELECT match_id, match_id * 10 + k AS outcome_id, 'Real ' || CAST(match_id % 7 AS VARCHAR(5)) AS home_name, 'Deportivo' AS away_name,
+OFFERED = f"""SELECT match_id, match_id * 10 + k AS outcome_id, 'Real ' || CAST(match_id % 7 AS VARCHAR(5)) AS home_name, 'Deportivo' AS away_name,
  CASE k WHEN 0 THEN 'Resultado Final' WHEN 1 THEN 'Total de goles' WHEN 2 THEN 'Hándicap asiático' WHEN 3 THEN 'Total de Goles de Deportivo' WHEN 4 THEN 'Doble Oportunidad' ELSE 'Tarjetas' END AS market,
  CASE k WHEN 0 THEN 'X' WHEN 1 THEN 'Más de' WHEN 2 THEN 'Deportivo' WHEN 3 THEN 'Menos de' WHEN 4 THEN '1 o 2' ELSE 'x' END AS label, CASE WHEN k = 2 THEN 'Deportivo' END AS participant,
  CASE k WHEN 1 THEN 2.5e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 1.5e0 END AS line, 1.3e0 + (match_id + k) % 30 / 1e1 AS odds FROM ({RATES}) q, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) x"""
@@ -104,12 +104,12 @@ _WANTED = [
 ]
 
 
-@query(_RAW + ", s AS (" + " UNION ALL ".join(_WANTED) + f"), o AS ({_OFFERED}), v AS (SELECT o.match_id, outcome_id, odds, win / (win + lose) AS p, win * (odds - 1) - lose AS ev FROM o JOIN s ON o.match_id = s.match_id AND outcome_id % 10 = s.selection::INT) SELECT match_id, outcome_id, odds, round(p, 6) AS p, round(ev, 6) AS ev, odds BETWEEN 1.5 AND 4.0 AND p > 0 AND ev >= 0.02 AND abs(p - 1 / odds) <= 0.06 AS leg FROM v")
+@query(_RAW + ", s AS (" + " UNION ALL ".join(_WANTED) + f"), o AS ({OFFERED}), v AS (SELECT o.match_id, outcome_id, odds, win / (win + lose) AS p, win * (odds - 1) - lose AS ev FROM o JOIN s ON o.match_id = s.match_id AND outcome_id % 10 = s.selection::INT) SELECT match_id, outcome_id, odds, round(p, 6) AS p, round(ev, 6) AS ev, odds BETWEEN 1.5 AND 4.0 AND p > 0 AND ev >= 0.02 AND abs(p - 1 / odds) <= 0.06 AS leg FROM v")
 def q_line_values(t: Tables) -> DataFrame:
     c = pricing.Catalogue()
     selections = c.result() + c.total(2.5) + c.asian_handicap(-0.5) + c.team_total("visitante", 1.5) + c.double_chance()
     priced = pricing.price(_grid(t), selections).withColumn("period", F.lit("completo"))
-    valued = pricing.value_lines(t.sql(_OFFERED), priced)
+    valued = pricing.value_lines(t.sql(OFFERED), priced)
     kept = pricing.legs(valued).select("outcome_id", F.lit(True).alias("leg"))
     return rounded(valued.join(kept, "outcome_id", "left").select("match_id", "outcome_id", "odds", "p", "ev", F.coalesce("leg", F.lit(False)).alias("leg")), "p", "ev")
 

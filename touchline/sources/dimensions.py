@@ -80,6 +80,27 @@ SCORER_LEAGUES = (
     ("Italia", "serie_a", 2019), ("Alemania", "bundesliga", 2002), ("Francia", "ligue_1", 2015),
     ("Paises Bajos", "eredivisie", 2003), ("Portugal", "primeira_liga", 2017), ("Brasil", "brasileirao_serie_a", 2013),
 )
+# Leagues captured unless others are asked for.
+CAPTURED_LEAGUES = (
+    ("Inglaterra", "premier_league"), ("Inglaterra", "the_championship"), ("Inglaterra", "league_one"), ("Inglaterra", "league_two"),
+    ("Espana", "la_liga"), ("Espana", "la_liga_2"), ("Italia", "serie_a"), ("Italia", "serie_b"), ("Alemania", "bundesliga"), ("Francia", "ligue_1"),
+    ("Paises Bajos", "eredivisie"), ("Portugal", "primeira_liga"), ("Brasil", "brasileirao_serie_a"), ("Brasil", "brasileirao_serie_b"),
+    ("Argentina", "liga_profesional_argentina"), ("Argentina", "primera_nacional"), ("Mexico", "liga_mx"), ("Estados Unidos", "mls"),
+    ("Belgica", "jupiler_pro_league"), ("Suecia", "allsvenskan"), ("Peru", "liga_1"), ("Paraguay", "primera_paraguay"),
+)
+# Competitions of results by the league's name.
+RESULT_COMPETITIONS = (
+    ("Premier League", 2021), ("Championship", 2016), ("La Liga", 2014), ("Serie A", 2019), ("Bundesliga", 2002), ("Ligue 1", 2015),
+    ("Eredivisie", 2003), ("Primeira Liga", 2017), ("Brasileirao Serie A", 2013),
+)
+
+
+def captured_leagues(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CAPTURED_LEAGUES), "country string, league_key string")
+
+
+def result_competitions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RESULT_COMPETITIONS), "league string, competition int")
 
 
 def seeds(spark: SparkSession) -> DataFrame:

@@ -129,3 +129,20 @@ def facts_views(spark: SparkSession, path: str) -> None:
     spark.read.schema(FACTS).parquet(path).createOrReplaceTempView("facts_raw")
     spark.sql("""CREATE OR REPLACE TEMP VIEW facts AS SELECT * EXCEPT (rn) FROM (
         SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY extracted_at DESC) AS rn FROM facts_raw) WHERE rn = 1""")
+
+
+def index_urls(spark: SparkSession, path: str) -> DataFrame:
+    """URLs of landed crawl-index answers (JSON lines with url, status, mime), of HTML pages that were there."""
+    rows = json_lines(spark, path, "url string, status string, mime string, timestamp string")
+    return rows.where("status = '200' and mime like 'text/html%'").select("url", "timestamp").distinct()
+
+
+#: Readers of matches and odds by the name of their source.
+PROVIDERS = {"csv": (csv_rows, matches_from_csv, odds_from_csv)}
+
+
+def provider(name: str):
+    """A source's functions: raw rows by path, then matches and odds of them."""
+    if name not in PROVIDERS:
+        raise ValueError(f"no source {name!r}; there are {sorted(PROVIDERS)}")
+    return PROVIDERS[name]
