@@ -19,15 +19,17 @@ def records(urls: DataFrame, seeds: DataFrame | None = None, url: str = "url") -
     return rows.withColumn("class", url_class(F.col("url"), default)).select("*", "class.*").drop("class")
 
 
-def unseen(rows: DataFrame, seen: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in that order that isn't among the seen keys."""
-    w = Window.partitionBy(key).orderBy(*order)
-    fresh = rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def unseen(rows: DataFrame, seen: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key in that order that isn't among the seen keys; one row per key and task is shuffled."""
+    rest = F.struct(*(c for c in rows.columns if c != key))
+    fresh = rows.groupBy(key).agg(F.min_by(rest, F.struct(*order)).alias("__r")).select(key, "__r.*").select(*rows.columns)
     return fresh.join(seen.select(key).distinct(), key, "left_anti")
 
 
 def domain_caps(rows: DataFrame, cap: int, target: int, order: str, domain: str = "domain") -> DataFrame:
-    """At most cap rows of each domain in that order, and of those the first target rows."""
+    """At most cap rows of each domain in that order, and of those the first target rows.
+
+    Spark limits each domain to cap rows within the tasks already (a window group limit), and takes the target from sorted tops."""
     kept = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(domain).orderBy(order))).where(F.col("__rn") <= cap)
     return kept.drop("__rn").orderBy(order).limit(target)
 
@@ -37,10 +39,12 @@ def cap_for(target: int, seeds: int) -> int:
 
 
 def round_robin(rows: DataFrame, limit: int, order: str, domain: str = "domain") -> DataFrame:
-    """A sample that takes the domains in turn, those seen first first, until limit rows."""
-    w = Window.partitionBy(domain)
-    turns = rows.withColumns({"__turn": F.row_number().over(w.orderBy(order)), "__first": F.min(order).over(w)})
-    return turns.orderBy("__turn", "__first", order).limit(limit).drop("__turn", "__first")
+    """A sample that takes the domains in turn, those seen first first, until limit rows.
+
+    No domain gives more than limit rows, which bounds what a large one sends."""
+    first = rows.groupBy(domain).agg(F.min(order).alias("__first"))
+    turns = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(domain).orderBy(order))).where(F.col("__turn") <= limit)
+    return turns.join(first, domain).orderBy("__turn", "__first", order).limit(limit).select(*rows.columns)
 
 
 def sitemap_links(robots: DataFrame, text: str = "text") -> DataFrame:

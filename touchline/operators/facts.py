@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import clean_text, snippet
@@ -36,12 +36,12 @@ def rejections(facts: DataFrame) -> DataFrame:
     return facts.select(rejection().alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in that order (the latest, for descending times).
+def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The row of each key that is greatest in the order columns.
 
-    With one ordering column and no ties max_by would do; the window keeps whole rows and any order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    An aggregate, not a window: each task keeps one row per key before the shuffle, so a key with many rows weighs no more than others."""
+    rest = F.struct(*(c for c in rows.columns if c != key))
+    return rows.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("__r")).select(key, "__r.*").select(*rows.columns)
 
 
 def fact_id(url: Column, kind: Column, content: Column) -> Column:

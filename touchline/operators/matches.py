@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import result_letter
@@ -24,9 +24,9 @@ def invalid_reason() -> Column:
 
 
 def deduplicated(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key in the order of ingestion."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The last row of each key in the order of ingestion; one row per key and task is shuffled."""
+    rest = F.struct(*(c for c in rows.columns if c not in keys))
+    return rows.groupBy(*keys).agg(F.max_by(rest, order).alias("__r")).select(*keys, "__r.*").select(*rows.columns)
 
 
 def first_half(matches: DataFrame) -> DataFrame:

@@ -31,14 +31,14 @@ def expected_goals(matches: DataFrame, strengths: DataFrame, home_edge: Column,
 
 
 def score_grid(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
-    """The grid of matches with lam and mu; low scores corrected by rho, negative cells cut, renormalised."""
+    """The grid of matches with lam and mu; low scores corrected by rho, negative cells cut, renormalised.  Made within rows: nothing is shuffled."""
     rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
     masses = lambda m: F.transform(F.sequence(F.lit(0), F.lit(GOALS - 1)), lambda k: poisson(k, F.col(m))).alias(f"p_{m}")
     lists = rates.select(key, "lam", "mu", rho.alias("rho"), masses("lam"), masses("mu"))
-    cells = lists.select("*", F.posexplode("p_lam").alias("h", "ph")).select("*", F.posexplode("p_mu").alias("a", "pa"))
-    raw = cells.select(key, "h", "a", F.greatest(F.col("ph") * F.col("pa") * tau(F.col("h"), F.col("a"), F.col("lam"), F.col("mu"), F.col("rho")), F.lit(0.0)).alias("raw"))
-    total = raw.groupBy(key).agg(F.sum("raw").alias("total"), F.collect_list(F.struct("h", "a", "raw")).alias("cells"))
-    return total.select(key, "total", F.explode("cells").alias("c")).select(key, F.col("c.h").alias("h"), F.col("c.a").alias("a"), (F.col("c.raw") / F.col("total")).alias("p"))
+    cell = lambda h, a, ph, pa: F.struct(h.alias("h"), a.alias("a"), F.greatest(ph * pa * tau(h, a, F.col("lam"), F.col("mu"), F.col("rho")), F.lit(0.0)).alias("raw"))
+    cells = F.flatten(F.transform("p_lam", lambda ph, h: F.transform("p_mu", lambda pa, a: cell(h, a, ph, pa))))
+    rows = lists.select(key, cells.alias("cells")).withColumn("total", F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["raw"]))
+    return rows.select(key, "total", F.explode("cells").alias("c")).select(key, F.col("c.h").alias("h"), F.col("c.a").alias("a"), (F.col("c.raw") / F.col("total")).alias("p"))
 
 
 def _sum(where: Column) -> Column:

@@ -15,7 +15,7 @@ _LATEST = _F + "l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY fa
 
 
 def _latest(t: Tables) -> DataFrame:
-    return facts.latest(t.sql(FACTS), "fact_id", F.col("doc_id").desc())
+    return facts.latest(t.sql(FACTS), "fact_id", "doc_id")
 
 
 @query(_LATEST + "SELECT fact_id, fact_type, source_domain, language, doc_id FROM l")
@@ -74,7 +74,7 @@ def q_url_normalize(t: Tables) -> DataFrame:
 @query(_NORMAL + ", s AS (SELECT DISTINCT normal FROM n WHERE page_id % 3 = 0) SELECT min(page_id) AS page_id, normal FROM n WHERE normal NOT IN (SELECT normal FROM s) GROUP BY normal")
 def q_url_hash_dedupe(t: Tables) -> DataFrame:
     rows = t("pages").select("page_id", text.url_normal(F.col("url")).alias("normal"))
-    return crawl.unseen(rows, rows.where("page_id % 3 = 0"), "normal", F.col("page_id")).select("page_id", "normal")
+    return crawl.unseen(rows, rows.where("page_id % 3 = 0"), "normal", "page_id").select("page_id", "normal")
 
 
 # one path for each rule and for none, so that all rules fire
