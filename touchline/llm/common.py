@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that a Python worker remembers; the cache is emptied beyond it.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Bytes of an Arrow batch at most: texts are long, and several batches are held at once.
 BATCH_BYTES = 8 << 20
 
@@ -91,6 +91,32 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+#: Many small records travel as one binary row per bucket: bucket, a kind of record, and the records side by side.
+BLOBS = "bucket int, kind int, data binary"
+_BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+#: Buckets for each partition that they are dealt to, and records that a task holds before it sends them.
+PER_PARTITION, HELD = 4, 400_000
+
+
+def scattered(records: np.ndarray, key: np.ndarray, buckets: int, kind: int = 0) -> pa.RecordBatch:
+    """Records (a structured array) as rows of BLOBS by a hash of their 64-bit key."""
+    bucket = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    records, edges = records[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(edges))
+    data = [records[edges[b] : edges[b + 1]].tobytes() for b in used.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), kind), pa.int32()), pa.array(data, pa.binary())], schema=_BLOBS)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
+    """The records of each kind that rows of BLOBS hold."""
+    parts: dict[int, list[bytes]] = {k: [] for k in kinds}
+    for batch in batches:
+        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            parts[kind].append(data)
+    return {k: np.frombuffer(b"".join(parts.pop(k)), t) for k, t in kinds.items()}
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     column = batch.column(name)
