@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import column_bytes, pieces, small_batches, staged, windows, word_hashes
+from touchline.llm.common import BLOBS, HELD, PER_PARTITION, column_bytes, gathered, pieces, scattered, small_batches, staged, windows, word_hashes
 from touchline.llm.components import components
 
 #: Buckets of the corpus counts, a power of two; what tasks get of them is a byte for each.
@@ -134,31 +134,51 @@ class Order:
         """Places in the global order."""
         return (self.levels[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
 
+    def common_ones(self, grams: np.ndarray) -> np.ndarray:
+        """Which shingles are common."""
+        return self.levels[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) > self.common
 
-def _postings(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
-    """gram, cid, n, place and common for the prefix of each set; a class once per task."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+
+#: A shingle in the prefix of a class's set of n, and its place there.
+POSTING = np.dtype([("gram", "<i8"), ("cid", "<i8"), ("n", "<i4"), ("place", "<i4")])
+
+
+def _postings(docs: DataFrame, n: int, num: int, den: int, order, buckets: int) -> DataFrame:
+    """The prefix of each set, a class once per task: rarer shingles by shingle (kind 0), common ones by class (kind 1)."""
 
     def run(batches):
         known, seen = order.value, set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            rows = np.concatenate(held)
+            common = known.common_ones(rows["gram"].view(np.uint64))
+            for kind, part, key in ((0, rows[~common], "gram"), (1, rows[common], "cid")):
+                if len(part):
+                    yield scattered(part, part[key].copy(), buckets, kind)
+
         for batch in pieces(batches):
-            out: list[list] = [[] for _ in types]
             for data in column_bytes(batch, "text"):
                 grams = shingles(data, n)
-                size = len(grams)
-                if not size or (cid := class_id(grams)) in seen:
+                size_of = len(grams)
+                if not size_of or (cid := class_id(grams)) in seen:
                     continue
                 seen.add(cid)
                 keys = known.keys(grams)
-                places = size + (-num * size // den) + 1
-                first = np.argpartition(keys, places - 1)[:places] if places < size else np.arange(size)
-                first = first[np.argsort(keys[first])]
-                for column, x in zip(out, (grams[first].view(np.int64), np.full(places, cid), np.full(places, size, np.int32), np.arange(places, dtype=np.int32), (keys[first] >> np.uint64(56)) > known.common), strict=True):
-                    column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, types, strict=True)], ["gram", "cid", "n", "place", "common"])
+                places = size_of + (-num * size_of // den) + 1
+                first = np.argpartition(keys, places - 1)[:places] if places < size_of else np.arange(size_of)
+                found = np.empty(places, POSTING)
+                found["gram"], found["cid"], found["n"], found["place"] = grams[first[np.argsort(keys[first])]].view(np.int64), cid, size_of, np.arange(places)
+                held.append(found)
+                size += places
+            if size > HELD:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
-    return docs.select("text").mapInArrow(run, "gram long, cid long, n int, place int, common boolean")
+    return docs.select("text").mapInArrow(run, BLOBS)
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
@@ -174,16 +194,15 @@ def _runs(postings: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     schema = "gram long, a long, b long, na int, nb int, place int"
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        got = gathered(batches, {0: POSTING, 1: POSTING})
+        common = got[1]
+        if len(common):
+            none = pa.nulls(len(common))
+            columns = {c: np.ascontiguousarray(common[c]) for c in POSTING.names}
+            yield pa.RecordBatch.from_arrays([pa.array(columns["gram"]), pa.array(columns["cid"]), none.cast(pa.int64()), pa.array(columns["n"]), none.cast(pa.int32()), pa.array(columns["place"])], ["gram", "a", "b", "na", "nb", "place"])
+        if not len(got[0]):
             return
-        gram, cid, n, place, common = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("gram", "cid", "n", "place", "common"))
-        if common.any():
-            none = pa.nulls(int(common.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[common]), pa.array(cid[common]), none.cast(pa.int64()), pa.array(n[common]), none.cast(pa.int32()), pa.array(place[common])], ["gram", "a", "b", "na", "nb", "place"])
-            gram, cid, n, place = gram[~common], cid[~common], n[~common], place[~common]
-            if not len(gram):
-                return
+        gram, cid, n, place = (np.ascontiguousarray(got[0][c]) for c in POSTING.names)
         order = np.lexsort((cid, gram))
         gram, cid, n, place = gram[order], cid[order], n[order].astype(np.int64), place[order].astype(np.int64)
         once = np.r_[True, (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
@@ -206,7 +225,7 @@ def _runs(postings: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         none = pa.nulls(len(pairs))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 3].astype(np.int32)), none.cast(pa.int32())], ["gram", "a", "b", "na", "nb", "place"])
 
-    return postings.repartition(parts, F.when(F.col("common"), F.col("cid")).otherwise(F.col("gram"))).mapInArrow(run, schema)
+    return postings.repartition(parts, "bucket").mapInArrow(run, schema)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -270,7 +289,7 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     order = spark.sparkContext.broadcast(Order(first.where("chunk is not null"), int(total)))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(posted) // 1_000_000))
-    runs = staged(_runs(_postings(docs, n, num, den, order), parts, num, den))
+    runs = staged(_runs(_postings(docs, n, num, den, order, PER_PARTITION * parts), parts, num, den))
     common = staged(runs.where("b is null").select("gram", F.col("a").alias("cid"), F.col("na").alias("n"), "place").distinct())
     hubs = staged(common.groupBy("gram").agg(F.min(F.struct("place", "cid", "n")).alias("h")).select("gram", "h.*"))
     star = common.alias("x").join(hubs.alias("y"), "gram").where(_may_link("x", "y", num, den)).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"), F.lit(True).alias("hub"))
