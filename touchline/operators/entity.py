@@ -5,7 +5,8 @@ names.  A rule that finds several slugs makes the name ambiguous, and it stays u
 
 Rules one to three are joins on keys.  For the third, a name's sets are compared with those slugs alone that share an
 identifying word (an inverted index): a set within another shares all its words.  The fourth is Ratcliff-Obershelp, which
-Spark has no function for, over an Arrow UDF: names left over are compared with the slugs of their block (a league, say).
+Spark has no function for, over an Arrow UDF: names left over are compared with the slugs of their block (a league, say) that share
+two neighbouring letters, which all that are alike enough do.  The confidence of an unresolved name is its best likeness among these.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,12 @@ def _with_tokens(rows: DataFrame, name) -> DataFrame:
     return rows.withColumn("core", core_tokens(F.col("normal")))
 
 
+def bigrams(text: Column) -> Column:
+    """A row for each distinct pair of neighbouring letters.  Texts without a common one are far less alike than LIKE - APART."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    return F.explode(F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(2)))))
+
+
 def resolve(names: DataFrame, slugs: DataFrame, block: str | None = None) -> DataFrame:
     """names (name, and block if given) with slug, confidence and method.  slugs: slug, and block if given."""
     keys = [block] if block else []
@@ -48,8 +55,9 @@ def resolve(names: DataFrame, slugs: DataFrame, block: str | None = None) -> Dat
     shared = words.join(index, ["word", *keys]).groupBy("name", *keys, "slug").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("core_a")).alias("na"), F.first(F.size("core_b")).alias("nb"))
     within = shared.where("n = na or n = nb").groupBy("name", *keys).agg(F.count(F.lit(1)).alias("n_within"), F.min("slug").alias("within"))
 
-    rest = open_.join(within, ["name", *keys], "left_anti")
-    pairs = rest.join(exact.select(*keys, F.col("normal").alias("normal_b"), F.col("exact").alias("slug")), keys) if keys else rest.crossJoin(F.broadcast(exact.select(F.col("normal").alias("normal_b"), F.col("exact").alias("slug"))))
+    rest = open_.join(within, ["name", *keys], "left_anti").select("name", *keys, "normal", bigrams(F.col("normal")).alias("pair"))
+    known = exact.select(*keys, F.col("normal").alias("normal_b"), F.col("exact").alias("slug"), bigrams(F.col("normal")).alias("pair"))
+    pairs = rest.join(known, ["pair", *keys]).select("name", *keys, "normal", "normal_b", "slug").distinct()
     w = Window.partitionBy("name", *keys).orderBy(F.col("score").desc(), F.col("slug").desc())
     scored = pairs.withColumn("score", likeness("normal", "normal_b")).withColumns({"rn": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(0.0))}).where("rn = 1").select("name", *keys, F.col("slug").alias("like"), "score", "second")
 
