@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions import odds, text
 from touchline.operators import elo, entity, features, folds, matches, scorers
 from touchline.plans.base import longs, query, rounded
 from touchline.plans.fixtures import LOG, MATCH, PARTLY, Tables
@@ -196,3 +197,22 @@ def q_shrinkage(t: Tables) -> DataFrame:
 def q_scorer_chances(t: Tables) -> DataFrame:
     rows = t.sql(f"SELECT match_id, home AS player, 0.5e0 + match_id % 20 / 1e1 AS team_goals FROM ({MATCH}) q WHERE season = 1999")
     return rounded(scorers.scoring_chances(_rates(t), rows).select("match_id", "player", "p1", "p2", "p3"), "p1", "p2", "p3")
+
+
+_CORNERS = f"SELECT league, home_shots AS home_corners, away_shots AS away_corners FROM ({MATCH}) q"
+
+
+@query(f"SELECT CASE WHEN count(home_corners + away_corners) >= 30 THEN round(avg(home_corners + away_corners), 6) ELSE 10.2 END AS mean_corners FROM ({_CORNERS}) q")
+def q_mean_corners(t: Tables) -> DataFrame:
+    return rounded(matches.mean_corners(t.sql(_CORNERS)), "mean_corners")
+
+
+@query("SELECT o_orderkey AS id, y || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS season FROM (SELECT o_orderkey, CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS y FROM orders) q")
+def q_season_label(t: Tables) -> DataFrame:
+    return t("orders").select(F.col("o_orderkey").alias("id"), text.season_label(text.season_start(F.col("o_orderdate"))).alias("season"))
+
+
+@query(f"SELECT match_id, round(1 / (1 + pow(10e0, -(1500 + match_id % 400 + 60 - (1500 + match_id % 331)) / 400e0)), 6) AS expectation, round(pow(0.5e0, match_id % 1000 / 365e0), 6) AS weight FROM ({MATCH}) q")
+def q_expectation(t: Tables) -> DataFrame:
+    rows = t.sql(MATCH).select("match_id", odds.elo_expectation(1500.0 + F.col("match_id") % 400, 1500.0 + F.col("match_id") % 331).alias("expectation"), odds.time_weight(F.col("match_id") % 1000).alias("weight"))
+    return rounded(rows, "expectation", "weight")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions import text
 from touchline.operators import pricing, settlement, tickets
 from touchline.plans.base import longs, query, rounded
 from touchline.plans.fixtures import MATCH, Tables
@@ -185,3 +186,28 @@ def q_new_tickets(t: Tables) -> DataFrame:
 def q_greedy_tickets(t: Tables) -> DataFrame:
     legs = t.sql(f"SELECT season AS day, match_id AS event_id, match_id AS outcome_id, 1.5e0 + match_id % 20 / 1e1 AS odds, 0.02e0 + match_id % 97 / 1e3 AS ev FROM ({MATCH}) q WHERE match_id % 7 = 0")
     return longs(tickets.greedy(legs, target=20.0, tickets=5), "ticket", "position")
+
+
+_HISTORY = f"SELECT match_id AS ticket_id, CASE WHEN match_id % 3 = 0 THEN 'liquidado' ELSE 'pendiente' END AS state, kickoff AS settled_at FROM ({MATCH}) q"
+
+
+@query(f"SELECT ticket_id, settled_at FROM ({_HISTORY}) q WHERE state = 'liquidado' ORDER BY settled_at DESC, ticket_id LIMIT 40")
+def q_ticket_history(t: Tables) -> DataFrame:
+    return tickets.history(t.sql(_HISTORY)).select("ticket_id", "settled_at")
+
+
+_NAMED = " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(("Real", "Empate", "Betis", "Real -0.75", "Betis +1.5", "Más de 2.5")))
+_LABELS = f"""SELECT match_id, k, 'Real - Betis' AS game, CASE WHEN k < 3 THEN 'Resultado Final' WHEN k < 5 THEN 'Hándicap asiático' ELSE 'Total de goles' END AS market, CASE k WHEN 0 THEN '1' WHEN 1 THEN 'X' WHEN 2 THEN '2' WHEN 3 THEN '1' WHEN 4 THEN '2' ELSE 'Más de' END AS selection,
+ CASE k WHEN 3 THEN -0.75e0 WHEN 4 THEN 1.5e0 WHEN 5 THEN 2.5e0 END AS line, CASE k WHEN 4 THEN 'visitante' END AS side FROM (SELECT match_id, match_id % 6 AS k FROM ({MATCH}) q) r"""
+
+
+@query(f"SELECT match_id, CASE k {_NAMED} END AS label FROM ({_LABELS}) q")
+def q_selection_labels(t: Tables) -> DataFrame:
+    named = text.selection_label(F.col("game"), F.col("market"), F.col("selection"), F.col("line"), F.col("side"))
+    return t.sql(_LABELS).select("match_id", named.alias("label"))
+
+
+@query(f"SELECT k AS period, count(*) AS n FROM (SELECT CASE match_id % 4 WHEN 0 THEN 'primera' WHEN 1 THEN 'segunda' WHEN 2 THEN 'completo' ELSE 'primera' END AS k FROM ({MATCH}) q) r GROUP BY k")
+def q_periods(t: Tables) -> DataFrame:
+    name = F.expr("CASE match_id % 4 WHEN 0 THEN 'Total de goles - 1.ª parte' WHEN 1 THEN 'Resultado - 2ª Parte' WHEN 2 THEN 'Resultado Final' ELSE 'Resultado al descanso' END")
+    return t.sql(MATCH).groupBy(text.market_period(text.market_normal(name)).alias("period")).agg(F.count(F.lit(1)).alias("n"))
