@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import result_letter
-from touchline.operators import diagnosis, market, metrics
+from touchline.operators import diagnosis, feed, market, metrics
 from touchline.operators.models import calibration, market_anchor
 from touchline.plans.base import query, rounded
 from touchline.plans.fixtures import MATCH, ODDS, PRED, SNAPSHOT, Tables
@@ -245,3 +245,26 @@ def q_by_league(t: Tables) -> DataFrame:
     return rounded(own.join(other, "league").select("league", "n", "brier_model", (F.col("brier_model") - F.col("b")).alias("difference")), "brier_model", "difference")
 
 
+
+
+_MILLI = "(CAST(floor(abs(value) * 10) AS BIGINT) + 990)"
+
+
+def _responses(t: Tables) -> DataFrame:
+    """Feed answers of ten events each: an offer per event with a team's and a player's outcome, a pack of nested legs."""
+    outcome = lambda i, player: F.expr(f"named_struct('id', event_id * 2 + {i}, 'label', '1', 'participant', event_type, 'participantId', user_id, 'eventParticipantId', {player}, 'type', 'OT', 'line', event_id % 7 * 250, 'odds', {_MILLI} + {i} * 500, 'status', 'OPEN')")
+    rows = t("events").withColumns({"a": outcome(0, "CAST(NULL AS BIGINT)"), "b": outcome(1, "user_id")})
+    offer = F.expr("named_struct('id', event_id, 'criterion', named_struct('id', 1L, 'label', event_type), 'betOfferType', named_struct('name', 'Match'), 'outcomes', array(a, b))").cast(feed.OFFER)
+    group = "named_struct('outcomes', array(named_struct('id', event_id + 1)), 'groups', array(named_struct('outcomes', array(named_struct('id', event_id), named_struct('id', event_id + 2)))))"
+    pack = F.from_json(F.to_json(F.expr(f"named_struct('id', event_id, 'tags', array('t'), 'prePackSelections', array(named_struct('selectionId', user_id, 'label', array('l'), 'status', 'OPEN', 'combinations', array(named_struct('odds', named_struct('decimal', {_MILLI} * 2), 'groups', array({group}))))))")), feed.PACK.replace("`", ""))
+    return rows.groupBy((F.floor(F.col("event_id") / 10)).alias("event_id")).agg(F.lit("L").alias("league"), F.collect_list(offer).alias("betOffers"), F.collect_list(pack).alias("prePacks"))
+
+
+@query(f"WITH e AS (SELECT *, {_MILLI} AS m FROM events), o AS (SELECT event_id * 2 AS outcome_id, event_id AS offer_id, event_type AS market, false AS is_player, event_id % 7 * 250 / 1000e0 AS line, m / 1000e0 AS odds FROM e UNION ALL SELECT event_id * 2 + 1, event_id, event_type, true, event_id % 7 * 250 / 1000e0, (m + 500) / 1000e0 FROM e) SELECT outcome_id, offer_id, market, is_player, line, odds, round(1 / odds, 6) AS implied FROM o WHERE odds > 1")
+def q_feed_prices(t: Tables) -> DataFrame:
+    return feed.prices(_responses(t), F.lit("2024-05-01T10:00:00Z")).select("outcome_id", "offer_id", "market", "is_player", "line", "odds", "implied")
+
+
+@query(f"WITH e AS (SELECT *, {_MILLI} AS m FROM events) SELECT event_id AS pack_id, user_id AS selection_id, 3 AS n_legs, (event_id + 1) || ',' || event_id || ',' || (event_id + 2) AS legs, m * 2 / 1000e0 AS odds, substr(sha256(CAST(floor(event_id / 10e0) AS BIGINT) || '|[' || event_id || ', ' || (event_id + 1) || ', ' || (event_id + 2) || ']'), 1, 16) AS pack_hash FROM e WHERE m * 2 > 1000")
+def q_feed_packs(t: Tables) -> DataFrame:
+    return feed.packs(_responses(t), F.lit("2024-05-01T10:00:00Z")).select("pack_id", "selection_id", "n_legs", "legs", "odds", "pack_hash")
