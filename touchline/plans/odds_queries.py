@@ -211,7 +211,7 @@ def q_bet_rules(t: Tables) -> DataFrame:
 
 @query(_BETS + _BY_RULE + f""", s AS (SELECT rule, season, count(*) AS n, sum(profit) AS profit FROM r GROUP BY 1, 2), g AS (SELECT rule, sum(n) AS n, sum(profit) AS total, arg_max(season, struct_pack(a := profit, b := season)) AS best_season, arg_max(n, struct_pack(a := profit, b := season)) AS best_n, max(profit) AS best_profit FROM s GROUP BY rule),
  z AS (SELECT rule, avg(profit) / (stddev_samp(profit) / sqrt(count(*))) AS z FROM r GROUP BY rule), w AS (SELECT rule, sum(profit) AS largest FROM (SELECT * FROM r WHERE profit > 0 QUALIFY row_number() OVER (PARTITION BY rule ORDER BY profit DESC) <= 10) q GROUP BY rule)
- SELECT rule, n::BIGINT AS n, round(z, 6) AS z, round({diagnosis.two_sided(13)!r}, 6) AS z_needed, z > {diagnosis.two_sided(13)!r} AS holds, best_season, round(CASE WHEN n - best_n > 30 THEN (total - best_profit) / (n - best_n) END, 6) AS roi_without_best, round(CASE WHEN total > 0 THEN largest / total END, 6) AS share_of_largest FROM g JOIN z USING (rule) LEFT JOIN w USING (rule) WHERE n >= 30""")
+ SELECT rule, n::BIGINT AS n, round(z, 6) AS z, round({diagnosis.two_sided(13)!r}::DOUBLE, 6) AS z_needed, z > {diagnosis.two_sided(13)!r} AS holds, best_season, round(CASE WHEN n - best_n > 30 THEN (total - best_profit) / (n - best_n) END, 6) AS roi_without_best, round(CASE WHEN total > 0 THEN largest / total END, 6) AS share_of_largest FROM g JOIN z USING (rule) LEFT JOIN w USING (rule) WHERE n >= 30""")
 def q_robustness(t: Tables) -> DataFrame:
     return rounded(diagnosis.robustness(_bets(t)), "z", "z_needed", "roi_without_best", "share_of_largest")
 
