@@ -71,10 +71,10 @@ def q_url_normalize(t: Tables) -> DataFrame:
     return rows.select("page_id", text.url_host(F.col("normal")).alias("domain"), "normal", text.url_hash(F.col("normal")).alias("url_hash"))
 
 
-@query(_NORMAL + ", s AS (SELECT DISTINCT normal FROM n WHERE page_id % 3 = 0) SELECT min(page_id) AS page_id, normal FROM n WHERE normal NOT IN (SELECT normal FROM s) GROUP BY normal")
+@query(_NORMAL + ", s AS (SELECT DISTINCT normal FROM n JOIN pages USING (page_id) WHERE url LIKE '%utm_%') SELECT min(page_id) AS page_id, normal FROM n WHERE normal NOT IN (SELECT normal FROM s) GROUP BY normal")
 def q_url_hash_dedupe(t: Tables) -> DataFrame:
-    rows = t("pages").select("page_id", text.url_normal(F.col("url")).alias("normal"))
-    return crawl.unseen(rows, rows.where("page_id % 3 = 0"), "normal", "page_id").select("page_id", "normal")
+    rows = t("pages").select("page_id", "url", text.url_normal(F.col("url")).alias("normal"))
+    return crawl.unseen(rows, rows.where("url LIKE '%utm_%'"), "normal", "page_id").select("page_id", "normal")
 
 
 # one path for each rule and for none, so that all rules fire

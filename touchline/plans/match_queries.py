@@ -161,8 +161,8 @@ def q_entity(t: Tables) -> DataFrame:
     return real.unionByName(within).select("name", "slug", "method")
 
 
-_EVENTS = f"SELECT match_id AS event_id, CAST(league AS VARCHAR(10)) AS league, CAST(kickoff AS DATE) AS day, 'Team ' || CAST(home AS VARCHAR(10)) AS home_name FROM ({MATCH}) q WHERE match_id % 3 = 0"
-_RESULTS = f"SELECT match_id AS result_id, CAST(league AS VARCHAR(10)) AS league, CAST(kickoff AS DATE) AS day, 'TEAM ' || CAST(home AS VARCHAR(10)) || '.' AS home_name, home_goals, away_goals FROM ({MATCH}) q WHERE match_id % 3 <> 1"
+_EVENTS = f"SELECT match_id AS event_id, CAST(league AS VARCHAR(10)) AS league, CAST(kickoff AS DATE) AS day, 'Team ' || CAST(home AS VARCHAR(10)) AS home_name FROM ({MATCH}) q"
+_RESULTS = f"SELECT match_id AS result_id, CAST(league AS VARCHAR(10)) AS league, CAST(kickoff AS DATE) AS day, 'TEAM ' || CAST(home AS VARCHAR(10)) || '.' AS home_name, home_goals, away_goals FROM ({MATCH}) q"
 
 
 @query(f"""WITH e AS ({_EVENTS}), r AS ({_RESULTS}) SELECT event_id, result_id, home_goals, away_goals FROM e JOIN r ON e.league = r.league AND r.day BETWEEN e.day AND e.day + 1 AND lower(e.home_name) = lower(replace(r.home_name, '.', ''))
@@ -173,17 +173,18 @@ def q_result_band(t: Tables) -> DataFrame:
 
 
 
-def _scored(season: int, every: int) -> str:
-    return f"SELECT home AS player, CAST(sum(home_goals) AS BIGINT) AS goals, count(*) AS played FROM ({MATCH}) q WHERE season = {season} AND (home + season) % 9 <> 0 AND match_id % {every} = 0 GROUP BY home"
+def _scored(season: int) -> str:
+    """Goals and matches of a season's players; some play in one of two seasons only."""
+    return f"SELECT player, CAST(sum(home_goals) AS BIGINT) AS goals, count(*) AS played FROM (SELECT match_id % 499 + season % 2 * 60 AS player, home_goals FROM ({MATCH}) q WHERE season = {season}) r GROUP BY player"
 
 
-_RATES = f"""WITH a AS ({_scored(1998, 40)}), b AS ({_scored(1997, 30)}), j AS (SELECT coalesce(a.player, b.player) AS player, a.goals, a.played, b.goals AS gb, b.played AS pb, coalesce(b.played >= 5, false) AS ok FROM a FULL JOIN b ON a.player = b.player),
+_RATES = f"""WITH a AS ({_scored(1998)}), b AS ({_scored(1997)}), j AS (SELECT coalesce(a.player, b.player) AS player, a.goals, a.played, b.goals AS gb, b.played AS pb, coalesce(b.played >= 5, false) AS ok FROM a FULL JOIN b ON a.player = b.player),
  r AS (SELECT player, coalesce(goals, 0) AS goals, coalesce(played, 0) AS played, coalesce(pb, 0) AS played_before, CASE WHEN ok THEN gb / pb::DOUBLE END AS rate_before,
   CASE WHEN played IS NULL THEN gb / pb::DOUBLE WHEN ok THEN (goals + 10e0 * (gb / pb::DOUBLE)) / (played + 10e0) ELSE goals::DOUBLE / played END AS rate, CASE WHEN played IS NULL THEN 10e0 WHEN ok THEN played + 10e0 ELSE played::DOUBLE END AS stands_on FROM j WHERE played IS NOT NULL OR ok) """
 
 
 def _rates(t: Tables) -> DataFrame:
-    return scorers.shrunk_rates(t.sql(_scored(1998, 40)), t.sql(_scored(1997, 30)))
+    return scorers.shrunk_rates(t.sql(_scored(1998)), t.sql(_scored(1997)))
 
 
 @query(_RATES + "SELECT player, goals, played, played_before, round(rate_before, 6) AS rate_before, round(rate, 6) AS rate, stands_on, played + played_before >= 8 AS reliable FROM r")
@@ -191,11 +192,11 @@ def q_shrinkage(t: Tables) -> DataFrame:
     return longs(rounded(_rates(t), "rate_before", "rate"), "goals", "played", "played_before")
 
 
-@query(_RATES + f""", x AS (SELECT match_id, home AS player, 0.5e0 + match_id % 20 / 1e1 AS team_goals FROM ({MATCH}) q WHERE season = 1999),
+@query(_RATES + f""", x AS (SELECT match_id, match_id % 499 AS player, 0.5e0 + match_id % 20 / 1e1 AS team_goals FROM ({MATCH}) q),
  l AS (SELECT match_id, x.player, greatest(rate * team_goals / 1.35e0, 1e-6) AS lam FROM x JOIN r ON x.player = r.player WHERE played + played_before >= 8)
  SELECT match_id, player, round(1 - exp(-lam), 6) AS p1, round(1 - exp(-lam) - exp(-lam) * lam, 6) AS p2, round(1 - exp(-lam) - exp(-lam) * lam - exp(-lam) * lam * lam / 2, 6) AS p3 FROM l""")
 def q_scorer_chances(t: Tables) -> DataFrame:
-    rows = t.sql(f"SELECT match_id, home AS player, 0.5e0 + match_id % 20 / 1e1 AS team_goals FROM ({MATCH}) q WHERE season = 1999")
+    rows = t.sql(f"SELECT match_id, match_id % 499 AS player, 0.5e0 + match_id % 20 / 1e1 AS team_goals FROM ({MATCH}) q")
     return rounded(scorers.scoring_chances(_rates(t), rows).select("match_id", "player", "p1", "p2", "p3"), "p1", "p2", "p3")
 
 

@@ -63,7 +63,7 @@ def q_offer_margin(t: Tables) -> DataFrame:
 
 
 _PACKS = f"SELECT event_id AS pack_id, '2024' AS captured_at, CAST(outcome_id AS VARCHAR(20)) || ',' || CAST((outcome_id + 7) % 160 AS VARCHAR(20)) || CASE WHEN event_id % 2 = 0 THEN ',' || CAST((outcome_id + 31) % 160 AS VARCHAR(20)) ELSE '' END AS legs, odds * 4 AS odds FROM ({SNAPSHOT}) q"
-_LEG_PRICES = f"SELECT outcome_id, '2024' AS captured_at, max(odds) AS odds FROM ({SNAPSHOT}) q WHERE outcome_id % 13 <> 5 GROUP BY outcome_id"
+_LEG_PRICES = f"SELECT outcome_id, '2024' AS captured_at, max(odds) AS odds FROM ({SNAPSHOT}) q GROUP BY outcome_id HAVING avg(odds) < 3.35"
 _COSTS = f"""WITH p AS ({_PACKS}), l AS ({_LEG_PRICES}), x AS (SELECT pack_id, odds, unnest(string_split(legs, ','))::BIGINT AS leg FROM p),
  c AS (SELECT pack_id, max(x.odds) AS pack_odds, count(*) AS n_legs, product(l.odds) AS product, max(x.odds) / product(l.odds) AS ratio FROM x LEFT JOIN l ON leg = outcome_id GROUP BY pack_id HAVING count(*) = count(l.odds)) """
 

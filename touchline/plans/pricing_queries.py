@@ -10,8 +10,8 @@ from touchline.operators import pricing, settlement, tickets
 from touchline.plans.base import longs, query, rounded
 from touchline.plans.fixtures import MATCH, Tables
 
-#: Expected goals of some matches, by keys.
-RATES = f"SELECT match_id, 0.8e0 + match_id % 13 / 1e1 AS lam, 0.6e0 + match_id % 9 / 1e1 AS mu FROM ({MATCH}) q WHERE match_id % 5 = 0"
+#: Expected goals of matches, by keys.
+RATES = f"SELECT match_id, 0.8e0 + match_id % 13 / 1e1 AS lam, 0.6e0 + match_id % 9 / 1e1 AS mu FROM ({MATCH}) q"
 _RHO = -0.05
 _FACT = "CASE {k} " + " ".join(f"WHEN {i} THEN {float(f)!r}::DOUBLE" for i, f in enumerate((1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880))) + " END"
 _RAW = f"""WITH r AS ({RATES}), c AS (SELECT match_id, lam, mu, h, a FROM r, (SELECT unnest(range(10)) AS h) x, (SELECT unnest(range(10)) AS a) y),
@@ -86,7 +86,7 @@ def q_exact_scores(t: Tables) -> DataFrame:
     return rounded(pricing.exact_scores(_grid(t)), "win")
 
 
-_MEANS = f"SELECT match_id, 8e0 + match_id % 50 / 1e1 AS mean FROM ({MATCH}) q WHERE match_id % 7 = 0"
+_MEANS = f"SELECT match_id, 8e0 + match_id % 50 / 1e1 AS mean FROM ({MATCH}) q"
 
 
 @query(f"WITH m AS ({_MEANS}), k AS (SELECT match_id, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM m, (SELECT unnest(range(31)) AS k) x), n AS (SELECT match_id, k, p / sum(p) OVER (PARTITION BY match_id) AS p FROM k) SELECT match_id, line, round(coalesce(sum(p) FILTER (k > line), 0), 6) AS over, round(coalesce(sum(p) FILTER (k < line), 0), 6) AS under, round(coalesce(sum(p) FILTER (k = line), 0), 6) AS push FROM n, (SELECT unnest([8.5e0, 10e0, 11.5e0]) AS line) l GROUP BY 1, 2")
@@ -176,15 +176,15 @@ def q_ticket_properties(t: Tables) -> DataFrame:
     return rounded(rounded(rounded(rows, "ev", "implied_pct"), "odds", digits=4), "p", digits=8)
 
 
-@query(f"WITH t AS (SELECT DISTINCT ticket_id FROM ({_LEG_ROWS}) q) SELECT ticket_id, 'pendiente' AS state FROM t WHERE ticket_id % 3 <> 0")
+@query(f"WITH t AS (SELECT ticket_id, max(odds) AS odds FROM ({_LEG_ROWS}) q GROUP BY ticket_id) SELECT ticket_id, 'pendiente' AS state FROM t WHERE odds < 3.35")
 def q_new_tickets(t: Tables) -> DataFrame:
-    issued = t.sql(_LEG_ROWS).select("ticket_id")
-    return tickets.new_tickets(issued, issued.where("ticket_id % 3 = 0").distinct()).select("ticket_id", "state")
+    issued = t.sql(_LEG_ROWS).select("ticket_id", "odds")
+    return tickets.new_tickets(issued, issued.where("odds >= 3.35").select("ticket_id").distinct()).select("ticket_id", "state")
 
 
 @query()
 def q_greedy_tickets(t: Tables) -> DataFrame:
-    legs = t.sql(f"SELECT season AS day, match_id AS event_id, match_id AS outcome_id, 1.5e0 + match_id % 20 / 1e1 AS odds, 0.02e0 + match_id % 97 / 1e3 AS ev FROM ({MATCH}) q WHERE match_id % 7 = 0")
+    legs = t.sql(f"SELECT season AS day, match_id AS event_id, match_id AS outcome_id, 1.5e0 + match_id % 20 / 1e1 AS odds, 0.02e0 + match_id % 97 / 1e3 AS ev FROM ({MATCH}) q")
     return longs(tickets.greedy(legs, target=20.0, tickets=5), "ticket", "position")
 
 
