@@ -26,7 +26,7 @@ CAPACITY = 2048
 #: A bin with so few free places is emitted at once.
 SLACK = 8
 #: Words that a worker remembers.
-CACHE = 600_000
+CACHE = 700_000
 #: Items that one task of a merging round gets, in the mean.
 GROUP, FAN_IN = 40_000, 8
 
