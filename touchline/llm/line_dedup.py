@@ -4,7 +4,8 @@ A line's ratio on a host is the number of the host's pages that contain it over
 beyond the ratio are dropped from those pages.  Lines are parted by newlines and compared whole, by a 64-bit
 hash; lines of spaces alone are neither counted nor dropped.
 
-Hosts with fewer than `least_pages` pages keep all lines.  `most_dropped` leaves a page whole that would lose
+Hosts with fewer than `least_pages` pages keep all lines, and so do lines on fewer than `least_count` pages: on a host of
+nine pages every line is on more than a tenth of them.  `most_dropped` leaves a page whole that would lose
 more than that share of its characters: such pages are copies of each other, which near-duplicate removal
 judges, rather than pages with the same furniture.  At 1.0 no page is left out.
 
@@ -20,23 +21,23 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import staged
 
-RATIO, LEAST_PAGES = 0.1, 5
+RATIO, LEAST_PAGES, LEAST_COUNT = 0.1, 5, 3
 #: Boilerplate lines of all hosts up to this number are broadcast (8 bytes each); beyond it hosts are joined by shuffle.
 BROADCAST_LINES, SALTS = 500_000, 32
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_count: int = LEAST_COUNT) -> DataFrame:
     """A row per host with boilerplate: __host and the hashes __lines."""
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
     counts = docs.select(F.col(host).alias("__host"), F.explode(F.array_distinct(lines)).alias("__line")).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__n"))
     totals = docs.groupBy(F.col(host).alias("__host0")).agg(F.count(F.lit(1)).alias("__pages")).where(F.col("__pages") >= least_pages)
-    often = counts.join(totals, F.col("__host").eqNullSafe(F.col("__host0"))).where(F.col("__n") > F.lit(ratio) * F.col("__pages"))
+    often = counts.join(totals, F.col("__host").eqNullSafe(F.col("__host0"))).where((F.col("__n") >= least_count) & (F.col("__n") > F.lit(ratio) * F.col("__pages")))
     return often.groupBy("__host").agg(F.sort_array(F.collect_list("__line")).alias("__lines"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_dropped: float = 1.0) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_dropped: float = 1.0, least_count: int = LEAST_COUNT) -> DataFrame:
     """docs with the boilerplate lines gone from text, and the numbers of lines __n_lines and __n_dropped."""
-    known = staged(boilerplate(docs, host, text, ratio, least_pages))
+    known = staged(boilerplate(docs, host, text, ratio, least_pages, least_count))
     size = known.agg(F.coalesce(F.sum(F.size("__lines")), F.lit(0))).first()[0]
     if size <= BROADCAST_LINES:
         joined = docs.join(F.broadcast(known), docs[host].eqNullSafe(known["__host"]), "left")
@@ -58,7 +59,7 @@ ORACLE = f"""
 WITH l AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
 t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= {LEAST_PAGES}),
 n AS (SELECT source, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY source, line),
-b AS (SELECT source, list(line) AS often FROM n JOIN t USING (source) WHERE n > {RATIO} * pages GROUP BY source),
+b AS (SELECT source, list(line) AS often FROM n JOIN t USING (source) WHERE n >= {LEAST_COUNT} AND n > {RATIO} * pages GROUP BY source),
 d AS (SELECT doc_id, string_split(text, chr(10)) AS lines, coalesce(often, []::VARCHAR[]) AS often FROM documents LEFT JOIN b USING (source)),
 k AS (SELECT doc_id, lines, [x FOR x IN lines IF NOT list_contains(often, x)] AS kept FROM d)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
