@@ -290,6 +290,27 @@ def test_passages(spark):
     assert passages.repeated_passages(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_passages_among_texts_that_share_only_parts(spark):
+    rows = []
+    for k in range(12):
+        words = prose(4000 + k, 64).split()
+        rows += [(1000 * k + i, " ".join([prose(5000 + 100 * k + i, 40), *words[2 * i : 2 * i + 20], prose(9000 + 100 * k + i, 40)])) for i in range(22)]
+        rows += [(1000 * k + 500 + i, " ".join([prose(20000 + 100 * k + i, 30), *words, prose(30000 + 100 * k + i, 30)])) for i in range(2)]
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in passages.repeated_passages(frame(spark, rows)).collect()}
+    # a stretch stays similar enough for a few words beyond the passage's ends
+    assert set(got) == {1000 * k + 500 + i for k in range(12) for i in range(2)}
+    assert all(len(spans) == 1 and 20 <= spans[0][0] <= 30 and 94 <= spans[0][1] <= 104 for spans in got.values())
+
+
+def test_sides():
+    grams = np.random.default_rng(2).integers(0, 2**63, 30).astype(np.uint64)
+    grams[20:25] = grams[3:8]
+    on, to = passages.sides(grams, np.arange(30), 5)
+    assert on[3] == on[20] and to[7] == to[24] and on[3] == to[7] and len(set(on[:26])) == 25 and (on[:26] != 0).all()
+    assert not on[26:].any() and not to[:4].any()
+    assert not passages.sides(grams[:3], np.arange(3), 5)[0].any()
+
+
 def test_passages_match_brute_force(spark, monkeypatch):
     """Every text with an exact repeat of 50 words is found, and nearly all words of them; ids joined by shuffle, cells small."""
     monkeypatch.setattr(passages, "BROADCAST_IDS", 0)
@@ -405,7 +426,7 @@ def test_packing_merges_residuals(spark):
 # ---- op9
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio, least, count=3):
     hosts, seen = Counter(), Counter()
     for _, t, h in rows:
         hosts[h] += 1
@@ -416,7 +437,7 @@ def brute_lines(rows, ratio, least):
         if t is None:
             out.append((i, 0, 0, None))
             continue
-        kept = [x for x in t.split("\n") if not (hosts[h] >= least and seen[h, x] > ratio * hosts[h])]
+        kept = [x for x in t.split("\n") if not (hosts[h] >= least and seen[h, x] >= count and seen[h, x] > ratio * hosts[h])]
         out.append((i, len(t.split("\n")), len(t.split("\n")) - len(kept), "\n".join(kept)))
     return out
 
@@ -440,6 +461,12 @@ def test_line_dedup_leaves_copies_whole(spark):
     assert got[0] == "copy one\ncopy two" and got[20] == prose(0, 30)
 
 
+def test_line_dedup_keeps_what_few_pages_hold(spark):
+    rows = [(i, f"menu\n{prose(i, 30)}\n{'pair' if i < 2 else 'lone'} {i // 2}", "small") for i in range(7)]
+    got = {x.doc_id: x.text for x in ld.line_dedup(frame(spark, rows).drop("source").withColumn("source", F.lit("small"))).collect()}
+    assert got == {i: t.removeprefix("menu\n") for i, t, _ in rows}
+
+
 # ---- op10
 
 
