@@ -302,6 +302,44 @@ def test_passages_among_texts_that_share_only_parts(spark):
     assert all(len(spans) == 1 and 20 <= spans[0][0] <= 30 and 94 <= spans[0][1] <= 104 for spans in got.values())
 
 
+def test_passages_behind_common_beginnings_and_ends(spark):
+    """Two texts share 50 words whose first or last 40 are common to others, which have the least and the greatest class."""
+    rows, want = [], set()
+    for k in range(150):
+        words = prose(40000 + k, 50).split()
+        part = words[:40] if k % 2 else words[10:]
+        rows += [(100 * k + i, " ".join([prose(50000 + 100 * k + i, 100), *part, prose(90000 + 100 * k + i, 100)])) for i in range(12)]
+        rows += [(100 * k + 50 + i, " ".join([prose(200000 + 100 * k + i, 100), *words, prose(300000 + 100 * k + i, 150)])) for i in range(2)]
+        want |= {100 * k + 50, 100 * k + 51}
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in passages.repeated_passages(frame(spark, rows).repartition(5)).collect()}
+    assert want <= set(got)
+    assert all(any(a <= 100 and b >= 150 for a, b in got[i]) for i in want)
+
+
+def test_equal_stretches_have_equal_tokens():
+    r = np.random.default_rng(3)
+    x, y = (r.integers(0, 2**63, 300).astype(np.uint64) for _ in range(2))
+    y[40:100] = x[170:230]
+    y[60] = y[61] = x[190] = x[191] = x[185]
+    of = []
+    for grams in (x, y):
+        token, first, last = passages.halves(grams, 46)
+        by = {s: t for t, a, b in zip(token.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1)}
+        assert set(by) == set(range(255)) and (last - first + 1).sum() == 255
+        of.append(by)
+    y[45:50] = x[175:180]
+    assert all(of[0][s + 130] == of[1][s] for s in range(40, 55))
+    hashes = [passages.stretches(g, 46).tolist() for g in (x, y)]
+    assert all(hashes[0][s + 130] == hashes[1][s] for s in range(40, 55)) and len(set(hashes[0]) & set(hashes[1])) == 15
+
+
+def test_equal_stretches_are_all_linked():
+    rows = np.array([(1, 5, 10), (1, 5, 90), (1, 7, 3), (1, 9, 4), (2, 5, 1), (2, 5, 60), (3, 9, 9)], passages.STRETCH)
+    stay, link = passages.linked(rows)
+    assert sorted(stay.tolist()) == [(1, 5, 10), (2, 5, 1), (2, 5, 60), (3, 9, 9)]
+    assert sorted(link.tolist()) == [(5, 7, -7), (5, 9, -86), (5, 9, -6)]
+
+
 def test_sides():
     grams = np.random.default_rng(2).integers(0, 2**63, 30).astype(np.uint64)
     grams[20:25] = grams[3:8]
