@@ -389,6 +389,40 @@ def test_secret_layers():
     assert secrets.scan("") == [] and secrets.scan("%41" * 50 + "\\u0041" * 9) == []
 
 
+def test_secret_layers_are_scanned_whole():
+    import base64
+    import gzip
+
+    secret = b"token=abcdefgh12345678"
+    found = lambda data: [x[:3] for x in secrets.scan(f"x {base64.b64encode(data).decode()} y") if x[3]]
+    for data in (gzip.compress(b"clean\n") + gzip.compress(secret), gzip.compress(gzip.compress(b"clean ") + zlib.compress(secret)), zlib.compress("é".encode() * 8_500_000 + b" " + secret), gzip.compress(b"a" + "é".encode() * 700_000 + secret), gzip.compress(secret)[:-6]):
+        assert {k for k, _, _ in found(data)} == {"assign"}
+    assert found(b"x^ not packed, " + secret) and not found(b"\x1f\x8b" + secret)
+
+
+def test_secret_parts_overlap(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 300)
+    texts = [f"clean words, {'0' * n} token=abcdefgh{n}" for n in range(200)] + ["A" * 2000 + "AKIA" + "B" * 90]
+    parts = list(secrets._parts(iter(["".join(texts)])))
+    assert len(parts) > 1 and max(map(len, parts)) <= len("".join(texts))
+    spans = {t for part in parts for t in (part[a:b] for k, a, b in secrets.find(part) if k == "assign")}
+    assert spans == {t for t in ("".join(texts)[a:b] for k, a, b in secrets.find("".join(texts)) if k == "assign")}
+
+
+@pytest.mark.parametrize(("width", "end"), [(64, "\n"), (76, "\n"), (76, "\r\n")])
+def test_secret_in_wrapped_base64(width, end):
+    import base64
+    import gzip
+
+    for data in (gzip.compress(random.Random(1).randbytes(90).hex().upper().encode() + b" password=hunter2hunter2 " + prose(2, 60).encode()), b"z" * 40 + b" secret=abcdefghijklmnop " + b"z" * 90):
+        plain = base64.b64encode(data).decode()
+        run = end.join(plain[i : i + width] for i in range(0, len(plain), width))
+        for before, after in (("a: ", " b"), ("a:\n", "\nword and more"), ("", "")):
+            text = before + run + after
+            ((a, b, path),) = [x[1:] for x in secrets.scan(text) if x[0] == "assign"]
+            assert text[a:b].startswith(run) and path == "/base64"  # a word on the next line may seem to go on
+
+
 def brute_secrets(text):
     import re
 

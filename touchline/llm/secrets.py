@@ -6,17 +6,23 @@ turn and unwrapped again until nothing new appears; layers that were seen before
 Every finding is mapped to the code points of the original text that it comes from.
 
 Nulls: a null text counts as empty and has no findings; a null id is kept.  Empty tables give empty
-results; repeated rows are scanned each for itself; other columns are ignored.  A compressed stream is
-inflated up to INFLATE bytes; what a longer one holds beyond that is not scanned.
+results; repeated rows are scanned each for itself; other columns are ignored.
+
+Compressed streams are opened with all their members and whatever their size, in pieces of PIECE characters that
+are cut where no finding or layer can go on.  A run of over 4 * PIECE characters without such a place is cut with an
+overlap of PIECE; only a layer within it that is longer than the overlap is then seen in parts.  A base64 run goes on over single line breaks.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import itertools
 import re
 import zlib
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +31,15 @@ from pyspark.sql import functions as F
 from touchline.llm.common import column_bytes, pieces, small_batches
 
 KINDS = ("assign", "access", "hex")
-INFLATE = 16_000_000
+#: Characters of a layer scanned at once, and bytes that are inflated at once.
+PIECE, CHUNK = 4_000_000, 1 << 16
 _ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _URL, _UNICODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+#: Characters that no finding and no layer contains.
+_OUTSIDE = re.compile(r"[^A-Za-z0-9+/_.=:%\\\"'\x20\r\n\u017f\u212a-]")
 _CODE = re.compile(r"\\[ux]([0-9A-Fa-f]+)")
 _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _WORDS = tuple(x.encode() for x in _KEYS)
@@ -71,49 +81,156 @@ def _codes(run: str) -> str:
     return _surrogates("".join(chr(int(x, 16)) for x in _CODE.findall(run)))
 
 
-def _inflated(data: bytes) -> bytes:
-    """The data with gzip and zlib streams opened, layer by layer."""
-    while data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-        try:
-            data = zlib.decompressobj(47).decompress(data, INFLATE)
-        except zlib.error:
-            break
-    return data
-
-
-def _plain(run: str) -> str | None:
-    """What a base64 run holds, if that is text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the gzip or zlib members hold that follow each other in the chunks, up to the first fault."""
+    stream, rest = zlib.decompressobj(47), b""
+    for chunk in itertools.chain(chunks, [b""]):
+        rest += chunk
+        while rest or not chunk and not stream.eof:
+            if stream.eof:
+                if len(rest) < 3:
+                    break
+                if not _packed(rest):
+                    return
+                stream = zlib.decompressobj(47)
+            try:
+                out = stream.decompress(rest, CHUNK)
+            except zlib.error:
+                return
+            rest = stream.unused_data if stream.eof else stream.unconsumed_tail
+            if out:
+                yield out
+            elif not rest:
+                break
+
+
+def _opened(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The chunks with gzip and zlib streams opened, layer by layer; what can't be opened stays as it is."""
+    head = b""
+    while len(head) < 3 and (chunk := next(chunks, b"")):
+        head += chunk
+    if not _packed(head):
+        yield head
+        yield from chunks
+        return
+    read = [head]
+
+    def more():
+        yield head
+        for chunk in chunks:
+            read.append(chunk)
+            yield chunk
+            read[1:] = read[1:] if unopened else []
+
+    unopened = True
+    inner = _members(more())
+    first = next(inner, None)
+    if first is None:
+        yield from read
+        yield from chunks
+        return
+    unopened = False
+    yield from _opened(itertools.chain([first], inner))
+
+
+def _decoded(data: bytes) -> Iterator[str]:
+    """The text of the data; UnicodeDecodeError where it is none."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    for chunk in _opened(data[i : i + CHUNK] for i in range(0, len(data), CHUNK)):
+        yield decoder.decode(chunk)
+    if not _packed(data):
+        decoder.decode(b"", True)
+
+
+def _parts(texts: Iterator[str]) -> Iterator[str]:
+    """The text in parts of about PIECE characters, cut where nothing goes on."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size < PIECE:
+            continue
+        whole = "".join(held)
+        last = None
+        for at in range(len(whole), 0, -CHUNK):
+            for last in _OUTSIDE.finditer(whole, max(at - CHUNK, 0), at):
+                pass
+            if last:
+                break
+        if last:
+            yield whole[: last.end()]
+            whole = whole[last.end() :]
+        elif size > 4 * PIECE:
+            yield whole
+            whole = whole[-PIECE:]
+        held, size = [whole], len(whole)
+    yield "".join(held)
+
+
+def _plain(run: str) -> Iterator[str] | None:
+    """What a base64 run holds, if that is text, in parts."""
+    body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data = _inflated(base64.b64decode(body + "=" * (-len(body) % 4)))
-        text = data.decode("utf-8")
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        size = shown = 0
+        for text in _decoded(data):
+            size += len(text)
+            shown += sum(c.isprintable() or c in "\n\r\t" for c in text)
     except (binascii.Error, UnicodeDecodeError):
         return None
-    shown = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and shown >= 0.95 * len(text) else None
+    return _parts(_decoded(data)) if size and shown >= 0.95 * size else None
+
+
+def _runs(layer: str) -> Iterator[tuple[int, int, Iterator[str]]]:
+    """Start, end and text of base64 runs: first those over several lines, of which the first or last line may be another word, then others."""
+    known: list[tuple[int, int]] = []
+    for m in _WRAPPED.finditer(layer):
+        lines = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"[^\r\n]+", m[0])]
+        width = max(b - a for a, b in lines[:2])
+        lines = lines[: next((i for i, (a, b) in enumerate(lines) if i and b - a < width), len(lines)) + 1]
+        for first, last in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            use = lines[first : len(lines) - last]
+            if len(use) > 1 and (inner := _plain(layer[use[0][0] : use[-1][1]])) is not None:
+                known.append((use[0][0], use[-1][1]))
+                yield *known[-1], inner
+                break
+    k = 0
+    for m in _BASE64.finditer(layer):
+        while k < len(known) and known[k][1] <= m.start():
+            k += 1
+        if (k == len(known) or m.start() < known[k][0]) and (inner := _plain(m[0])) is not None:
+            yield m.start(), m.end(), inner
 
 
 def scan(text: str) -> list[tuple[str, int, int, str]]:
     """All findings as kind, start, end and the path of layers ("" for the base), by start, kind and end."""
     found: dict[Span, str] = {}
-    todo, seen = [(text, range(len(text)), range(1, len(text) + 1), "")], set()
+    todo, seen = deque([(iter([text]), range(len(text)), range(1, len(text) + 1), "")]), set()
     while todo:
-        layer, starts, ends, path = todo.pop(0)
-        key = (layer, starts[0], ends[-1]) if layer else None
-        if key is None or key in seen:
-            continue
-        seen.add(key)
-        for kind, a, b in find(layer):
-            found.setdefault((kind, starts[a], max(ends[a:b])), path)
-        for name, mark, pattern, decode in (("url", "%", _URL, _url), ("unicode", "\\", _UNICODE, _codes)):
-            if mark in layer and pattern.search(layer):
-                todo.append((*_unescaped(pattern, decode, layer, starts, ends), f"{path}/{name}"))
-        for m in _BASE64.finditer(layer):
-            if (inner := _plain(m[0])) is not None:
-                a, b = starts[m.start()], max(ends[m.start() : m.end()])
-                todo.append((inner, [a] * len(inner), [b] * len(inner), f"{path}/base64"))
+        parts, starts, ends, path = todo.popleft()
+        for layer in parts:
+            if isinstance(starts, int):
+                at, to = [starts] * len(layer), [ends] * len(layer)
+            else:
+                at, to = starts, ends
+            key = (layer, at[0], to[-1]) if layer else None
+            if key is None or key in seen:
+                continue
+            seen.add(key)
+            for kind, a, b in find(layer):
+                found.setdefault((kind, at[a], max(to[a:b])), path)
+            for name, mark, pattern, decode in (("url", "%", _URL, _url), ("unicode", "\\", _UNICODE, _codes)):
+                if mark in layer and pattern.search(layer):
+                    new, *maps = _unescaped(pattern, decode, layer, at, to)
+                    todo.append((iter([new]), *maps, f"{path}/{name}"))
+            for a, b, inner in _runs(layer):
+                todo.append((inner, at[a], max(to[a:b]), f"{path}/base64"))
     return sorted(((*k, p) for k, p in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
