@@ -22,9 +22,6 @@ from touchline.llm.line_dedup import line_dedup
 from touchline.llm.ngram_join import ngram_join
 from touchline.llm.packing import best_fit_packing
 
-#: Pages that would lose more than this share of their characters are left to the near-duplicate stage.
-MOST_DROPPED = 0.6
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
@@ -32,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    cut = line_dedup(docs, most_dropped=MOST_DROPPED)
+    """Documents without the boilerplate lines of their source; those that would keep no word, which are copies, are left to the next stage."""
+    cut = line_dedup(docs, spare_emptied=True)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

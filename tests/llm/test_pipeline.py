@@ -50,6 +50,14 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").fillna(-1, ["doc_id"]).collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").fillna(-1, ["doc_id"]).collect()))
 
 
+def test_lines_go_from_pages_of_much_furniture(spark, folder):
+    menu = "\n".join(f"menu {prose(i, 30)}" for i in range(3))
+    rows = [(i, f"{menu}\n{prose(50 + i, 20)}", "en", "h", 1) for i in range(10)] + [(20 + i, menu, "en", "h", 1) for i in range(2)] + [(30, None, "en", "h", 0), (31, "", "en", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in cp.lines(spark, docs, folder).collect()}
+    assert got == {**{i: prose(50 + i, 20) for i in range(10)}, 20: menu, 21: menu, 30: None, 31: ""}
+
+
 def test_empty(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:

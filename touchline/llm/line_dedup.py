@@ -7,7 +7,8 @@ hash; lines of spaces alone are neither counted nor dropped.
 Hosts with fewer than `least_pages` pages keep all lines, and so do lines on fewer than `least_count` pages: on a host of
 nine pages every line is on more than a tenth of them.  `most_dropped` leaves a page whole that would lose
 more than that share of its characters: such pages are copies of each other, which near-duplicate removal
-judges, rather than pages with the same furniture.  At 1.0 no page is left out.
+judges, rather than pages with the same furniture.  At 1.0 no page is left out.  `spare_emptied` leaves only pages
+whole that would keep no word.
 
 Nulls: a null text stays null and has no lines; a null host is a host of its own.  Empty tables give empty
 results.  Repeated rows count as pages of their own.  Other columns are returned as they are; helper columns
@@ -35,7 +36,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return often.groupBy("__host").agg(F.sort_array(F.collect_list("__line")).alias("__lines"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_dropped: float = 1.0, least_count: int = LEAST_COUNT) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, most_dropped: float = 1.0, least_count: int = LEAST_COUNT, spare_emptied: bool = False) -> DataFrame:
     """docs with the boilerplate lines gone from text, and the numbers of lines __n_lines and __n_dropped."""
     known = staged(boilerplate(docs, host, text, ratio, least_pages, least_count))
     size = known.agg(F.coalesce(F.sum(F.size("__lines")), F.lit(0))).first()[0]
@@ -51,6 +52,8 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     cut = joined.withColumn("__kept", kept)
     lost = F.length(text) - F.length(F.array_join("__kept", "\n"))
     whole = lost > F.lit(most_dropped) * F.length(text)
+    if spare_emptied:
+        whole = whole | ~F.array_join("__kept", "\n").rlike("[^\\x20\\x09-\\x0D]")
     cut = cut.withColumn("__kept", F.when(whole, lines).otherwise(F.col("__kept")))
     return cut.withColumns({"__n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "__n_dropped": F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"), text: F.array_join("__kept", "\n")}).drop("__kept", "__lines", "__host")
 
