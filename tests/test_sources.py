@@ -1,5 +1,6 @@
 """Readers and writers over landed files; streams; models."""
 
+import datetime
 import json
 import math
 import random
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import pricing
 from touchline.operators.models import boosted, calibration, dixon_coles, market_anchor
 from touchline.sources import dimensions, readers, writers
 from touchline.streaming import streams
@@ -174,3 +176,27 @@ def test_ensemble_and_boosting(spark):
     scored, models = boosted.boosted(rows, rows, ["f", "g"], rounds=5)
     assert len(models) == 3 and scored.where("abs(p1 + px + p2 - 1) > 1e-9").count() == 0
     assert scored.where("(p1 >= px and p1 >= p2) = (y = 0)").count() > 270
+
+
+def test_all_matches_are_priced(spark):
+    """Every match of the table, against plain score grids of the fitted strengths."""
+    from touchline.plans import model_queries
+
+    rows = spark.createDataFrame([(r, r % 2, 2000, datetime.date(2020, 1, 1) + datetime.timedelta(days=r // 8), r % 2 * 10 + r // 2 % 6, r % 2 * 10 + (r // 2 % 6 + 1 + r // 12 % 5) % 6, r * 7 % 5 % 4, r * 3 % 7 % 3) for r in range(480)], "match_id long, league int, season int, kickoff date, home int, away int, home_goals int, away_goals int")
+
+    class Given:
+        def sql(self, text):
+            return rows
+
+    got = {(x.match_id, x.selection): x.win for x in model_queries.q_dixon_coles_markets(Given()).collect()}
+    fit = {(int(x.key), x.team): x for x in dixon_coles.strengths(rows.withColumns({"kickoff": F.col("kickoff").cast("timestamp"), "key": F.col("league").cast("string")}), "key").collect()}
+    assert len(fit) == 12 and len(got) == 3 * 480
+    poisson = lambda k, m: math.exp(-m) * m**k / math.factorial(k)
+    for m in rows.collect():
+        h, a = (fit[m.league, str(t)] if (m.league, str(t)) in fit else fit[m.league, t] for t in (m.home, m.away))
+        lam, mu = min(math.exp(h.attack + a.defence + h.home_edge), pricing.MOST), min(math.exp(a.attack + h.defence), pricing.MOST)
+        tau = {(0, 0): 1 - lam * mu * h.rho, (0, 1): 1 + lam * h.rho, (1, 0): 1 + mu * h.rho, (1, 1): 1 - h.rho}
+        grid = {(x, y): max(poisson(x, lam) * poisson(y, mu) * tau.get((x, y), 1), 0) for x in range(pricing.GOALS) for y in range(pricing.GOALS)}
+        total = sum(grid.values())
+        want = [sum(p for (x, y), p in grid.items() if (x > y) - (x < y) == s) / total for s in (1, 0, -1)]
+        assert [got[m.match_id, s] for s in ("1", "X", "2")] == pytest.approx(want, abs=1e-4)
