@@ -6,14 +6,20 @@ give the languages' probabilities.  Embeddings and layer are trained by stochast
 numpy on a bounded sample (SAMPLE documents); a temperature and a rejection threshold are set on a part
 that the descent doesn't see.
 
-Nulls: a null text, and one without letters, is `und` with score 0 and rejected.  Rows whose language is
-null are not learned from.  Empty tables give empty results; with nothing to learn from all rows are `und`.
-Repeated rows are judged alike, each for itself.  Other columns are ignored.
+The descent runs in one task over the bounded sample; only the table of logits (BUCKETS rows, a column per language)
+comes back to the driver.
+
+Nulls: a null text, and one without letters, is `und` with score 0 and rejected.  Rows whose language or id is
+null are not learned from; held_out is null for a null id.  Empty tables give empty results; with nothing to learn from
+all rows are `und`.  Repeated rows are judged alike, each for itself; of several rows with one id the one with the least
+hash of its text is learned from.  Ties: of equally likely languages the first in the alphabet.  Very long texts are read
+whole, in batches of bounded bytes.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +32,15 @@ SAMPLE, BUCKETS, WIDTH = 3000, 4096, 16
 EPOCHS, BATCH, RATE = 12, 32, 0.2
 #: Share of wrong labels among accepted rows that calibration aims at, and of right ones that it may reject for that.
 WRONG, RIGHT_LOST = 0.005, 0.002
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
 
 
 def has_letter(data: bytes | None) -> bool:
-    """Whether the text has a letter of any script."""
-    return bool(data) and bool(_LETTER.search(data.decode("utf-8", "replace")))
+    """Whether the text has a letter of any script (Unicode's categories L*)."""
+    return bool(data) and (_ASCII_LETTER.search(data) is not None or any(map(str.isalpha, data.decode("utf-8", "replace"))))
 
 
 def subwords(data: bytes) -> np.ndarray:
@@ -69,68 +75,93 @@ def softmax(x: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """langs, the table of each bucket's logits (embedding times layer, over the temperature), bias and threshold."""
 
-    def __init__(self, counts: np.ndarray, langs: np.ndarray, seed: int = 3):
-        draw = np.random.default_rng(seed)
-        self.langs, y = np.unique(langs, return_inverse=True)
-        k, order = len(self.langs), draw.permutation(len(y))
-        held, used = order[: len(y) // 5], order[len(y) // 5 :]
-        x = averaged(counts)
-        embed = draw.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-        layer, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
-        layer += draw.normal(0, 0.1, layer.shape).astype(np.float32)
-        # each weight's step shrinks with the squared gradients that it has seen, so that no rate makes the descent diverge
-        parts = (embed, layer, bias)
-        seen = [np.full(w.shape, 1e-8, np.float32) for w in parts]
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            for at in np.array_split(draw.permutation(used), max(1, len(used) // BATCH)):
-                if not len(at):
-                    continue
-                hidden = x[at] @ embed
-                p = softmax(hidden @ layer + bias)
-                p[np.arange(len(at)), y[at]] -= 1
-                p /= len(at)
-                for w, total, grad in zip(parts, seen, (x[at].T @ (p @ layer.T), hidden.T @ p, p.sum(axis=0)), strict=True):
-                    total += grad * grad
-                    w -= rate * grad / np.sqrt(total)
-        table = embed @ layer
-        logits = x[held] @ table + bias
-        grid = [t for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)]
-        loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-9).mean() if len(held) else 0.0 for t in grid]
-        heat = grid[int(np.argmin(loss))]
-        self.table, self.bias, self.threshold = table / heat, bias / heat, 0.0
-        if len(held):
-            score, right = softmax(logits / heat).max(axis=1), logits.argmax(axis=1) == y[held]
-            steps = np.arange(0.3, 0.96, 0.01)
-            most = np.quantile(score[right], RIGHT_LOST) if right.any() else 0.0
-            fine = [t for t in steps if not right[score >= t].size or 1 - right[score >= t].mean() <= WRONG]
-            self.threshold = float(min(fine[0] if fine else steps[-1], most))
+    def __init__(self, langs: np.ndarray, table: np.ndarray, bias: np.ndarray, threshold: float):
+        self.langs, self.table, self.bias, self.threshold = langs, table, bias, threshold
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = softmax(averaged(counts) @ self.table + self.bias)
         return self.langs[p.argmax(axis=1)], p.max(axis=1).astype(float)
 
 
+def train(seen: list[np.ndarray], counts: list[np.ndarray], langs: np.ndarray, seed: int = 3) -> LanguageModel:
+    """Learns from texts given as the buckets that they fill and how often; a batch at a time is spread out."""
+
+    def shares(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, row in enumerate(rows):
+            x[i, seen[row]] = counts[row] / counts[row].sum()
+        return x
+
+    draw = np.random.default_rng(seed)
+    names, y = np.unique(langs, return_inverse=True)
+    k, order = len(names), draw.permutation(len(y))
+    held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    embed = draw.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
+    layer, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
+    layer += draw.normal(0, 0.1, layer.shape).astype(np.float32)
+    # each weight's step shrinks with the squared gradients that it has met, so that no rate makes the descent diverge
+    parts = (embed, layer, bias)
+    met = [np.full(w.shape, 1e-8, np.float32) for w in parts]
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        for at in np.array_split(draw.permutation(used), max(1, len(used) // BATCH)):
+            if not len(at):
+                continue
+            x = shares(at)
+            hidden = x @ embed
+            p = softmax(hidden @ layer + bias)
+            p[np.arange(len(at)), y[at]] -= 1
+            p /= len(at)
+            for w, total, grad in zip(parts, met, (x.T @ (p @ layer.T), hidden.T @ p, p.sum(axis=0)), strict=True):
+                total += grad * grad
+                w -= rate * grad / np.sqrt(total)
+    table = embed @ layer
+    logits = np.concatenate([shares(part) @ table for part in np.array_split(held, -(-len(held) // BATCH))]) + bias if len(held) else np.zeros((0, k))
+    grid = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
+    loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-9).mean() if len(held) else 0.0 for t in grid]
+    heat, threshold = grid[int(np.argmin(loss))], 0.0
+    if len(held):
+        score, right = softmax(logits / heat).max(axis=1), logits.argmax(axis=1) == y[held]
+        steps = np.arange(0.3, 0.96, 0.01)
+        most = np.quantile(score[right], RIGHT_LOST) if right.any() else 0.0
+        fine = [t for t in steps if not right[score >= t].size or 1 - right[score >= t].mean() <= WRONG]
+        threshold = float(min(fine[0] if fine else steps[-1], most))
+    return LanguageModel(names, (table / heat).astype(np.float32), (bias / heat).astype(np.float32), threshold)
+
+
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
-    """Learns from rows outside fold 2 of 4 that have a language; a bounded sample of their texts."""
+    """Learns from rows outside fold 2 of 4 that have a language; a bounded sample of their texts, in one task."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (bucket(F.col("doc_id"), 4) != 2))
-    chosen = bounded_sample(rows.select("doc_id"), "doc_id", sample).distinct()
+    chosen = bounded_sample(rows.select("doc_id").distinct(), "doc_id", sample)
 
-    def run(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            counts = [subwords(x) if has_letter(x) else None for x in column_bytes(batch, "text")]
-            seen = [None if c is None else np.flatnonzero(c) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(seen, pa.list_(pa.int32())), pa.array([None if c is None else c[s] for c, s in zip(counts, seen, strict=True)], pa.list_(pa.int32()))], ["doc_id", "lang", "seen", "counts"])
-
-    read = rows.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, lang string, seen array<int>, counts array<int>")
-    got = read.where("size(seen) > 0").limit(2 * sample).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    if not len(got):
+            found = [subwords(x) if has_letter(x) else np.zeros(0, np.int64) for x in column_bytes(batch, "text")]
+            seen = [np.flatnonzero(c) for c in found]
+            lists = (pa.array(x, pa.list_(pa.int32())) for x in (seen, [c[s] for c, s in zip(found, seen, strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("lang"), *lists], ["doc_id", "hash", "lang", "seen", "counts"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            got = batch.column("got")
+            lists = [[np.asarray(x.values) for x in got.field(c)] for c in ("seen", "counts")]
+            rows += zip(batch.column("doc_id").to_pylist(), got.field("lang").to_pylist(), *lists, strict=True)
+        if not rows:
+            return
+        rows.sort(key=lambda x: x[0])
+        model = train([x[2] for x in rows], [x[3] for x in rows], np.array([x[1] for x in rows], str))
+        yield pa.RecordBatch.from_pydict({"langs": [model.langs.tolist()], "table": [model.table.tobytes()], "bias": [model.bias.tobytes()], "threshold": [model.threshold]})
+
+    read = rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("hash", F.xxhash64("text"))
+    counted = read.mapInArrow(count, "doc_id long, hash long, lang string, seen array<int>, counts array<int>").where("size(seen) > 0")
+    once = counted.groupBy("doc_id").agg(F.min_by(F.struct("lang", "seen", "counts"), F.struct("hash", "lang")).alias("got"))
+    got = once.repartition(1).mapInArrow(fit, "langs array<string>, table binary, bias binary, threshold double").first()
+    if got is None:
         return None
-    counts = np.zeros((len(got), BUCKETS), np.float32)
-    for i, (seen, n) in enumerate(zip(got["seen"], got["counts"], strict=True)):
-        counts[i, seen] = n
-    return LanguageModel(counts, got["lang"].to_numpy(object).astype(str))
+    langs = np.array(got.langs, str)
+    return LanguageModel(langs, np.frombuffer(got.table, np.float32).reshape(BUCKETS, len(langs)), np.frombuffer(got.bias, np.float32), got.threshold)
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE, model: LanguageModel | None = None) -> DataFrame:
