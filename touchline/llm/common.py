@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,11 +21,13 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, an own one in local mode, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-"))
         path = context._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
@@ -143,6 +146,19 @@ def bounded_sample(keys: DataFrame, column: str, most: int) -> DataFrame:
 
 #: Ids that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: A key is hot if it has over so many rows, and over a HOT_PARTS-th of all: HOT_PARTS keys at most are hot.
+HOT_ROWS, HOT_PARTS = 1_000, 10_000
+
+
+def on_hot_keys(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows (total of them) joined with a table that has a row per key, and in __n how many of the rows are of that key.
+
+    Hot keys, which are few, come from a broadcast, so that none of them gathers its rows in one task; the others meet by shuffle."""
+    names = [c for c in table.columns if c not in (key, "__n")]
+    hot = table.where(F.col("__n") > max(HOT_ROWS, total // HOT_PARTS)).select(key, F.struct(F.lit(1).alias("__is"), *names).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    rest = marked.where("__hot is null").select(rows.columns).join(table.drop("__n"), key, how).select(*rows.columns, *names)
+    return rest.unionByName(marked.where("__hot is not null").select(*rows.columns, *(F.col(f"__hot.{c}").alias(c) for c in names)))
 
 
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

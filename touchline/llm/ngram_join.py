@@ -11,16 +11,20 @@ partial counts are summed per pair.
 
 Postings of a common shingle aren't paired with each other at once.  First each is paired with the one whose
 place is earliest, those links are joined to components, and then only postings of different components are paired, by
-groups of equal length and place, as far as length and place still allow a link.  No pair between different
-components is left out, so the components are those of all links.
+groups of equal length and place, as far as length and place still allow a link.  These groups meet by shingle, band of
+lengths and salt, so that no shingle is one task's.  No pair between different components is left out, so the components
+are those of all links.
 
 Nulls: a null text, and one without words, has an empty set and is linked with nothing; a null id takes part and
 never is the smallest.  Fewer words than n count as one shingle.  Empty tables give empty results.  Repeated rows
-are of one class and each is returned.  Other columns are ignored.  Shingles are told apart by 64-bit hashes.
+are of one class and each is returned.  Ties: shingles of equal counts are ordered by their hashes.  Very long texts are
+read whole, and only the prefixes and segments of their sets are shuffled.  Other columns are ignored.  Shingles are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import BLOBS, HELD, PER_PARTITION, column_bytes, gathered, pieces, scattered, small_batches, staged, windows, word_hashes
+from touchline.llm.common import BLOBS, HELD, PER_PARTITION, column_bytes, gathered, on_hot_keys, pieces, scattered, small_batches, staged, windows, word_hashes
 from touchline.llm.components import components
 
 #: Buckets of the corpus counts, a power of two; what tasks get of them is a byte for each.
@@ -39,6 +43,8 @@ FRAGMENTS = 4
 RUN = 32
 #: Pairs counted together in a task, and documents whose ids are broadcast at most.
 CELL, BROADCAST_IDS = 8000, 1_000_000
+#: Tasks' counts that are added up in one task, and tasks that the remaining groups of a shingle and band are spread over.
+FAN_IN, SPREAD = 16, 8
 
 
 def shingles(data: bytes | None, n: int) -> np.ndarray:
@@ -114,10 +120,11 @@ class Order:
     def __init__(self, counts: DataFrame, total: int):
         levels = np.zeros(BUCKETS, np.uint8)
         mass = np.zeros(256)
-        counts, tasks = counts.select("chunk", "counts"), counts.rdd.getNumPartitions()
-        if tasks > 256:
-            counts = _summed(counts, tasks // 64)
-        for row in _summed(counts, 1).collect():
+        counts, parts = counts.select("chunk", "counts"), counts.rdd.getNumPartitions()
+        while parts > 1:
+            parts = -(-parts // FAN_IN)
+            counts = _summed(counts, parts)
+        for row in counts.toLocalIterator():
             x = _unpacked(row["counts"])
             at = (4 * np.log2(x + 1.0)).astype(np.uint8)
             levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = at
@@ -275,7 +282,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: i
 
 
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and n_links (links of its set to other sets).
+    """Per row of docs: doc_id, n_shingles and component_id.
 
     Two documents link when den * intersection >= num * union; component_id is the smallest doc_id that
     links reach, itself included.
@@ -284,43 +291,58 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     small_batches(spark)
     first = staged(_first_pass(docs, n))
     sets = first.where("chunk is null").select("doc_id", "n_shingles", "cid")
-    classes = staged(sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    total, posted = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (den - num) / den + 1), F.lit(0))).first()
+    classes = staged(sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")))
+    sums = (F.sum("n"), F.sum(F.col("n") * (den - num) / den + 1), F.sum("copies"))
+    total, posted, rows = classes.agg(*(F.coalesce(x, F.lit(0)) for x in sums)).first()
     order = spark.sparkContext.broadcast(Order(first.where("chunk is not null"), int(total)))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(posted) // 1_000_000))
     runs = staged(_runs(_postings(docs, n, num, den, order, PER_PARTITION * parts), parts, num, den))
     common = staged(runs.where("b is null").select("gram", F.col("a").alias("cid"), F.col("na").alias("n"), "place").distinct())
-    hubs = staged(common.groupBy("gram").agg(F.min(F.struct("place", "cid", "n")).alias("h")).select("gram", "h.*"))
-    star = common.alias("x").join(hubs.alias("y"), "gram").where(_may_link("x", "y", num, den)).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"), F.lit(True).alias("hub"))
-    pairs = staged(_pairs(runs.where("b is not null").select("a", "b", "na", "nb", F.lit(True).alias("hub")).unionByName(star)))
+    hubs = common.groupBy("gram").agg(F.min(F.struct("place", "cid", "n")).alias("h"), F.count(F.lit(1)).alias("__n"))
+    hubs = hubs.select("gram", F.col("h.place").alias("hub_place"), F.col("h.cid").alias("hub_cid"), F.col("h.n").alias("hub_n"), "__n")
+    met = on_hot_keys(common, hubs, "gram", common.count())
+    y = F.struct(F.col("hub_n").alias("n"), F.col("hub_place").alias("place"))
+    star = met.withColumns({"x": F.struct("n", "place"), "y": y}).where(_may_link("x", "y", num, den))
+    star = star.select(F.col("hub_cid").alias("a"), F.col("cid").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), F.lit(True).alias("hub"))
+    short = runs.where("b is not null").select("a", "b", "na", "nb", F.lit(True).alias("hub"))
+    pairs = staged(_pairs(short.unionByName(star)))
     links = _links(docs, classes, pairs, n, num, den, order)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # what is left of the common shingles: postings of different components
-    owned = common.join(roots, common["cid"] == roots["node"], "left").select("gram", "cid", "n", "place", F.coalesce("root", "cid").alias("root"))
-    owned = staged(owned)
-    mixed = owned.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    groups = staged(owned.join(mixed, "gram", "left_semi").groupBy("gram", "root", "n", "place").agg(F.count(F.lit(1)).alias("members")))
-    x, y = groups.alias("x"), groups.alias("y")
-    between = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.root") < F.col("y.root")) & _may_link("x", "y", num, den)).select(F.col("x.gram").alias("gram"), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("root", "n", "place")))
-    side = lambda s: owned.select("gram", F.col("cid").alias(f"{s}_cid"), *(F.col(c).alias(f"{s}_{c}") for c in ("root", "n", "place")))
-    more = between.join(side("x"), ["gram", "x_root", "x_n", "x_place"]).join(side("y"), ["gram", "y_root", "y_n", "y_place"])
-    more = _pairs(more.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"), F.lit(False).alias("hub"))).join(pairs, ["a", "b"], "left_anti")
-    extra = _links(docs, classes, staged(more), n, num, den, order)
+    extra = _links(docs, classes, staged(_between(common, roots, num, den).join(pairs, ["a", "b"], "left_anti")), n, num, den, order)
     if extra.limit(1).count():
         edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         roots = components(edges)
-    return _labelled(sets, classes, roots, links.unionByName(extra))
-
-
-def _labelled(sets: DataFrame, classes: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    return _labelled(sets, classes, roots, int(rows))
+
+
+def _between(common: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that are left of the common shingles: postings of different components whose lengths and places allow a link."""
+    rooted = common.join(roots, common["cid"] == roots["node"], "left")
+    owned = staged(rooted.select("gram", "cid", "n", "place", F.coalesce("root", "cid").alias("root")))
+    mixed = owned.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("__n")).where("lo < hi")
+    owned = on_hot_keys(owned, mixed.select("gram", "__n"), "gram", owned.count())
+    groups = staged(owned.select("gram", "root", "n", "place").distinct())
+    # lengths of linked sets differ by one band at most
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int") if den > num else F.lit(0)
+    names = ("root", "n", "place")
+    x = groups.select("gram", band.alias("band"), F.pmod(F.xxhash64(*names), F.lit(SPREAD)).cast("int").alias("salt"), F.struct(*names).alias("x"))
+    y = groups.select("gram", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.struct(*names).alias("y"))
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = x.join(y, ["gram", "band", "salt"]).where((F.col("x.root") < F.col("y.root")) & _may_link("x", "y", num, den)).select("gram", "x", "y")
+    for side, name in (("x", "a"), ("y", "b")):
+        members = owned.select("gram", F.struct(*names).alias(side), F.col("cid").alias(name))
+        met = met.join(members, ["gram", side])
+    return _pairs(met.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.lit(False).alias("hub")))
+
+
+def _labelled(sets: DataFrame, classes: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """Each document with the smallest id of its component."""
-    owned = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    table = staged(owned.join(least, "root").join(degree, "cid", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return sets.join(table, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    owned = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_id", "copies", F.coalesce("root", "cid").alias("root"))
+    least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    table = staged(on_hot_keys(owned, least, "root", rows).select("cid", "component_id", F.col("copies").alias("__n")))
+    return on_hot_keys(sets, table, "cid", rows, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = """
