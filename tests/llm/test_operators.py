@@ -9,14 +9,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.llm import common as common_helpers
 from touchline.llm import line_dedup as ld
 from touchline.llm import ngram_join as nj
 from touchline.llm import packing, passages, secrets, warc
 from touchline.llm.components import components
 from touchline.llm.decontamination import contaminated
-from touchline.llm.language_id import accepted, language_id
+from touchline.llm.docstats import text_stats
+from touchline.llm.language_id import accepted, has_letter, language_id
 from touchline.llm.quality_model import quality_scores
-from touchline.llm.quality_rules import IsolationForest, quality_rules
+from touchline.llm.quality_rules import RULES, IsolationForest, fit_rules, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string, cid string, n string, sequence_id string"
 VOCAB = [f"w{i}" for i in range(400)]
@@ -86,9 +88,40 @@ def test_forest_isolates_outliers():
     assert forest.score(np.array([[9.0, 9, 9]]))[0] > forest.score(draw.normal(0, 1, (50, 3))).max()
 
 
+def plain_path(tree, node, row, level=0):
+    feature, cut, path = tree
+    if feature[node] < 0:
+        return path[node]
+    return plain_path(tree, 2 * node + (2 if row[feature[node]] > cut[node] else 1), row, level + 1)
+
+
+def test_forest_matches_plain_path_lengths():
+    rows = np.random.default_rng(1).normal(size=(300, 8))
+    forest = IsolationForest(rows, trees=20, per_tree=64, depth=6)
+    normal = 2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64
+    want = [2 ** (-np.mean([plain_path(t, 0, row) for t in zip(forest.feature, forest.cut, forest.path, strict=True)]) / normal) for row in rows]
+    assert forest.score(rows) == pytest.approx(want)
+
+
+def test_kept_follows_the_forest(spark):
+    """The verdicts against thresholds and scores taken row by row from the fitted forest."""
+    docs = labelled_docs(200)
+    forest, threshold = fit_rules(frame(spark, docs), labels_for(spark, 200))
+    got = {x.doc_id: x for x in quality_rules(frame(spark, docs), labels_for(spark, 200)).collect()}
+    for i, text in docs:
+        score = float(forest.score(text_stats(text.encode())[None, RULES])[0])
+        assert got[i].anomaly == pytest.approx(score) and got[i].kept == (not got[i].base_failed and score <= threshold)
+
+
 # ---- op2 and op3
 
 
+def test_letters():
+    assert all(has_letter(x.encode()) for x in ("a", "1é", "ß", "\u4e2d", "\u02b0"))
+    assert not any(has_letter(x.encode()) for x in ("", "123 ._", "\u00b2", "\u00bd", "\u2460", "\u2167"))
+    assert not has_letter(None)
+
+
 def test_language_held_out(spark):
     r = random.Random(4)
     words = {"aa": ["bana", "kora", "tilo", "mana", "pona"], "bb": ["strüm", "gräch", "schpf", "krzt", "wölk"]}
@@ -221,6 +254,8 @@ def test_join_matches_brute_force(spark, monkeypatch, n, num, run):
 def test_join_by_shuffle_and_common(spark, monkeypatch):
     """Ids joined by shuffle, and every shingle taken for a common one."""
     monkeypatch.setattr(nj, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common_helpers, "HOT_ROWS", 2)
+    monkeypatch.setattr(common_helpers, "HOT_PARTS", 10**6)
     monkeypatch.setattr(nj, "CELL", 50)
 
     init = nj.Order.__init__
@@ -498,11 +533,11 @@ def test_packing_merges_residuals(spark):
 # ---- op9
 
 
-def brute_lines(rows, ratio, least, count=3):
+def brute_lines(rows, ratio, least=0, count=2):
     hosts, seen = Counter(), Counter()
     for _, t, h in rows:
         hosts[h] += 1
-        for x in {x for x in (t or "").split("\n") if x.strip(" ")} if t is not None else ():
+        for x in {x for x in (t or "").split("\n") if x.strip()} if t is not None else ():
             seen[h, x] += 1
     out = []
     for i, t, h in rows:
@@ -518,25 +553,30 @@ def brute_lines(rows, ratio, least, count=3):
 def test_line_dedup(spark, monkeypatch, most):
     monkeypatch.setattr(ld, "BROADCAST_LINES", most)
     r = random.Random(9)
-    lines = ["menu", "foot", " ", "", "rare a", "rare b", *[f"line {i}" for i in range(60)]]
+    lines = ["menu", "foot", " ", "\t", "", "rare a", "rare b", *[f"line {i}" for i in range(60)]]
     rows = [(i, None if i % 17 == 0 else "\n".join(r.choice(lines[:2] if r.random() < 0.3 else lines) for _ in range(r.randrange(6))), ["h0", "h0", "h1", None, f"small{i}"][r.randrange(5)]) for i in range(200)]
     docs = spark.createDataFrame([(i, t, h, 1, 2) for i, t, h in rows], "doc_id long, text string, source string, line int, salt int")
-    got = ld.line_dedup(docs, ratio=0.25)
-    assert got.columns[:5] == docs.columns
-    assert sorted((x.doc_id, x["__n_lines"], x["__n_dropped"], x.text or "") for x in got.collect()) == sorted((i, n, d, t or "") for i, n, d, t in brute_lines(rows, 0.25, 5))
+    for ratio, least, count in ((0.25, 0, 2), (0.25, 5, 3), (1 / 3, 0, 2)):
+        got = ld.line_dedup(docs, ratio=ratio, least_pages=least, least_count=count)
+        assert got.columns[:5] == docs.columns
+        assert sorted((x.doc_id, x["__n_lines"], x["__n_dropped"], x.text or "") for x in got.collect()) == sorted((i, n, d, t or "") for i, n, d, t in brute_lines(rows, ratio, least, count))
     assert ld.line_dedup(docs.limit(0)).count() == 0
 
 
 def test_line_dedup_leaves_copies_whole(spark):
     docs = spark.createDataFrame([(i, "copy one\ncopy two", "h") for i in range(10)] + [(20 + i, f"menu\n{prose(i, 30)}", "h") for i in range(10)], "doc_id long, text string, source string")
-    got = {x.doc_id: x.text for x in ld.line_dedup(docs, most_dropped=0.6).collect()}
+    got = {x.doc_id: x.text for x in ld.line_dedup(docs, spare_emptied=True).collect()}
     assert got[0] == "copy one\ncopy two" and got[20] == prose(0, 30)
 
 
-def test_line_dedup_keeps_what_few_pages_hold(spark):
-    rows = [(i, f"menu\n{prose(i, 30)}\n{'pair' if i < 2 else 'lone'} {i // 2}", "small") for i in range(7)]
-    got = {x.doc_id: x.text for x in ld.line_dedup(frame(spark, rows).drop("source").withColumn("source", F.lit("small"))).collect()}
+def test_line_dedup_on_few_pages(spark):
+    rows = [(i, f"menu\n{prose(i, 30)}\n{'pair' if i < 2 else 'lone'} {i // 2 if i < 2 else i}", "small") for i in range(7)]
+    docs = frame(spark, rows).drop("source").withColumn("source", F.lit("small"))
+    got = {x.doc_id: x.text for x in ld.line_dedup(docs).collect()}
+    assert got == {i: t.removeprefix("menu\n").removesuffix("\npair 0") for i, t, _ in rows}
+    got = {x.doc_id: x.text for x in ld.line_dedup(docs, least_count=3).collect()}
     assert got == {i: t.removeprefix("menu\n") for i, t, _ in rows}
+    assert {x.doc_id: x.text for x in ld.line_dedup(docs, least_pages=8).collect()} == {i: t for i, t, _ in rows}
 
 
 # ---- op10
