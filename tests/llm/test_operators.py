@@ -1,6 +1,7 @@
 """Each corpus operator against a plain brute-force version, and on nulls, empty tables, long texts, ties, repeated rows and other columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from touchline.llm import common as common_helpers
 from touchline.llm import line_dedup as ld
 from touchline.llm import ngram_join as nj
-from touchline.llm import packing, passages, secrets, warc
+from touchline.llm import decontamination, packing, passages, secrets, warc
 from touchline.llm.components import components
 from touchline.llm.decontamination import contaminated
 from touchline.llm.docstats import text_stats
@@ -582,20 +583,70 @@ def test_line_dedup_on_few_pages(spark):
 # ---- op10
 
 
-def test_decontamination(spark):
-    items = [(i, prose(700 + i, 14 + 5 * i)) for i in range(8)] + [(50, "tiny item"), (51, None), (52, ""), (53, "lone"), (54, prose(799, 5))]
+def planted_items():
+    items = [(i, prose(700 + i, 14 + 5 * i)) for i in range(8)] + [(50, "tiny Item!"), (51, None), (52, ""), (53, "lonely"), (54, prose(799, 5)), (55, prose(801, 3)), (55, prose(802, 12))]
     rows = [(i, prose(i, 300)) for i in range(60)]
-    for k, (item, text) in enumerate(items[:8]):
+    for k, (_, text) in enumerate(items[:8]):
         loud = " ".join(f"{w.upper()}%%%" for w in text.split())
         words = text.split()
         words[len(words) // 2] = "changed"
         rows += [(100 + 3 * k, f"{prose(k, 50)} {text} {prose(k + 1, 9)}"), (101 + 3 * k, f"{prose(k, 20)} {loud}"), (102 + 3 * k, f"{' '.join(words)} {prose(k, 30)}")]
-    rows += [(200, "xx tiny ITEM, yy"), (201, "a lone word"), *ODD]
+    rows += [(200, "xx tiny ITEM, yy"), (201, "a lonely word"), (202, f"{prose(799, 4)} {items[12][1]} {prose(802, 12)}"), (203, "tiny other item"), *ODD, *ODD[:3], (100, rows[60][1]), (None, rows[60][1])]
+    return items, rows
+
+
+def core_words(text):
+    import re
+
+    cut = [re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in text.split()]
+    return [(w, i) for i, w in enumerate(cut) if w]
+
+
+def brute_hits(items, rows):
+    """Every item laid along every text at every place."""
+    found = {}
+    for doc, text in rows:
+        for item, own in items:
+            x, w = core_words(text or ""), [w for w, _ in core_words(own or "")]
+            width = min(16, len(w))
+            need = -(-4 * width // 5) if width >= 8 else width
+            for shift in range(-len(w) + 1, len(x)) if w else ():
+                same = [0 <= i + shift < len(x) and x[i + shift][0] == w[i] for i in range(len(w))]
+                a, b = max(0, -shift), min(len(w), len(x) - shift)
+                full = [i for i in range(a, b - width + 1) if sum(same[i : i + width]) >= need]
+                if full:
+                    one = (sum(same[full[0] : full[-1] + width]), -(full[0] + shift), full[-1] + width + shift)
+                    found[doc, item] = max(found.get((doc, item), one), one)
+    return set(found)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_decontamination(spark, monkeypatch, most):
+    for name in ("BROADCAST_SEEDS", "BROADCAST_WORDS", "BROADCAST_FOUND"):
+        monkeypatch.setattr(decontamination, name, most)
+    items, rows = planted_items()
     tests = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, doc_id string")
-    for block in (10**6, 60):
-        found = contaminated(frame(spark, rows), tests, block).collect()
-        got = {(x.doc_id, x.item_id) for x in found}  # not the items of under 8 words, 50 to 54
-        assert got == {(100 + 3 * k + j, k) for k in range(8) for j in range(3)} 
-        whole = next(x for x in found if (x.doc_id, x.item_id) == (100, 0))
-        assert (whole.start, whole.end, whole.n_same, whole.n_item) == (50, 64, 14, 14)
+    found = contaminated(frame(spark, rows).repartition(3), tests).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == brute_hits(items, rows) >= {(100 + 3 * k + j, k) for k in range(8) for j in range(3)} | {(200, 50), (201, 53), (202, 54), (202, 55), (None, 0)}
+    whole = [x for x in found if (x.doc_id, x.item_id) == (100, 0)]
+    assert len(whole) == 2 and {(x.start, x.end, x.n_same, x.n_item) for x in whole} == {(50, 64, 14, 14)}
     assert contaminated(frame(spark, rows), tests.limit(0)).count() == 0 and contaminated(frame(spark, rows).limit(0), tests).count() == 0
+    assert contaminated(frame(spark, rows), tests.where("text is null")).count() == 0
+
+
+def test_every_tolerated_overlap_has_a_seed():
+    """All ways to change as many words as an item of 8 to 16 words may lose."""
+    for size in range(8, 17):
+        lost = size - -(-4 * size // 5)
+        places = [{i + j for j, c in enumerate(decontamination.MASKS[k]) if c == "1"} for k in decontamination.masks_for(size) for i in range(size - len(decontamination.MASKS[k]) + 1)]
+        ways = list(itertools.combinations(range(size), lost))
+        hit = sum(any(not p & set(way) for p in places) for way in ways)
+        print(f"items of {size} words, {lost} changed: recall {hit / len(ways):.3f}")
+        assert hit == len(ways)
+
+
+def test_filter_has_no_false_negatives(spark):
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    known = decontamination.Filter(spark.createDataFrame([(int(h),) for h in hashes[:1000]], "hash long"), 1000)
+    kept = known.may_hold(hashes.view(np.uint64))
+    assert set(range(1000)) <= set(kept.tolist()) and len(kept) < 1100

@@ -42,7 +42,7 @@ FRAGMENTS = 4
 #: Postings of a shingle that are all paired with each other in one task.
 RUN = 32
 #: Pairs counted together in a task, and documents whose ids are broadcast at most.
-CELL, BROADCAST_IDS = 8000, 1_000_000
+CELL, BROADCAST_IDS = 2000, 1_000_000
 #: Tasks' counts that are added up in one task, and tasks that the remaining groups of a shingle and band are spread over.
 FAN_IN, SPREAD = 16, 8
 
