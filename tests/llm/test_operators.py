@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from touchline.llm import common as common_helpers
@@ -433,7 +435,57 @@ def test_secret_layers_are_scanned_whole():
     found = lambda data: [x[:3] for x in secrets.scan(f"x {base64.b64encode(data).decode()} y") if x[3]]
     for data in (gzip.compress(b"clean\n") + gzip.compress(secret), gzip.compress(gzip.compress(b"clean ") + zlib.compress(secret)), zlib.compress("é".encode() * 8_500_000 + b" " + secret), gzip.compress(b"a" + "é".encode() * 700_000 + secret), gzip.compress(secret)[:-6]):
         assert {k for k, _, _ in found(data)} == {"assign"}
-    assert found(b"x^ not packed, " + secret) and not found(b"\x1f\x8b" + secret)
+    assert found(b"x^ not packed, " + secret) and found(b"\x1f\x8b " + secret) and found(secret + b"\0\0\0\0") and found(b"\xff\xfe\0" * 30 + secret)
+
+
+def test_secrets_behind_separators():
+    import base64
+    import gzip
+
+    for data in (b"token=abcdefgh12345678", gzip.compress(b"clean " + b"token=abcdefgh12345678"), bytes(range(256)) + b" token=abcdefgh12345678"):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            for before in ("", "path/to/", "key-", "a_", "x/yy-zzz_", "v1+"):
+                for after in ("", "/", "-end", "_x", "/more"):
+                    text = f"see {before}{encode(data).decode().rstrip('=')}{after} now"
+                    found = [x for x in secrets.scan(text) if x[0] == "assign"]
+                    assert found and all(text[a:b] == f"{before}{encode(data).decode().rstrip('=')}{after}" for _, a, b, _ in found)
+
+
+def test_large_nested_layers_keep_one_span():
+    """20 MB within gzip within base64 within gzip within base64, against a plain decoder."""
+    import base64
+    import gzip
+    import tracemalloc
+
+    inner = gzip.compress(b"clean words, " * 1_500_000 + b"token=abcdefgh12345678")
+    text = f"x {base64.b64encode(gzip.compress(b'y ' + base64.b64encode(inner) + b' z')).decode()} password%3Dabcdefgh9"
+    tracemalloc.start()
+    found = secrets.scan(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(k, p) for k, _, _, p in found} == {("assign", "/base64/base64"), ("assign", "/url")} and most < 200e6
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["url", "unicode", "base64", "gzip", "zlib"]), min_size=1, max_size=4), st.integers(0, 10**6))
+def test_generated_nestings(layers, seed):
+    """A secret within generated layers is found, and its span lies where the outermost layer does."""
+    import base64
+    import gzip
+    from urllib.parse import quote
+
+    text = f"clean {prose(seed, 5)} token=abcdefgh{seed:08d} "
+    for kind in layers:
+        if kind == "url":
+            text = "".join(f"%{b:02X}" for b in text.encode()) if seed % 2 else quote(text, safe="")
+        elif kind == "unicode":
+            text = "".join(f"\\u{ord(c):04x}" for c in text)
+        else:
+            pack = {"base64": bytes, "gzip": gzip.compress, "zlib": zlib.compress}[kind]
+            text = base64.b64encode(pack(text.encode())).decode()
+    whole = f"before {text} after"
+    found = [x for x in secrets.scan(whole) if x[0] == "assign" and x[3]]
+    assert found and all(7 <= a < b <= 7 + len(text) for _, a, b, _ in found)
 
 
 def test_secret_parts_overlap(monkeypatch):

@@ -18,6 +18,7 @@ words that agree is reported, of equal ones the first.  Very long texts are read
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -113,7 +114,7 @@ class Filter:
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = np.unique(np.concatenate(self._places(batch.column("hash").to_numpy().view(np.uint64))))
+                at = np.unique(np.concatenate([*self._places(batch.column("hash").to_numpy().view(np.uint64))]))
                 yield pa.RecordBatch.from_pydict({"data": [zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)]}, pa.schema([("data", pa.binary())]))
 
         self.bits = np.zeros((1 << self.power) // 8, np.uint8)
@@ -121,15 +122,15 @@ class Filter:
             at = np.cumsum(np.frombuffer(zlib.decompress(row["data"]), "<u4").astype(np.int64))
             np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
-    def _places(self, hashes: np.ndarray) -> list[np.ndarray]:
+    def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         mask = np.uint64((1 << self.power) - 1)
-        return [((hashes >> np.uint64(k)) & mask).astype(np.int64) for k in (0, 17, 35)]
+        return (((hashes >> np.uint64(k)) & mask).astype(np.int64) for k in (0, 17, 35))
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         """The places of the hashes that may be among the benchmark's."""
         left = np.arange(len(hashes))
-        for at in self._places(hashes):
-            at = at[left]
+        for k in range(3):
+            (at,) = itertools.islice(self._places(hashes[left]), k, k + 1)
             left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
         return left
 
@@ -158,22 +159,36 @@ def _hits(docs: DataFrame, known: Filter, masks: list[int]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int32())])))])
 
+    def found_in(texts: list[np.ndarray]) -> list[list[dict]]:
+        """The hits of each text; the words of all of them are laid end to end, and what reaches over an end is left out."""
+        out: list[list[dict]] = [[] for _ in texts]
+        ends = np.cumsum([len(x) for x in texts])
+        words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+        for k in masks:
+            grams = seeds(words, k)
+            at = sent.value.may_hold(grams)
+            owner = np.searchsorted(ends, at, "right")
+            whole = at + len(MASKS[k]) <= ends[owner] if len(at) else np.zeros(0, bool)
+            first = at - np.append(0, ends)[owner]
+            for i, place, h in zip(owner[whole].tolist(), first[whole].tolist(), grams[at[whole]].view(np.int64).tolist(), strict=True):
+                out[i].append({"hash": h, "place": place})
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = sent.value, {}
+        seen: dict[int, bool] = {}
         for batch in pieces(batches):
+            texts = column_bytes(batch, "text")
+            classes = [xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in texts]
+            fresh = {c: x for c, x in zip(classes, texts, strict=True) if c is not None and c not in seen}
+            parsed = {c: word_ids(x) for c, x in fresh.items()}
+            hits = dict(zip(parsed, found_in([w for w, _ in parsed.values()]), strict=True))
+            seen |= {c: bool(x) for c, x in hits.items()}
             out: list[tuple] = []
-            for key, data in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
-                if not data:
-                    continue
-                cid = xxhash.xxh3_64_intdigest(data) - (1 << 63)
-                if cid not in seen:
-                    words, at = word_ids(data)
-                    found = [(h, place) for k in masks for grams in [seeds(words, k)] for place in held.may_hold(grams).tolist() for h in [int(grams[place].view(np.int64))]]
-                    seen[cid] = bool(found)
-                    if found:
-                        out.append((key, cid, words.tobytes(), at.astype(np.int32).tobytes(), [{"hash": h, "place": p} for h, p in found]))
-                elif seen[cid]:
-                    out.append((key, cid, None, None, None))
+            for key, cid in zip(batch.column("doc_id").to_pylist(), classes, strict=True):
+                if cid is not None and seen[cid]:
+                    found = hits.pop(cid, None)
+                    words, at = parsed[cid] if found else (None, None)
+                    out.append((key, cid, words.tobytes(), at.astype(np.int32).tobytes(), found) if found else (key, cid, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

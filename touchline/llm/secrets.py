@@ -8,29 +8,37 @@ Every finding is mapped to the code points of the original text that it comes fr
 Nulls: a null text counts as empty and has no findings; a null id is kept.  Empty tables give empty
 results; repeated rows are scanned each for itself; other columns are ignored.
 
+Base64 runs are read in all alignments in which a part behind a separator (/, -, _, +) begins, and streams are looked for behind
+each separator.  Layers needn't be text: bytes that aren't UTF-8 become replacement characters, and the rest is scanned.
 Compressed streams are opened with all their members and whatever their size, in pieces of PIECE characters that
 are cut where no finding or layer can go on.  A run of over 4 * PIECE characters without such a place is cut with an
 overlap of PIECE; only a layer within it that is longer than the overlap is then seen in parts.  A base64 run goes on over single line breaks.
+
+Findings of an escape come from that escape's characters, those of a base64 run from the whole run.  Ties: of the same finding by
+several ways the first way counts.  Very long texts are scanned whole; a layer keeps one span, not one for each character.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import itertools
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import column_bytes, pieces, small_batches
 
 KINDS = ("assign", "access", "hex")
+#: Different characters that a hexadecimal run must have in a reading that starts behind a separator, where repeated bytes look like one by chance.
+DISTINCT = 8
 #: Characters of a layer scanned at once, and bytes that are inflated at once.
 PIECE, CHUNK = 4_000_000, 1 << 16
 _ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -38,15 +46,38 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"(?<![0-9a-f])[0-9a-f]
 _URL, _UNICODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_SEPARATOR = re.compile(r"[+/_-]")
 #: Characters that no finding and no layer contains.
 _OUTSIDE = re.compile(r"[^A-Za-z0-9+/_.=:%\\\"'\x20\r\n\u017f\u212a-]")
 _CODE = re.compile(r"\\[ux]([0-9A-Fa-f]+)")
 _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _WORDS = tuple(x.encode() for x in _KEYS)
 
+#: Characters that text doesn't have.
+_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]")
+
 Span = tuple[str, int, int]
 
 
+class Origin:
+    """Where the characters of a layer come from: all from one span, or each from its own (arrays of starts and ends; none for the text itself)."""
+
+    def __init__(self, span: tuple[int, int] | None = None, each: tuple[np.ndarray, np.ndarray] | None = None):
+        self.span_, self.each = span, each
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The span that characters a to b (exclusive) come from."""
+        if self.span_:
+            return self.span_
+        return (a, b) if self.each is None else (int(self.each[0][a]), int(self.each[1][b - 1]))
+
+    def part(self, a: int, b: int) -> list[np.ndarray]:
+        return [np.arange(a, b), np.arange(a + 1, b + 1)] if self.each is None else [x[a:b] for x in self.each]
+
+    def key(self) -> tuple | bytes | None:
+        return self.span_ or (self.each and xxhash.xxh3_128_digest(b"".join(x.tobytes() for x in self.each)))
+
+
 def find(text: str) -> list[Span]:
     """The base findings of a text: per kind leftmost and non-overlapping, then those that are long enough."""
     lower = text.lower()
@@ -60,17 +91,21 @@ def _surrogates(text: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _unescaped(pattern: re.Pattern, decode, text: str, starts: Sequence[int], ends: Sequence[int]):
-    """The text with each match replaced by its decoding; new characters map to the whole match."""
-    out, first, last, at, starts, ends = [], [], [], 0, list(starts), list(ends)
+def _unescaped(pattern: re.Pattern, decode, text: str, origin: Origin) -> tuple[str, Origin]:
+    """The text with each match replaced by its decoding; new characters come from the whole match."""
+    out, each, at = [], ([], []), 0
     for m in pattern.finditer(text):
         new = decode(m[0])
         out += [text[at : m.start()], new]
-        first += starts[at : m.start()] + [starts[m.start()]] * len(new)
-        last += ends[at : m.start()] + [ends[m.end() - 1]] * len(new)
+        if not origin.span_:
+            for x, kept, edge in zip(each, origin.part(at, m.start()), origin.span(*m.span()), strict=True):
+                x += [kept, np.full(len(new), edge)]
         at = m.end()
     out.append(text[at:])
-    return "".join(out), first + starts[at:], last + ends[at:]
+    if origin.span_:
+        return "".join(out), origin
+    first, last = (np.concatenate([*x, rest]) for x, rest in zip(each, origin.part(at, len(text)), strict=True))
+    return "".join(out), Origin(each=(first, last))
 
 
 def _url(run: str) -> str:
@@ -137,13 +172,12 @@ def _opened(chunks: Iterator[bytes]) -> Iterator[bytes]:
     yield from _opened(itertools.chain([first], inner))
 
 
-def _decoded(data: bytes) -> Iterator[str]:
-    """The text of the data; UnicodeDecodeError where it is none."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
+def _texts(data: bytes) -> Iterator[str]:
+    """The text of the data, opened if it is packed."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
     for chunk in _opened(data[i : i + CHUNK] for i in range(0, len(data), CHUNK)):
         yield decoder.decode(chunk)
-    if not _packed(data):
-        decoder.decode(b"", True)
+    yield decoder.decode(b"", True)
 
 
 def _parts(texts: Iterator[str]) -> Iterator[str]:
@@ -171,24 +205,40 @@ def _parts(texts: Iterator[str]) -> Iterator[str]:
     yield "".join(held)
 
 
-def _plain(run: str) -> Iterator[str] | None:
-    """What a base64 run holds, if that is text, in parts."""
+def _bytes(run: str) -> bytes:
+    """What a base64 run of either alphabet encodes; a last character that is one too many is left out."""
     body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-        size = shown = 0
-        for text in _decoded(data):
-            size += len(text)
-            shown += sum(c.isprintable() or c in "\n\r\t" for c in text)
-    except (binascii.Error, UnicodeDecodeError):
-        return None
-    return _parts(_decoded(data)) if size and shown >= 0.95 * size else None
-
-
-def _runs(layer: str) -> Iterator[tuple[int, int, Iterator[str]]]:
-    """Start, end and text of base64 runs: first those over several lines, of which the first or last line may be another word, then others."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _is_text(data: bytes) -> bool:
+    """Whether the data, opened, is text but for a few characters."""
+    size = odd = 0
+    for text in _texts(data):
+        size, odd = size + len(text), odd + len(_ODD.findall(text))
+    return size > 0 and odd <= 0.05 * size
+
+
+def _readings(run: str) -> Iterator[tuple[bytes, bool]]:
+    """The data of a run: from its first character on, from the first start behind a separator in each other alignment, and the streams
+    that begin behind a separator; and whether it isn't from the first character on.  Of starts in one alignment the first one's data holds the others' too."""
+    known: dict[int, tuple[int, bytes]] = {}
+    for start in (0, *(m.end() for m in _SEPARATOR.finditer(run))):
+        if len(run) - start < 16:
+            break
+        if start % 4 not in known:
+            known[start % 4] = start, _bytes(run[start:])
+            yield known[start % 4][1], start > 0
+        else:
+            first, data = known[start % 4]
+            at = (start - first) // 4 * 3
+            if _packed(data[at : at + 3]):
+                yield data[at:], True
+
+
+def _runs(layer: str) -> Iterator[tuple[int, int, bytes, bool]]:
+    """Start, end and data of base64 runs, and whether they are read from behind a separator: first those over several lines, of which the first or last line may be another word, then others."""
     known: list[tuple[int, int]] = []
     for m in _WRAPPED.finditer(layer):
         lines = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"[^\r\n]+", m[0])]
@@ -196,41 +246,42 @@ def _runs(layer: str) -> Iterator[tuple[int, int, Iterator[str]]]:
         lines = lines[: next((i for i, (a, b) in enumerate(lines) if i and b - a < width), len(lines)) + 1]
         for first, last in ((0, 0), (0, 1), (1, 0), (1, 1)):
             use = lines[first : len(lines) - last]
-            if len(use) > 1 and (inner := _plain(layer[use[0][0] : use[-1][1]])) is not None:
+            if len(use) > 1 and _is_text(data := _bytes(layer[use[0][0] : use[-1][1]])):
                 known.append((use[0][0], use[-1][1]))
-                yield *known[-1], inner
+                yield *known[-1], data, False
                 break
+        else:
+            yield lines[0][0], lines[-1][1], _bytes(layer[lines[0][0] : lines[-1][1]]), False
     k = 0
     for m in _BASE64.finditer(layer):
         while k < len(known) and known[k][1] <= m.start():
             k += 1
-        if (k == len(known) or m.start() < known[k][0]) and (inner := _plain(m[0])) is not None:
-            yield m.start(), m.end(), inner
+        if k == len(known) or m.start() < known[k][0]:
+            for data, behind in _readings(m[0]):
+                yield m.start(), m.end(), data, behind
 
 
 def scan(text: str) -> list[tuple[str, int, int, str]]:
     """All findings as kind, start, end and the path of layers ("" for the base), by start, kind and end."""
     found: dict[Span, str] = {}
-    todo, seen = deque([(iter([text]), range(len(text)), range(1, len(text) + 1), "")]), set()
+    todo, seen = deque([(iter([text]), Origin(), "", False)]), set()
     while todo:
-        parts, starts, ends, path = todo.popleft()
+        parts, origin, path, shifted = todo.popleft()
         for layer in parts:
-            if isinstance(starts, int):
-                at, to = [starts] * len(layer), [ends] * len(layer)
-            else:
-                at, to = starts, ends
-            key = (layer, at[0], to[-1]) if layer else None
-            if key is None or key in seen:
+            key = xxhash.xxh3_128_digest(layer.encode("utf-8", "surrogatepass")), origin.key()
+            if not layer or key in seen:
                 continue
             seen.add(key)
             for kind, a, b in find(layer):
-                found.setdefault((kind, at[a], max(to[a:b])), path)
+                if kind == "hex" and shifted and len(set(layer[a:b])) < DISTINCT:
+                    continue
+                found.setdefault((kind, *origin.span(a, b)), path)
             for name, mark, pattern, decode in (("url", "%", _URL, _url), ("unicode", "\\", _UNICODE, _codes)):
                 if mark in layer and pattern.search(layer):
-                    new, *maps = _unescaped(pattern, decode, layer, at, to)
-                    todo.append((iter([new]), *maps, f"{path}/{name}"))
-            for a, b, inner in _runs(layer):
-                todo.append((inner, at[a], max(to[a:b]), f"{path}/base64"))
+                    new, whence = _unescaped(pattern, decode, layer, origin)
+                    todo.append((iter([new]), whence, f"{path}/{name}", shifted))
+            for a, b, data, behind in _runs(layer):
+                todo.append((_parts(_texts(data)), Origin(span=origin.span(a, b)), f"{path}/base64", shifted or behind))
     return sorted(((*k, p) for k, p in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
