@@ -355,36 +355,88 @@ def test_passages_behind_common_beginnings_and_ends(spark):
 
 
 def test_equal_stretches_have_equal_tokens():
+    """Each stretch of 46 shingles that two texts share has a token of 41 in common, wherever its least shingle lies."""
     r = np.random.default_rng(3)
-    x, y = (r.integers(0, 2**63, 300).astype(np.uint64) for _ in range(2))
-    y[40:100] = x[170:230]
-    y[60] = y[61] = x[190] = x[191] = x[185]
-    of = []
-    for grams in (x, y):
-        token, first, last = passages.halves(grams, 46)
-        by = {s: t for t, a, b in zip(token.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1)}
-        assert set(by) == set(range(255)) and (last - first + 1).sum() == 255
-        of.append(by)
-    y[45:50] = x[175:180]
-    assert all(of[0][s + 130] == of[1][s] for s in range(40, 55))
-    hashes = [passages.stretches(g, 46).tolist() for g in (x, y)]
-    assert all(hashes[0][s + 130] == hashes[1][s] for s in range(40, 55)) and len(set(hashes[0]) & set(hashes[1])) == 15
+    for length in (46, 47, 60):
+        for _ in range(200):
+            x, y = (r.integers(0, 2**63, 200).astype(np.uint64) for _ in range(2))
+            y[40 : 40 + length] = x[100 : 100 + length]
+            one, two = (dict(zip(t["token"].tolist(), t["at"].tolist(), strict=True)) for t in (passages.windows_of(x, 1, 46, 41)[1], passages.windows_of(y, 2, 46, 41)[1]))
+            same = set(one) & set(two)
+            assert same and {one[t] - two[t] for t in same} == {60}
 
 
 def test_equal_stretches_are_all_linked():
-    rows = np.array([(1, 5, 10), (1, 5, 90), (1, 7, 3), (1, 9, 4), (2, 5, 1), (2, 5, 60), (3, 9, 9)], passages.STRETCH)
+    rows = np.array([(1, 5, 10), (1, 5, 90), (1, 7, 3), (1, 9, 4), (2, 5, 1), (2, 5, 60), (3, 9, 9)], passages.TOKEN)
     stay, link = passages.linked(rows)
     assert sorted(stay.tolist()) == [(1, 5, 10), (2, 5, 1), (2, 5, 60), (3, 9, 9)]
-    assert sorted(link.tolist()) == [(5, 7, -7), (5, 9, -86), (5, 9, -6)]
+    assert sorted(link.tolist()) == [(5, 7, -7, 0), (5, 9, -86, 0), (5, 9, -6, 0)]
+    assert all(not len(x) for x in passages.linked(rows[:0])) and not len(passages.meet(np.empty(0, passages.ROW))[1])
 
 
-def test_sides():
+def test_stretch_hashes():
     grams = np.random.default_rng(2).integers(0, 2**63, 30).astype(np.uint64)
     grams[20:25] = grams[3:8]
-    on, to = passages.sides(grams, np.arange(30), 5)
-    assert on[3] == on[20] and to[7] == to[24] and on[3] == to[7] and len(set(on[:26])) == 25 and (on[:26] != 0).all()
-    assert not on[26:].any() and not to[:4].any()
-    assert not passages.sides(grams[:3], np.arange(3), 5)[0].any()
+    known = passages.Stretches(grams).at(np.arange(-2, 30), 5)
+    assert known[5] == known[22] and len(set(known[2:28])) == 25 and known[2:28].all() and not known[:2].any() and not known[28:].any()
+
+
+def crowd(seed, length, changes, texts=150):
+    """Texts that hold one passage, with so many words changed at random in each."""
+    r = np.random.default_rng(seed)
+    base, out = r.integers(0, 2**63, length, dtype=np.uint64), []
+    for _ in range(texts):
+        own = base.copy()
+        own[r.choice(length, changes, replace=False)] = r.integers(0, 2**63, changes, dtype=np.uint64)
+        before, after = (r.integers(0, 2**63, n, dtype=np.uint64) for n in r.integers(20, 80, 2))
+        out.append((np.concatenate([before, own, after]), len(before)))
+    return out
+
+
+def has_partner(texts, length):
+    """Which texts have an aligned stretch of 46 shingles at a similarity of 0.8 with another one."""
+    ok = np.zeros(len(texts), bool)
+    parts = [nj.windows(t[at - 20 : at + length + 20], 5) for t, at in texts]
+    for i in range(len(parts)):
+        for j in range(i):
+            sums = np.concatenate([[0], np.cumsum(parts[i] == parts[j])])
+            if (sums[46:] - sums[:-46]).max() >= 41:
+                ok[i] = ok[j] = True
+    return ok
+
+
+@pytest.mark.parametrize(("length", "changes", "tasks", "size"), [(60, 1, 1, 150), (60, 2, 1, 150), (80, 2, 1, 150), (80, 3, 1, 150), (120, 4, 1, 150), (60, 2, 3, 150), (80, 3, 3, 150), (60, 2, 2, 400)])
+def test_recall_in_crowds(length, changes, tasks, size):
+    """Near copies of one passage that differ from each other in random words: the share of texts that are found to have a partner."""
+    found = wanted = 0
+    for seed in range(4 if size < 200 else 1):
+        texts = crowd(seed, length, changes, size)
+        parts, met = [], []
+        for k in range(tasks):
+            rows = np.concatenate([passages.windows_of(nj.windows(t, 5), i, 46, 41)[0] for i, (t, _) in enumerate(texts) if i % tasks == k])
+            stay, pairs = passages.meet(rows, passages.RUN)
+            parts.append(stay)
+            met.append(pairs)
+        met.append(passages.meet(np.concatenate(parts))[1])
+        by, got = {}, np.zeros(len(texts), bool)
+        for m in np.concatenate(met):
+            by.setdefault((int(m["a"]), int(m["b"])), set()).add(tuple(int(m[x]) for x in ("h", "la", "lb", "ca", "cb", "ra", "rb", "side")))
+        for (a, b), anchors in by.items():
+            kept = passages.candidates(np.array(sorted(anchors)), 46, 2)
+            if len(kept) and passages.verify(texts[a][0], texts[b][0], set((kept[:, 4] - kept[:, 3]).tolist()), 50, 5, 80, 100):
+                got[[a, b]] = True
+        ok = has_partner(texts, length)
+        found, wanted = found + (got & ok).sum(), wanted + ok.sum()
+    print(f"passage of {length} words, {changes} changed, in {size} texts of {tasks} tasks: {wanted} with a partner, recall {found / wanted:.3f}")
+    assert found >= 0.9 * wanted
+
+
+def test_one_passage_in_many_texts(spark):
+    """A passage that all texts hold: every text is found, and pairs grow with the texts, not with their square."""
+    shared = prose(1, 60)
+    rows = [(i, f"{prose(10 + i, 30)} {shared} {prose(90000 + i, 30)}") for i in range(3000)]
+    got = passages.repeated_passages(frame(spark, rows).repartition(6))
+    assert got.count() == 3000 and got.where("n_repeated < 60").count() == 0
 
 
 def test_passages_match_brute_force(spark, monkeypatch):
