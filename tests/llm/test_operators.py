@@ -307,7 +307,7 @@ def test_compact_windows_are_the_cartesian_tree():
                 right += 1
             if right - left + 1 >= width:
                 want.append((left, c, right))
-        assert sorted(passages.compact_windows(v, width)) == sorted(want)
+        assert sorted(map(tuple, passages.compact_windows(v, width).tolist())) == sorted(want)
 
 
 def test_passages(spark):
@@ -359,9 +359,9 @@ def test_equal_stretches_have_equal_tokens():
     r = np.random.default_rng(3)
     for length in (46, 47, 60):
         for _ in range(200):
-            x, y = (r.integers(0, 2**63, 200).astype(np.uint64) for _ in range(2))
+            x, y, z = (r.integers(0, 2**63, 200).astype(np.uint64) for _ in range(3))
             y[40 : 40 + length] = x[100 : 100 + length]
-            one, two = (dict(zip(t["token"].tolist(), t["at"].tolist(), strict=True)) for t in (passages.windows_of(x, 1, 46, 41)[1], passages.windows_of(y, 2, 46, 41)[1]))
+            one, two = (dict(zip(t["token"].tolist(), t["at"].tolist(), strict=True)) for t in (passages.windows_of([x], [1], 1, 46, 41)[1], passages.windows_of([z, y], [3, 2], 1, 46, 41)[1]))
             same = set(one) & set(two)
             assert same and {one[t] - two[t] for t in same} == {60}
 
@@ -374,10 +374,19 @@ def test_equal_stretches_are_all_linked():
     assert all(not len(x) for x in passages.linked(rows[:0])) and not len(passages.meet(np.empty(0, passages.ROW))[1])
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 40, m).astype(np.uint64) for m in (50, 49, 300, 51, 700, 50)]
+    rows, tokens = passages.windows_of(texts, list(range(6)), 5, 46, 41)
+    each = [passages.windows_of([t], [i], 5, 46, 41) for i, t in enumerate(texts) if len(t) >= 50]
+    assert sorted(x.tobytes() for x in rows) == sorted(x.tobytes() for part, _ in each for x in part) and set(rows["cid"]) == {0, 2, 3, 4, 5}
+    assert sorted(tokens.tolist()) == sorted(x for _, part in each for x in part.tolist())
+
+
 def test_stretch_hashes():
     grams = np.random.default_rng(2).integers(0, 2**63, 30).astype(np.uint64)
     grams[20:25] = grams[3:8]
-    known = passages.Stretches(grams).at(np.arange(-2, 30), 5)
+    known = passages.Stretches(grams).at(np.arange(-2, 30), 5, 0, np.full(32, 30))
     assert known[5] == known[22] and len(set(known[2:28])) == 25 and known[2:28].all() and not known[:2].any() and not known[28:].any()
 
 
@@ -413,7 +422,7 @@ def test_recall_in_crowds(length, changes, tasks, size):
         texts = crowd(seed, length, changes, size)
         parts, met = [], []
         for k in range(tasks):
-            rows = np.concatenate([passages.windows_of(nj.windows(t, 5), i, 46, 41)[0] for i, (t, _) in enumerate(texts) if i % tasks == k])
+            rows = passages.windows_of([t for t, _ in texts[k::tasks]], list(range(k, len(texts), tasks)), 5, 46, 41)[0]
             stay, pairs = passages.meet(rows, passages.RUN)
             parts.append(stay)
             met.append(pairs)
@@ -423,7 +432,7 @@ def test_recall_in_crowds(length, changes, tasks, size):
             by.setdefault((int(m["a"]), int(m["b"])), set()).add(tuple(int(m[x]) for x in ("h", "la", "lb", "ca", "cb", "ra", "rb", "side")))
         for (a, b), anchors in by.items():
             kept = passages.candidates(np.array(sorted(anchors)), 46, 2)
-            if len(kept) and passages.verify(texts[a][0], texts[b][0], set((kept[:, 4] - kept[:, 3]).tolist()), 50, 5, 80, 100):
+            if len(kept) and passages.verify(nj.windows(texts[a][0], 5), nj.windows(texts[b][0], 5), set((kept[:, 4] - kept[:, 3]).tolist()), 50, 5, 80, 100):
                 got[[a, b]] = True
         ok = has_partner(texts, length)
         found, wanted = found + (got & ok).sum(), wanted + ok.sum()
