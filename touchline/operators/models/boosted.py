@@ -14,20 +14,35 @@ from pyspark.sql import functions as F
 from touchline.functions.odds import clipped
 
 
-def prepared(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """rows with a vector of the features, medians of train for missing ones, and flags."""
-    usable = [c for c in features if train.select(F.count(c)).first()[0]]
-    imputed = Imputer(inputCols=usable, outputCols=[f"__{c}" for c in usable]).fit(train)
-    flagged = imputed.transform(rows).withColumns({f"__no_{c}": F.col(c).isNull().cast("double") for c in usable})
-    return VectorAssembler(inputCols=[f"__{c}" for c in usable] + [f"__no_{c}" for c in usable], outputCol="features").transform(flagged)
-
-
-def boosted(train: DataFrame, rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 3, seed: int = 42) -> tuple[DataFrame, list]:
-    """rows with p1, px, p2 by boosted trees fitted on train (y in 0, 1, 2), and the three models."""
-    data, models = prepared(train, train.where("y is not null"), features), []
-    scored = prepared(train, rows, features)
+def usable(train: DataFrame, features: list[str]) -> list[str]:
+    """The features that have a value in train, found by one aggregate."""
+    counts = train.agg(*(F.count(c).alias(c) for c in features)).first()
+    return [c for c in features if counts[c]]
+
+
+def preparation(train: DataFrame, features: list[str]):
+    """What puts a vector of the features on rows: medians of train for missing ones, and flags."""
+    imputer = Imputer(inputCols=features, outputCols=[f"__{c}" for c in features]).fit(train)
+    assembler = VectorAssembler(inputCols=[f"__{c}" for c in features] + [f"__no_{c}" for c in features], outputCol="features")
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        return assembler.transform(imputer.transform(rows).withColumns({f"__no_{c}": F.col(c).isNull().cast("double") for c in features}))
+
+    return prepare
+
+
+def boosted(train: DataFrame, rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 3, seed: int = 42, held: str | None = None) -> tuple[DataFrame, list]:
+    """rows with p1, px, p2 by boosted trees fitted on train (y in 0, 1, 2), and the three models.
+
+    held names a boolean column of train: rows where it is true aren't fitted, and growing stops where they are no longer forecast better."""
+    prepare = preparation(train, usable(train, features))
+    data, models = prepare(train.where("y is not null")), []
+    scored = prepare(rows)
     for k in range(3):
-        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).setPredictionCol(f"__k{k}").setProbabilityCol(f"__p{k}").setRawPredictionCol(f"__r{k}").fit(data.withColumn("label", (F.col("y") == k).cast("double")))
+        stop = {"validationIndicatorCol": held, "validationTol": 0.001} if held else {}
+        tree = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, **stop)
+        tree = tree.setPredictionCol(f"__k{k}").setProbabilityCol(f"__p{k}").setRawPredictionCol(f"__r{k}")
+        model = tree.fit(data.withColumn("label", (F.col("y") == k).cast("double")))
         scored = model.transform(scored).withColumn(f"__s{k}", vector_to_array(f"__p{k}")[1])
         models.append(model)
     p = dict(zip(("p1", "px", "p2"), clipped(*(F.col(f"__s{k}") for k in range(3))), strict=True))
@@ -36,8 +51,10 @@ def boosted(train: DataFrame, rows: DataFrame, features: list[str], rounds: int
 
 def logistic(train: DataFrame, rows: DataFrame, features: list[str], ridge: float = 0.01) -> DataFrame:
     """rows with p1, px, p2 by a multinomial logit."""
-    model = LogisticRegression(labelCol="label", featuresCol="features", family="multinomial", regParam=ridge).fit(prepared(train, train.where("y is not null"), features).withColumn("label", F.col("y").cast("double")))
-    scored = model.transform(prepared(train, rows, features)).withColumn("__p", vector_to_array("probability"))
+    prepare = preparation(train, usable(train, features))
+    logit = LogisticRegression(labelCol="label", featuresCol="features", family="multinomial", regParam=ridge)
+    model = logit.fit(prepare(train.where("y is not null")).withColumn("label", F.col("y").cast("double")))
+    scored = model.transform(prepare(rows)).withColumn("__p", vector_to_array("probability"))
     return scored.select(*rows.columns, *(F.col("__p")[k].alias(n) for k, n in enumerate(("p1", "px", "p2"))))
 
 

@@ -1,12 +1,14 @@
 """Pricing of goal markets from one score distribution.
 
-A grid is a long relation: match_id, h, a, p, adding up to 1 per match.  All markets of a match come from one
-aggregation over its 100 cells, so the grid is shuffled once by match and never joined with lines of another match.
-A priced selection has win, push and lose, which add up to 1.
+A match's scores are one array of 100 probabilities in its row, cell h * GOALS + a, adding up to 1 (score_rows); as a long relation
+they are a grid: match_id, h, a, p.  All goal markets depend on the tails of four variables (goals of each side, total, difference), which
+are summed within the row, so that pricing neither explodes the cells nor shuffles.  A priced selection has win, push and lose, which add up to 1.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ PRICED = "struct<market:string,selection:string,line:double,win:double,push:doub
 
 def expected_goals(matches: DataFrame, strengths: DataFrame, home_edge: Column, mean_defence: Column) -> DataFrame:
     """matches with lam and mu from strengths (team, attack, defence); an unknown team is an average one."""
-    side = lambda s: F.broadcast(strengths).select(F.col("team").alias(s), F.col("attack").alias(f"{s}_att"), F.col("defence").alias(f"{s}_def"))
+    side = lambda s: strengths.select(F.col("team").alias(s), F.col("attack").alias(f"{s}_att"), F.col("defence").alias(f"{s}_def"))
     rows = matches.join(side("home"), "home", "left").join(side("away"), "away", "left")
     att = lambda s: F.coalesce(F.col(f"{s}_att"), F.lit(0.0))
     dfn = lambda s: F.coalesce(F.col(f"{s}_def"), mean_defence)
@@ -30,19 +32,78 @@ def expected_goals(matches: DataFrame, strengths: DataFrame, home_edge: Column,
     return rows.withColumns({"lam": F.least(lam, F.lit(MOST)), "mu": F.least(mu, F.lit(MOST))}).drop("home_att", "home_def", "away_att", "away_def")
 
 
-def score_grid(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
-    """The grid of matches with lam and mu; low scores corrected by rho, negative cells cut, renormalised.  Made within rows: nothing is shuffled."""
+def _once(rows: DataFrame, kept: list[str], made: dict[str, Column]) -> DataFrame:
+    """rows with columns that are computed once per row: the optimiser would write them anew into each place that uses them, inside loops too."""
+    one = F.struct(*(c.alias(n) for n, c in made.items()))
+    return rows.select(*kept, F.explode(F.array(one)).alias("__v")).select(*kept, "__v.*")
+
+
+def score_rows(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
+    """key and p, the scores of matches with lam and mu; low scores corrected by rho, negative cells cut, renormalised."""
     rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
-    masses = lambda m: F.transform(F.sequence(F.lit(0), F.lit(GOALS - 1)), lambda k: poisson(k, F.col(m))).alias(f"p_{m}")
-    lists = rates.select(key, "lam", "mu", rho.alias("rho"), masses("lam"), masses("mu"))
-    cell = lambda h, a, ph, pa: F.struct(h.alias("h"), a.alias("a"), F.greatest(ph * pa * tau(h, a, F.col("lam"), F.col("mu"), F.col("rho")), F.lit(0.0)).alias("raw"))
+    masses = lambda m: F.transform(F.sequence(F.lit(0), F.lit(GOALS - 1)), lambda k: poisson(k, F.col(m)))
+    lists = _once(rates, [key, "lam", "mu"], {"rho": rho, "p_lam": masses("lam"), "p_mu": masses("mu")})
+    cell = lambda h, a, ph, pa: F.greatest(ph * pa * tau(h, a, F.col("lam"), F.col("mu"), F.col("rho")), F.lit(0.0))
     cells = F.flatten(F.transform("p_lam", lambda ph, h: F.transform("p_mu", lambda pa, a: cell(h, a, ph, pa))))
-    rows = lists.select(key, cells.alias("cells")).withColumn("total", F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["raw"]))
-    return rows.select(key, "total", F.explode("cells").alias("c")).select(key, F.col("c.h").alias("h"), F.col("c.a").alias("a"), (F.col("c.raw") / F.col("total")).alias("p"))
+    rows = _once(_once(lists, [key], {"raw": cells}), [key, "raw"], {"total": _total(F.col("raw"))})
+    return _once(rows, [key], {"p": F.transform("raw", lambda x: x / F.col("total"))})
+
+
+def score_grid(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
+    """The same as a row per cell."""
+    cells = score_rows(rates, rho, key).select(key, F.posexplode("p").alias("i", "p"))
+    return cells.select(key, F.floor(F.col("i") / GOALS).cast("int").alias("h"), (F.col("i") % GOALS).alias("a"), "p")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _sums_from(values: str, n: int):
+    """What the values from a place on add up to, as a function of the place."""
+    return lambda k: _total(F.slice(values, k, F.lit(n)))
+
+
+#: The variables that markets are about: the least value and the number of values of each.
+VARIABLES = {"h": (0, GOALS), "a": (0, GOALS), "t": (0, 2 * GOALS - 1), "d": (1 - GOALS, 2 * GOALS - 1)}
 
 
-def _sum(where: Column) -> Column:
-    return F.coalesce(F.sum(F.when(where, F.col("p"))), F.lit(0.0))
+def tails(scores: DataFrame, key: str = "match_id") -> DataFrame:
+    """key and, of each variable, the probabilities of its least value or more, of the next one or more and so on, and 0 at the end.
+
+    scores: score_rows(), or a grid."""
+    if "array" not in scores.schema["p"].dataType.simpleString():
+        cells = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("h") * GOALS + F.col("a")).cast("int").alias("i"), "p"))).alias("m"))
+        scores = cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(GOALS * GOALS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("p"))
+    at = lambda h, a: F.get("p", (h * GOALS + a).cast("int"))
+    over = lambda low, high, f: F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, i: s + f(i))
+    zero, last = F.lit(0), F.lit(GOALS - 1)
+    mass = {
+        "h": lambda k: over(zero, last, lambda i: at(k, i)),
+        "a": lambda k: over(zero, last, lambda i: at(i, k)),
+        "t": lambda k: over(F.greatest(zero, k - last), F.least(k, last), lambda i: at(i, k - i)),
+        "d": lambda k: over(F.greatest(zero, k), F.least(last, last + k), lambda i: at(i, i - k)),
+    }
+    rows = _once(scores, [key], {v: F.transform(F.sequence(F.lit(low), F.lit(low + n - 1)), mass[v]) for v, (low, n) in VARIABLES.items()})
+    return _once(rows, [key], {v: F.transform(F.sequence(F.lit(1), F.lit(n + 1)), _sums_from(v, n)) for v, (_, n) in VARIABLES.items()})
+
+
+def _from(variable: str, value: float) -> Column:
+    """The probability that a variable is a value or more."""
+    low, n = VARIABLES[variable]
+    return F.get(variable, F.lit(min(max(math.ceil(value) - low, 0), n)))
+
+
+def _above(variable: str, value: float) -> Column:
+    return _from(variable, math.floor(value) + 1)
+
+
+def _below(variable: str, value: float) -> Column:
+    return 1 - _from(variable, value)
+
+
+def _equal(variable: str, value: float) -> Column:
+    return _from(variable, value) - _from(variable, value + 1) if value == int(value) else F.lit(0.0)
 
 
 def _priced(market: str, selection: str, win: Column, lose: Column | None = None, push: Column | None = None, line: float | None = None) -> Column:
@@ -60,53 +121,46 @@ def _mean(columns: list[Column]) -> Column:
 
 
 class Catalogue:
-    """The selections of each market as aggregate expressions over a grid's cells (h, a, p)."""
-
-    def __init__(self, goals: int = GOALS):
-        self.goals = goals
-        h, a = F.col("h"), F.col("a")
-        self.h, self.a, self.d, self.t = h, a, h - a, h + a
+    """The selections of each market as expressions over tails()."""
 
     def result(self) -> list[Column]:
-        return [_priced("Resultado Final", s, _sum(w)) for s, w in (("1", self.d > 0), ("X", self.d == 0), ("2", self.d < 0))]
+        return [_priced("Resultado Final", s, w("d", 0)) for s, w in (("1", _above), ("X", _equal), ("2", _below))]
 
     def double_chance(self) -> list[Column]:
-        return [_priced("Doble Oportunidad", s, _sum(w), _sum(~w)) for s, w in (("1X", self.d >= 0), ("12", self.d != 0), ("X2", self.d <= 0))]
+        home, draw, away = _above("d", 0), _equal("d", 0), _below("d", 0)
+        return [_priced("Doble Oportunidad", s, 1 - x, x) for s, x in (("1X", away), ("12", draw), ("X2", home))]
 
     def draw_no_bet(self) -> list[Column]:
-        home, draw, away = _sum(self.d > 0), _sum(self.d == 0), _sum(self.d < 0)
+        home, draw, away = _above("d", 0), _equal("d", 0), _below("d", 0)
         return [_priced("Apuesta sin empate", "1", home, away, draw), _priced("Apuesta sin empate", "2", away, home, draw)]
 
-    def _over(self, market: str, value: Column, line: float) -> list[Column]:
-        parts = _parts(line)
-        over, under, push = (_mean([_sum(f(value, x)) for x in parts]) for f in (lambda v, x: v > x, lambda v, x: v < x, lambda v, x: v == x))
+    def _over(self, market: str, variable: str, line: float) -> list[Column]:
+        over, under, push = (_mean([f(variable, x) for x in _parts(line)]) for f in (_above, _below, _equal))
         return [_priced(market, "Mas de", over, under, push, line), _priced(market, "Menos de", under, over, push, line)]
 
     def total(self, line: float) -> list[Column]:
-        return self._over("Total de goles", self.t, line)
+        return self._over("Total de goles", "t", line)
 
     def asian_total(self, line: float) -> list[Column]:
-        return self._over("Total asiatico", self.t, line)
+        return self._over("Total asiatico", "t", line)
 
     def team_total(self, side: str, line: float) -> list[Column]:
-        return self._over(f"Total de goles ({side})", self.h if side == "local" else self.a, line)
+        return self._over(f"Total de goles ({side})", "h" if side == "local" else "a", line)
 
     def handicap_3way(self, line: float) -> list[Column]:
-        x = self.d + line
-        return [_priced("Handicap 3-Way", s, _sum(w), line=line) for s, w in (("1", x > 0), ("X", x == 0), ("2", x < 0))]
+        return [_priced("Handicap 3-Way", s, w("d", -line), line=line) for s, w in (("1", _above), ("X", _equal), ("2", _below))]
 
     def asian_handicap(self, line: float) -> list[Column]:
         """line in the home side's perspective."""
-        parts = _parts(line)
-        win, lose, push = (_mean([_sum(f(self.d + x)) for x in parts]) for f in (lambda v: v > 0, lambda v: v < 0, lambda v: v == 0))
+        win, lose, push = (_mean([f("d", -x) for x in _parts(line)]) for f in (_above, _below, _equal))
         return [_priced("Handicap asiatico", "1", win, lose, push, line), _priced("Handicap asiatico", "2", lose, win, push, line)]
 
     def both_score(self) -> list[Column]:
-        yes = _sum((self.h > 0) & (self.a > 0))
-        return [_priced("Ambos Equipos Marcaran", "Si", yes), _priced("Ambos Equipos Marcaran", "No", 1 - yes)]
+        no = _equal("h", 0) + _equal("a", 0) - _equal("t", 0)
+        return [_priced("Ambos Equipos Marcaran", "Si", 1 - no), _priced("Ambos Equipos Marcaran", "No", no)]
 
     def scores_at_least(self, side: str, n: int) -> list[Column]:
-        return [_priced(f"Marca al menos {n} ({side})", "Si", _sum((self.h if side == "local" else self.a) >= n))]
+        return [_priced(f"Marca al menos {n} ({side})", "Si", _from("h" if side == "local" else "a", n))]
 
     def everything(self, totals: tuple[float, ...] = TOTALS, handicaps: tuple[float, ...] = HANDICAPS) -> list[Column]:
         """All markets but the exact score."""
@@ -120,9 +174,9 @@ class Catalogue:
         return found
 
 
-def price(grid: DataFrame, selections: list[Column], key: str = "match_id") -> DataFrame:
-    """key, market, selection, line, win, push, lose, p (effective probability) and fair odds."""
-    rows = grid.groupBy(key).agg(F.array(*selections).alias("s")).select(key, F.explode("s").alias("s")).select(key, "s.*")
+def price(scores: DataFrame, selections: list[Column], key: str = "match_id") -> DataFrame:
+    """key, market, selection, line, win, push, lose, p (effective probability) and fair odds, from score_rows() or a grid."""
+    rows = tails(scores, key).select(key, F.array(*selections).alias("s")).select(key, F.explode("s").alias("s")).select(key, "s.*")
     rows = rows.withColumn("p", effective(F.col("win"), F.col("lose")))
     return rows.withColumn("fair_odds", F.try_divide(F.lit(1.0), F.col("p")))
 
@@ -192,9 +246,14 @@ def value_lines(lines: DataFrame, priced: DataFrame, key: str = "match_id") -> D
     return found.withColumns({"p": effective(F.col("win"), F.col("lose")), "ev": expected_value(F.col("win"), F.col("lose"), F.col("odds"))})
 
 
-def legs(valued: DataFrame, least_odds: float = 1.5, most_odds: float = 4.0, least_ev: float = 0.02, most_gap: float = 0.06) -> DataFrame:
-    """Lines fit for a ticket: odds in range, worth it, and not far from the bookmaker's own probability."""
-    return valued.where(F.col("odds").between(least_odds, most_odds) & (F.col("p") > 0) & (F.col("ev") >= least_ev) & (F.abs(F.col("p") - 1 / F.col("odds")) <= most_gap))
+def is_leg(least_odds: float = 1.5, most_odds: float = 4.0, least_ev: float = 0.02, most_gap: float = 0.06) -> Column:
+    """Whether a valued line is fit for a ticket: odds in range, worth it, and not far from the bookmaker's own probability."""
+    return F.col("odds").between(least_odds, most_odds) & (F.col("p") > 0) & (F.col("ev") >= least_ev) & (F.abs(F.col("p") - 1 / F.col("odds")) <= most_gap)
+
+
+def legs(valued: DataFrame, **limits: float) -> DataFrame:
+    """The lines that are legs."""
+    return valued.where(is_leg(**limits))
 
 
 def split_lines(lines: DataFrame) -> DataFrame:

@@ -23,6 +23,10 @@ def _grid(t: Tables) -> DataFrame:
     return pricing.score_grid(t.sql(RATES), _RHO)
 
 
+def _scores_of(t: Tables) -> DataFrame:
+    return pricing.score_rows(t.sql(RATES), _RHO)
+
+
 @query(_RAW + "SELECT match_id, h::INT AS h, a::INT AS a, round(p, 8) AS p FROM g")
 def q_score_grid(t: Tables) -> DataFrame:
     return rounded(_grid(t), "p", digits=8)
@@ -71,14 +75,14 @@ def _priced(rows: DataFrame) -> DataFrame:
 
 @query(_shown(_BASIC + _LINES))
 def q_markets(t: Tables) -> DataFrame:
-    return _priced(pricing.price(_grid(t), pricing.Catalogue().everything()))
+    return _priced(pricing.price(_scores_of(t), pricing.Catalogue().everything()))
 
 
 @query(_shown(_ASIAN))
 def q_asian(t: Tables) -> DataFrame:
     c = pricing.Catalogue()
     selections = [s for x in (2.25, 2.75, 3.0) for s in c.asian_total(x)] + [s for x in (-0.75, -0.25, 0.25, 1.25) for s in c.asian_handicap(x)]
-    return _priced(pricing.price(_grid(t), selections))
+    return _priced(pricing.price(_scores_of(t), selections))
 
 
 @query(_RAW + "SELECT match_id, h || '-' || a AS selection, round(p, 6) AS win FROM g WHERE h <= 5 AND a <= 5 AND p >= 0.002")
@@ -109,10 +113,9 @@ _WANTED = [
 def q_line_values(t: Tables) -> DataFrame:
     c = pricing.Catalogue()
     selections = c.result() + c.total(2.5) + c.asian_handicap(-0.5) + c.team_total("visitante", 1.5) + c.double_chance()
-    priced = pricing.price(_grid(t), selections).withColumn("period", F.lit("completo"))
+    priced = pricing.price(_scores_of(t), selections).withColumn("period", F.lit("completo"))
     valued = pricing.value_lines(t.sql(OFFERED), priced)
-    kept = pricing.legs(valued).select("outcome_id", F.lit(True).alias("leg"))
-    return rounded(valued.join(kept, "outcome_id", "left").select("match_id", "outcome_id", "odds", "p", "ev", F.coalesce("leg", F.lit(False)).alias("leg")), "p", "ev")
+    return rounded(valued.select("match_id", "outcome_id", "odds", "p", "ev", pricing.is_leg().alias("leg")), "p", "ev")
 
 
 # legs of each match: market, selection, line, period, side

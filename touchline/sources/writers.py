@@ -29,13 +29,15 @@ def _files(df: DataFrame, path: str):
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes df beside path and then renames it there: readers see the old table or the new one.  df may read path."""
+    """Writes df beside path and then renames it there; df may read path.  Between two renames there is no table, and if the second one
+    fails the old table is moved back."""
     fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     df.write.json(fresh)
     files, at = _files(df, path)
     if files.exists(at(path)):
         files.rename(at(path), at(old))
     if not files.rename(at(fresh), at(path)):
+        files.rename(at(old), at(path))
         raise OSError(f"could not move {fresh} to {path}")
     files.delete(at(old), True)
 
