@@ -141,6 +141,18 @@ def test_language_held_out(spark):
     assert {x.lang_pred for x in language_id(frame(spark, ODD).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    """Words of both languages in turns, and letters of neither, are rejected, though the model errs on no row held back."""
+    r = random.Random(6)
+    words = {"aa": ["bana", "kora", "tilo", "mana", "pona"], "bb": ["strüm", "gräch", "schpf", "krzt", "wölk"]}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(30)), k) for i in range(400) for k in [("aa", "bb")[i % 2]]]
+    odd = [(1000, " ".join(w for pair in zip(words["aa"], words["bb"], strict=True) for w in pair)), (1001, "это не те слова"), (1002, "qxv jjw vvq")]
+    docs = frame(spark, [*rows, *((i, x, None) for i, x in odd)])
+    got = {x.doc_id: x for x in language_id(docs).collect()}
+    assert all(got[i].rejected for i, _ in odd)
+    assert sum(got[i].rejected for i, _, _ in rows) <= 0.02 * len(rows)
+
+
 def test_quality_model_held_out(spark):
     rows = labelled_docs(200) + ODD
     got = quality_scores(frame(spark, rows), labels_for(spark, 200)).collect()

@@ -4,7 +4,7 @@ A text is the average of the embeddings of its subwords (runs of 3 and 4 bytes o
 text that touch white space at their ends only), hashed into BUCKETS rows; a linear layer and a softmax
 give the languages' probabilities.  Embeddings and layer are trained by stochastic gradient descent in
 numpy on a bounded sample (SAMPLE documents); a temperature and a rejection threshold are set on a part
-that the descent doesn't see.
+that the descent doesn't see: the threshold is the highest that is expected to lose RIGHT_LOST of right answers.
 
 The descent runs in one task over the bounded sample; only the table of logits (BUCKETS rows, a column per language)
 comes back to the driver.
@@ -30,8 +30,8 @@ from touchline.llm.common import bounded_sample, bucket, column_bytes, pieces, s
 
 SAMPLE, BUCKETS, WIDTH = 3000, 4096, 16
 EPOCHS, BATCH, RATE = 12, 32, 0.2
-#: Share of wrong labels among accepted rows that calibration aims at, and of right ones that it may reject for that.
-WRONG, RIGHT_LOST = 0.005, 0.002
+#: Share of rightly labelled rows that the threshold is expected to reject at most (one in n + 1 where only n are held back).
+RIGHT_LOST = 0.002
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,10 +122,9 @@ def train(seen: list[np.ndarray], counts: list[np.ndarray], langs: np.ndarray, s
     heat, threshold = grid[int(np.argmin(loss))], 0.0
     if len(held):
         score, right = softmax(logits / heat).max(axis=1), logits.argmax(axis=1) == y[held]
-        steps = np.arange(0.3, 0.96, 0.01)
-        most = np.quantile(score[right], RIGHT_LOST) if right.any() else 0.0
-        fine = [t for t in steps if not right[score >= t].size or 1 - right[score >= t].mean() <= WRONG]
-        threshold = float(min(fine[0] if fine else steps[-1], most))
+        # the highest threshold within the loss allowed: one that only bounds the errors would reject nothing where the model makes few
+        fine = np.sort(score[right])
+        threshold = float(fine[max(int(RIGHT_LOST * (len(fine) + 1)), 1) - 1]) if len(fine) else 0.0
     return LanguageModel(names, (table / heat).astype(np.float32), (bias / heat).astype(np.float32), threshold)
 
 
