@@ -1,4 +1,4 @@
-"""Every query with an SQL twin gives DuckDB's rows on the smallest tables; the others run."""
+"""Every query with an SQL twin gives DuckDB's rows on the smallest tables; the others compute rows."""
 
 import glob
 import math
@@ -32,7 +32,7 @@ def plain(value):
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, FOLDER)
     if name not in ORACLES:
-        assert got.count() >= 0 and got.columns
+        assert got.collect()
         return
     want = duck.sql(ORACLES[name])
     columns = sorted(want.columns)

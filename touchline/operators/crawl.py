@@ -80,3 +80,8 @@ def cache_state(events: DataFrame, key: str, order: str, keep_last: tuple[str, .
     """The state an upsert log leaves: of keep_last the last value, of keep_known the last that isn't null."""
     last = lambda c, known: F.max_by(c, F.struct(F.col(c).isNotNull(), F.col(order)) if known else F.col(order)).alias(c)
     return events.groupBy(key).agg(*(last(c, False) for c in keep_last), *(last(c, True) for c in keep_known))
+
+
+def cache_totals(state: DataFrame, body: str = "body") -> DataFrame:
+    """How many pages a cache holds, and how many of them with a body."""
+    return state.agg(F.count(F.lit(1)).alias("total"), F.count(body).alias("with_body"))

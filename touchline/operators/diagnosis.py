@@ -110,6 +110,13 @@ def lifts(rows: DataFrame, least: int = 500) -> DataFrame:
     return found.withColumn("significant", F.abs("z") > 3)
 
 
+def extreme_lifts(found: DataFrame, top: int = 12, bottom: int = 6) -> DataFrame:
+    """Of lifts' rows those with the largest lifts and those with the smallest (side `top` or `bottom`); equal ones go by the names of their columns."""
+    first = found.orderBy(F.col("lift").desc(), "a", "b").limit(top).withColumn("side", F.lit("top"))
+    last = found.orderBy("lift", "a", "b").limit(bottom).withColumn("side", F.lit("bottom"))
+    return first.unionByName(last)
+
+
 def combined(rows: DataFrame, legs: list[str], margin: float = 0.05, enough: int = 30) -> DataFrame:
     """One row for a combination of boolean columns: joint frequency against the product, fair and offered odds, expected value."""
     both = F.lit(True)

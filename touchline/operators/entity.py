@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.functions.text import core_tokens, name_normal
+from touchline.functions.text import core_tokens, fold, name_normal
 
 LIKE, APART = 0.86, 0.04
 
@@ -88,9 +88,23 @@ def results_for(events: DataFrame, results: DataFrame) -> DataFrame:
     """Events (event_id, league, day, home_name) with the result (league, day, home_name, result columns) of the same home side
     on their day or the next, the earlier first.
 
-    The day band is an equi-join: each event stands for its two days."""
-    days = events.select("event_id", "league", F.explode(F.array(F.struct(F.col("day").alias("d"), F.lit(0).alias("later")), F.struct(F.date_add("day", 1).alias("d"), F.lit(1).alias("later")))).alias("x"), name_normal(F.col("home_name")).alias("home_key")).select("event_id", "league", F.col("x.d").alias("day"), "x.later", "home_key")
-    played = results.withColumn("home_key", name_normal(F.col("home_name"))).drop("home_name")
-    met = days.join(played, ["league", "day", "home_key"])
+    Home sides are the same by the rules above, among the names that have a result in the league on that day.  The day band is an
+    equi-join: each event stands for its two days."""
+    either = F.explode(F.array(*(F.struct(F.date_add("day", n).alias("day"), F.lit(n).alias("later")) for n in (0, 1)))).alias("x")
+    block = F.concat_ws("|", "league", "day").alias("block")
+    days = events.select("event_id", "league", F.col("home_name").alias("name"), either).select("event_id", "league", "name", "x.*")
+    days = days.select("*", block)
+    played = results.select("*", block).withColumnRenamed("home_name", "slug")
+    same = resolve(days.select("name", "block"), played.select("slug", "block"), "block").where("slug is not null").select("name", "block", "slug")
+    met = days.join(same, ["name", "block"]).join(played.drop("league", "day"), ["slug", "block"])
     w = Window.partitionBy("event_id").orderBy("later", "result_id")
-    return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "home_key", "later")
+    return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "name", "slug", "block", "later")
+
+
+def with_league(events: DataFrame, leagues: DataFrame) -> DataFrame:
+    """Events (country, league_key) with the code of their league (country, league_key, league); countries are told apart without accents.
+
+    Events of leagues that aren't known drop out."""
+    plain = F.lower(F.trim(fold(F.col("country")))).alias("__country")
+    known = leagues.select(plain, "league_key", "league").distinct()
+    return events.select("*", plain).join(known, ["__country", "league_key"]).select(*events.columns, "league")

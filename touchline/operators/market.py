@@ -22,6 +22,11 @@ def closing_probabilities(matches: DataFrame, odds: DataFrame, book: str, order:
     return matches.join(last, "match_id", "left").select(*matches.columns, *(F.col(f"q.{v}").alias(v) for v in values))
 
 
+def with_season(odds: DataFrame, matches: DataFrame) -> DataFrame:
+    """odds with the season of their match (match_id, season); odds without a match drop out."""
+    return odds.join(matches.select("match_id", "season"), "match_id").select(*odds.columns, "season")
+
+
 def book_margins(odds: DataFrame) -> DataFrame:
     """Per bookmaker: lines, mean overround, margin in percent, and whether the mean is below 1."""
     rows = with_implied(odds).where("total is not null and book is not null")
@@ -87,6 +92,16 @@ def combination_summary(costs: DataFrame) -> DataFrame:
     return costs.rollup("n_legs").agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("median_ratio"), F.avg("ratio").alias("mean_ratio"), (F.avg((F.col("ratio") < 0.99).cast("double")) * 100).alias("below_pct"), (F.avg((F.col("ratio") > 1.01).cast("double")) * 100).alias("above_pct"))
 
 
+def extreme_ratios(costs: DataFrame, n: int = 5) -> DataFrame:
+    """The packs with the n smallest and the n largest ratios (side `low` or `high`); of equal ones those with the smallest pack_id.
+
+    Ratios are compared to nine digits, so that the order in which legs were multiplied doesn't matter."""
+    ratio = F.round("ratio", 9)
+    low = costs.orderBy(ratio, "pack_id").limit(n).withColumn("side", F.lit("low"))
+    high = costs.orderBy(ratio.desc(), "pack_id").limit(n).withColumn("side", F.lit("high"))
+    return low.unionByName(high)
+
+
 def capture_summary(prices: DataFrame) -> DataFrame:
     """Distinct things in a capture and its range of odds."""
     return prices.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("outcome_id").alias("outcomes"), F.count_distinct("market").alias("markets"), F.count_distinct("captured_at").alias("captures"), F.min("odds").alias("least_odds"), F.max("odds").alias("most_odds"))

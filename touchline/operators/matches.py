@@ -57,6 +57,16 @@ def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
     return shares.unpivot([], columns, "column", "share")
 
 
+def worst_covered(rows: DataFrame, columns: list[str], n: int = 6) -> DataFrame:
+    """The n columns with the smallest share of non-null values; of equal ones the first by name."""
+    return coverage(rows, columns).orderBy("share", "column").limit(n)
+
+
+def date_range(matches: DataFrame) -> DataFrame:
+    """The first and the last kickoff."""
+    return matches.agg(F.min("kickoff").alias("first"), F.max("kickoff").alias("last"))
+
+
 def inputs(columns: list[str], keys: tuple[str, ...] = ("match_id", "league", "season", "kickoff", "day", "home", "away", "feature_version")) -> list[str]:
     """Columns that a model may see: neither keys nor labels."""
     return [c for c in columns if not c.startswith("y_") and c not in keys]

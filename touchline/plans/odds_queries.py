@@ -64,22 +64,22 @@ def q_offer_margin(t: Tables) -> DataFrame:
 
 _PACKS = f"SELECT event_id AS pack_id, '2024' AS captured_at, CAST(outcome_id AS VARCHAR(20)) || ',' || CAST((outcome_id + 7) % 160 AS VARCHAR(20)) || CASE WHEN event_id % 2 = 0 THEN ',' || CAST((outcome_id + 31) % 160 AS VARCHAR(20)) ELSE '' END AS legs, odds * 4 AS odds FROM ({SNAPSHOT}) q"
 _LEG_PRICES = f"SELECT outcome_id, '2024' AS captured_at, max(odds) AS odds FROM ({SNAPSHOT}) q GROUP BY outcome_id HAVING avg(odds) < 3.35"
-_COSTS = f"""WITH p AS ({_PACKS}), l AS ({_LEG_PRICES}), x AS (SELECT pack_id, odds, unnest(string_split(legs, ','))::BIGINT AS leg FROM p),
+COSTS = f"""WITH p AS ({_PACKS}), l AS ({_LEG_PRICES}), x AS (SELECT pack_id, odds, unnest(string_split(legs, ','))::BIGINT AS leg FROM p),
  c AS (SELECT pack_id, max(x.odds) AS pack_odds, count(*) AS n_legs, product(l.odds) AS product, max(x.odds) / product(l.odds) AS ratio FROM x LEFT JOIN l ON leg = outcome_id GROUP BY pack_id HAVING count(*) = count(l.odds)) """
 
 
-def _costs(t: Tables) -> DataFrame:
+def costs(t: Tables) -> DataFrame:
     return market.combination_cost(t.sql(_PACKS), t.sql(_LEG_PRICES))
 
 
-@query(_COSTS + "SELECT pack_id, n_legs, pack_odds, round(product, 6) AS product, round(ratio, 6) AS ratio FROM c")
+@query(COSTS + "SELECT pack_id, n_legs, pack_odds, round(product, 6) AS product, round(ratio, 6) AS ratio FROM c")
 def q_combination_cost(t: Tables) -> DataFrame:
-    return rounded(_costs(t).drop("captured_at"), "product", "ratio")
+    return rounded(costs(t).drop("captured_at"), "product", "ratio")
 
 
-@query(_COSTS + "SELECT n_legs, count(*) AS n, round(median(ratio), 6) AS median_ratio, round(avg(ratio), 6) AS mean_ratio, round(avg((ratio < 0.99)::INT) * 100, 6) AS below_pct, round(avg((ratio > 1.01)::INT) * 100, 6) AS above_pct FROM c GROUP BY ROLLUP (n_legs)")
+@query(COSTS + "SELECT n_legs, count(*) AS n, round(median(ratio), 6) AS median_ratio, round(avg(ratio), 6) AS mean_ratio, round(avg((ratio < 0.99)::INT) * 100, 6) AS below_pct, round(avg((ratio > 1.01)::INT) * 100, 6) AS above_pct FROM c GROUP BY ROLLUP (n_legs)")
 def q_combination_summary(t: Tables) -> DataFrame:
-    return rounded(market.combination_summary(_costs(t)), "median_ratio", "mean_ratio", "below_pct", "above_pct")
+    return rounded(market.combination_summary(costs(t)), "median_ratio", "mean_ratio", "below_pct", "above_pct")
 
 
 @query(_S + "SELECT count(*) AS lines, count(DISTINCT outcome_id) AS outcomes, count(DISTINCT market) AS markets, count(DISTINCT captured_at) AS captures, min(odds) AS least_odds, max(odds) AS most_odds FROM s")
@@ -228,7 +228,10 @@ def _indicators(t: Tables) -> DataFrame:
     return diagnosis.indicators(t.sql(MATCH), {n: F.expr(c) for n, c in _EVENTS.items()})
 
 
-@query(_IND + ", l AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, avg({a}::INT) AS pa, avg({b}::INT) AS pb, avg(({a} AND {b})::INT) AS pab FROM i" for a, b in _PAIRS) + ") SELECT a, b, n, round(pa, 6) AS p_a, round(pb, 6) AS p_b, round(pab, 6) AS p_ab, round(pab / (pa * pb), 6) AS lift, round((pab - pa * pb) / sqrt(greatest(pab * (1 - pab), 1e-12) / n), 4) + 0e0 AS z, abs((pab - pa * pb) / sqrt(greatest(pab * (1 - pab), 1e-12) / n)) > 3 AS significant FROM l WHERE n >= 500 AND pa * pb > 0")
+LIFT_PAIRS = _IND + ", l AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, avg({a}::INT) AS pa, avg({b}::INT) AS pb, avg(({a} AND {b})::INT) AS pab FROM i" for a, b in _PAIRS) + ") SELECT a, b, n, round(pa, 6) AS p_a, round(pb, 6) AS p_b, round(pab, 6) AS p_ab, round(pab / (pa * pb), 6) AS lift, round((pab - pa * pb) / sqrt(greatest(pab * (1 - pab), 1e-12) / n), 4) + 0e0 AS z, abs((pab - pa * pb) / sqrt(greatest(pab * (1 - pab), 1e-12) / n)) > 3 AS significant FROM l WHERE n >= 500 AND pa * pb > 0"
+
+
+@query(LIFT_PAIRS)
 def q_lift_pairs(t: Tables) -> DataFrame:
     return rounded(rounded(diagnosis.lifts(_indicators(t)), "p_a", "p_b", "p_ab", "lift"), "z", digits=4)
 
