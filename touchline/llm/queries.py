@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import line_dedup, ngram_join, warc
+from touchline.llm import fill_in_middle, hard_negatives, line_dedup, ngram_join, warc
 from touchline.llm.decontamination import contaminated
 from touchline.llm.language_id import language_id
 from touchline.llm.packing import best_fit_packing
@@ -15,6 +15,7 @@ from touchline.llm.passages import repeated_passages
 from touchline.llm.quality_model import quality_scores
 from touchline.llm.quality_rules import quality_rules
 from touchline.llm.secrets import secret_digest
+from touchline.llm.url_filter import url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +65,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_quality_model, op4_warc_round_trip, op5_ngram_join, op6_repeated_passages, op7_secret_scan, op8_best_fit_packing, op9_line_dedup, op10_decontamination)}
-ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=F.col("vec_id") % 7 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_quality_model, op4_warc_round_trip, op5_ngram_join, op6_repeated_passages, op7_secret_scan, op8_best_fit_packing, op9_line_dedup, op10_decontamination, op11_hard_negatives, op12_fill_in_middle, op13_url_filter)}
+ORACLES: dict[str, str] = {"op4_warc_round_trip": warc.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}
