@@ -88,15 +88,15 @@ def results_for(events: DataFrame, results: DataFrame) -> DataFrame:
     """Events (event_id, league, day, home_name) with the result (league, day, home_name, result columns) of the same home side
     on their day or the next, the earlier first.
 
-    Home sides are the same by the rules above, among the names that have a result in the league on that day.  The day band is an
-    equi-join: each event stands for its two days."""
-    either = F.explode(F.array(*(F.struct(F.date_add("day", n).alias("day"), F.lit(n).alias("later")) for n in (0, 1)))).alias("x")
+    Home sides are the same by the rules above, among the names that have a result in the league on either day, so that a name that
+    fits one club today and another one tomorrow is ambiguous and stays open.  The day band is an equi-join: each result stands for two days of events."""
     block = F.concat_ws("|", "league", "day").alias("block")
-    days = events.select("event_id", "league", F.col("home_name").alias("name"), either).select("event_id", "league", "name", "x.*")
-    days = days.select("*", block)
-    played = results.select("*", block).withColumnRenamed("home_name", "slug")
+    either = F.explode(F.array(*(F.struct(F.date_sub("day", n).alias("day"), F.lit(n).alias("later")) for n in (0, 1)))).alias("x")
+    days = events.select("event_id", "league", F.col("home_name").alias("name"), block)
+    others = [c for c in results.columns if c not in ("league", "day", "home_name")]
+    played = results.select("league", F.col("home_name").alias("slug"), *others, either).select("slug", *others, "x.later", F.concat_ws("|", "league", "x.day").alias("block"))
     same = resolve(days.select("name", "block"), played.select("slug", "block"), "block").where("slug is not null").select("name", "block", "slug")
-    met = days.join(same, ["name", "block"]).join(played.drop("league", "day"), ["slug", "block"])
+    met = days.join(same, ["name", "block"]).join(played, ["slug", "block"])
     w = Window.partitionBy("event_id").orderBy("later", "result_id")
     return met.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "name", "slug", "block", "later")
 

@@ -31,12 +31,20 @@ def preparation(train: DataFrame, features: list[str]):
     return prepare
 
 
-def boosted(train: DataFrame, rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 3, seed: int = 42, held: str | None = None) -> tuple[DataFrame, list]:
+class Models(list):
+    """Fitted models, and the features that they have seen."""
+
+    features: list[str]
+
+
+def boosted(train: DataFrame, rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 3, seed: int = 42, held: str | None = None) -> tuple[DataFrame, Models]:
     """rows with p1, px, p2 by boosted trees fitted on train (y in 0, 1, 2), and the three models.
 
     held names a boolean column of train: rows where it is true aren't fitted, and growing stops where they are no longer forecast better."""
-    prepare = preparation(train, usable(train, features))
-    data, models = prepare(train.where("y is not null")), []
+    models = Models()
+    models.features = usable(train, features)
+    prepare = preparation(train, models.features)
+    data = prepare(train.where("y is not null"))
     scored = prepare(rows)
     for k in range(3):
         stop = {"validationIndicatorCol": held, "validationTol": 0.001} if held else {}
@@ -58,9 +66,9 @@ def logistic(train: DataFrame, rows: DataFrame, features: list[str], ridge: floa
     return scored.select(*rows.columns, *(F.col("__p")[k].alias(n) for k, n in enumerate(("p1", "px", "p2"))))
 
 
-def importances(models: list, features: list[str], n: int = 15) -> list[tuple[str, float]]:
+def importances(models: Models, n: int = 15) -> list[tuple[str, float]]:
     """The features that the three models' trees gained most by, flags of missing values added to their features."""
     half = len(models[0].featureImportances) // 2
     total = [sum(float(m.featureImportances[i] + m.featureImportances[i + half]) for m in models) / len(models) for i in range(half)]
-    ranked = sorted(zip(features, total, strict=False), key=lambda x: (-x[1], x[0]))
+    ranked = sorted(zip(models.features, total, strict=True), key=lambda x: (-x[1], x[0]))
     return [x for x in ranked if x[1] > 0][:n]

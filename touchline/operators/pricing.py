@@ -1,25 +1,28 @@
 """Pricing of goal markets from one score distribution.
 
 A match's scores are one array of 100 probabilities in its row, cell h * GOALS + a, adding up to 1 (score_rows); as a long relation
-they are a grid: match_id, h, a, p.  All goal markets depend on the tails of four variables (goals of each side, total, difference), which
-are summed within the row, so that pricing neither explodes the cells nor shuffles.  A priced selection has win, push and lose, which add up to 1.
+they are a grid: match_id, h, a, p.  A selection is a weight for each cell (won, returned, lost), so a batch of matches is priced by one
+product of its scores and the selections' weights, within the row and without a shuffle.  A priced selection has win, push and lose, which add up to 1.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.odds import effective, expected_value, halves, poisson, tau
+from touchline.functions.odds import effective, expected_value, halves, poisson
 from touchline.functions.text import market_base, market_normal, market_period
 
 #: Goals of a side that the grid goes up to, exclusive; a side's expected goals at most; counts that a count market goes up to.
 GOALS, MOST, COUNTS = 10, 8.0, 30
 TOTALS = (0.5, 1.5, 2.5, 3.5, 4.5)
 HANDICAPS = (-2.5, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.5)
-PRICED = "struct<market:string,selection:string,line:double,win:double,push:double,lose:double>"
+#: Matches that are priced at once.
+BATCH = 2_000
 
 
 def expected_goals(matches: DataFrame, strengths: DataFrame, home_edge: Column, mean_defence: Column) -> DataFrame:
@@ -32,137 +35,160 @@ def expected_goals(matches: DataFrame, strengths: DataFrame, home_edge: Column,
     return rows.withColumns({"lam": F.least(lam, F.lit(MOST)), "mu": F.least(mu, F.lit(MOST))}).drop("home_att", "home_def", "away_att", "away_def")
 
 
-def _once(rows: DataFrame, kept: list[str], made: dict[str, Column]) -> DataFrame:
-    """rows with columns that are computed once per row: the optimiser would write them anew into each place that uses them, inside loops too."""
-    one = F.struct(*(c.alias(n) for n, c in made.items()))
-    return rows.select(*kept, F.explode(F.array(one)).alias("__v")).select(*kept, "__v.*")
+_FACTORIALS = np.cumprod(np.r_[1.0, np.arange(1, GOALS)])
+_H, _A = np.repeat(np.arange(GOALS), GOALS), np.tile(np.arange(GOALS), GOALS)
+#: What markets are about: goals of each side, total, difference, by cell.
+VARIABLES = {"h": _H, "a": _A, "t": _H + _A, "d": _H - _A}
 
 
-def score_rows(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
-    """key and p, the scores of matches with lam and mu; low scores corrected by rho, negative cells cut, renormalised."""
-    rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
-    masses = lambda m: F.transform(F.sequence(F.lit(0), F.lit(GOALS - 1)), lambda k: poisson(k, F.col(m)))
-    lists = _once(rates, [key, "lam", "mu"], {"rho": rho, "p_lam": masses("lam"), "p_mu": masses("mu")})
-    cell = lambda h, a, ph, pa: F.greatest(ph * pa * tau(h, a, F.col("lam"), F.col("mu"), F.col("rho")), F.lit(0.0))
-    cells = F.flatten(F.transform("p_lam", lambda ph, h: F.transform("p_mu", lambda pa, a: cell(h, a, ph, pa))))
-    rows = _once(_once(lists, [key], {"raw": cells}), [key, "raw"], {"total": _total(F.col("raw"))})
-    return _once(rows, [key], {"p": F.transform("raw", lambda x: x / F.col("total"))})
+def cells(lam: np.ndarray, mu: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """The scores of matches, a row each; low scores corrected by rho, negative cells cut, renormalised."""
+    k = np.arange(GOALS)
+    mass = lambda m: np.exp(-m)[:, None] * m[:, None] ** k / _FACTORIALS
+    p = mass(lam)[:, :, None] * mass(mu)[:, None, :]
+    p[:, 0, 0] *= 1 - lam * mu * rho
+    p[:, 0, 1] *= 1 + lam * rho
+    p[:, 1, 0] *= 1 + mu * rho
+    p[:, 1, 1] *= 1 - rho
+    p = np.maximum(p.reshape(len(lam), GOALS * GOALS), 0.0)
+    return p / p.sum(axis=1, keepdims=True)
 
 
-def score_grid(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
-    """The same as a row per cell."""
-    cells = score_rows(rates, rho, key).select(key, F.posexplode("p").alias("i", "p"))
-    return cells.select(key, F.floor(F.col("i") / GOALS).cast("int").alias("h"), (F.col("i") % GOALS).alias("a"), "p")
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+def _slices(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH):
+            yield batch.slice(i, BATCH)
 
 
-def _sums_from(values: str, n: int):
-    """What the values from a place on add up to, as a function of the place."""
-    return lambda k: _total(F.slice(values, k, F.lit(n)))
+def score_rows(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
+    """key and p, the scores of matches with lam and mu."""
+    rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
+    kind = rates.schema[key].dataType.simpleString()
 
+    def run(batches):
+        for batch in _slices(batches):
+            p = cells(*(_numbers(batch, c) for c in ("lam", "mu", "rho")))
+            edges = pa.array(np.arange(0, p.size + 1, GOALS * GOALS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges, pa.array(p.ravel()))], [key, "p"])
 
-#: The variables that markets are about: the least value and the number of values of each.
-VARIABLES = {"h": (0, GOALS), "a": (0, GOALS), "t": (0, 2 * GOALS - 1), "d": (1 - GOALS, 2 * GOALS - 1)}
+    return rates.select(key, F.col("lam").cast("double").alias("lam"), F.col("mu").cast("double").alias("mu"), rho.cast("double").alias("rho")).mapInArrow(run, f"{key} {kind}, p array<double>")
 
 
-def tails(scores: DataFrame, key: str = "match_id") -> DataFrame:
-    """key and, of each variable, the probabilities of its least value or more, of the next one or more and so on, and 0 at the end.
+def score_grid(rates: DataFrame, rho: Column | float = 0.0, key: str = "match_id") -> DataFrame:
+    """The same as a row per cell."""
+    found = score_rows(rates, rho, key).select(key, F.posexplode("p").alias("i", "p"))
+    return found.select(key, F.floor(F.col("i") / GOALS).cast("int").alias("h"), (F.col("i") % GOALS).alias("a"), "p")
+
+
+def _as_rows(scores: DataFrame, key: str) -> DataFrame:
+    """score_rows(), made from a grid if need be."""
+    if "array" in scores.schema["p"].dataType.simpleString():
+        return scores
+    found = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("h") * GOALS + F.col("a")).cast("int").alias("i"), "p"))).alias("m"))
+    return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(GOALS * GOALS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("p"))
 
-    scores: score_rows(), or a grid."""
-    if "array" not in scores.schema["p"].dataType.simpleString():
-        cells = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("h") * GOALS + F.col("a")).cast("int").alias("i"), "p"))).alias("m"))
-        scores = cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(GOALS * GOALS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("p"))
-    at = lambda h, a: F.get("p", (h * GOALS + a).cast("int"))
-    over = lambda low, high, f: F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, i: s + f(i))
-    zero, last = F.lit(0), F.lit(GOALS - 1)
-    mass = {
-        "h": lambda k: over(zero, last, lambda i: at(k, i)),
-        "a": lambda k: over(zero, last, lambda i: at(i, k)),
-        "t": lambda k: over(F.greatest(zero, k - last), F.least(k, last), lambda i: at(i, k - i)),
-        "d": lambda k: over(F.greatest(zero, k), F.least(last, last + k), lambda i: at(i, i - k)),
-    }
-    rows = _once(scores, [key], {v: F.transform(F.sequence(F.lit(low), F.lit(low + n - 1)), mass[v]) for v, (low, n) in VARIABLES.items()})
-    return _once(rows, [key], {v: F.transform(F.sequence(F.lit(1), F.lit(n + 1)), _sums_from(v, n)) for v, (_, n) in VARIABLES.items()})
 
+@dataclass(frozen=True, eq=False)
+class Selection:
+    """A selection of a market, and by cell how much of the stake is won, returned and lost."""
 
-def _from(variable: str, value: float) -> Column:
-    """The probability that a variable is a value or more."""
-    low, n = VARIABLES[variable]
-    return F.get(variable, F.lit(min(max(math.ceil(value) - low, 0), n)))
+    market: str
+    selection: str
+    line: float | None
+    win: np.ndarray
+    push: np.ndarray
+    lose: np.ndarray
 
 
-def _above(variable: str, value: float) -> Column:
-    return _from(variable, math.floor(value) + 1)
+def _above(variable: str, value: float) -> np.ndarray:
+    return (VARIABLES[variable] > value).astype(float)
 
 
-def _below(variable: str, value: float) -> Column:
-    return 1 - _from(variable, value)
+def _below(variable: str, value: float) -> np.ndarray:
+    return (VARIABLES[variable] < value).astype(float)
 
 
-def _equal(variable: str, value: float) -> Column:
-    return _from(variable, value) - _from(variable, value + 1) if value == int(value) else F.lit(0.0)
+def _equal(variable: str, value: float) -> np.ndarray:
+    return (VARIABLES[variable] == value).astype(float)
 
 
-def _priced(market: str, selection: str, win: Column, lose: Column | None = None, push: Column | None = None, line: float | None = None) -> Column:
-    push = F.lit(0.0) if push is None else push
-    lose = 1 - win - push if lose is None else lose
-    return F.struct(F.lit(market).alias("market"), F.lit(selection).alias("selection"), F.lit(line).cast("double").alias("line"), win.alias("win"), push.alias("push"), lose.alias("lose")).cast(PRICED)
+def _priced(market: str, selection: str, win: np.ndarray, lose: np.ndarray | None = None, push: np.ndarray | None = None, line: float | None = None) -> Selection:
+    push = np.zeros(GOALS * GOALS) if push is None else push
+    return Selection(market, selection, line, win, push, 1 - win - push if lose is None else lose)
 
 
 def _parts(line: float) -> list[float]:
     return [line - 0.25, line + 0.25] if abs(abs(line * 4) % 2 - 1) < 1e-9 else [line]
 
 
-def _mean(columns: list[Column]) -> Column:
-    return sum(columns[1:], columns[0]) / float(len(columns)) if len(columns) > 1 else columns[0]
+def _mean(weights: list[np.ndarray]) -> np.ndarray:
+    return np.mean(weights, axis=0)
 
 
 class Catalogue:
-    """The selections of each market as expressions over tails()."""
+    """The selections of each market."""
 
-    def result(self) -> list[Column]:
+    def result(self) -> list[Selection]:
         return [_priced("Resultado Final", s, w("d", 0)) for s, w in (("1", _above), ("X", _equal), ("2", _below))]
 
-    def double_chance(self) -> list[Column]:
+    def double_chance(self) -> list[Selection]:
         home, draw, away = _above("d", 0), _equal("d", 0), _below("d", 0)
         return [_priced("Doble Oportunidad", s, 1 - x, x) for s, x in (("1X", away), ("12", draw), ("X2", home))]
 
-    def draw_no_bet(self) -> list[Column]:
+    def draw_no_bet(self) -> list[Selection]:
         home, draw, away = _above("d", 0), _equal("d", 0), _below("d", 0)
         return [_priced("Apuesta sin empate", "1", home, away, draw), _priced("Apuesta sin empate", "2", away, home, draw)]
 
-    def _over(self, market: str, variable: str, line: float) -> list[Column]:
+    def _over(self, market: str, variable: str, line: float) -> list[Selection]:
         over, under, push = (_mean([f(variable, x) for x in _parts(line)]) for f in (_above, _below, _equal))
         return [_priced(market, "Mas de", over, under, push, line), _priced(market, "Menos de", under, over, push, line)]
 
-    def total(self, line: float) -> list[Column]:
+    def total(self, line: float) -> list[Selection]:
         return self._over("Total de goles", "t", line)
 
-    def asian_total(self, line: float) -> list[Column]:
+    def asian_total(self, line: float) -> list[Selection]:
         return self._over("Total asiatico", "t", line)
 
-    def team_total(self, side: str, line: float) -> list[Column]:
+    def team_total(self, side: str, line: float) -> list[Selection]:
         return self._over(f"Total de goles ({side})", "h" if side == "local" else "a", line)
 
-    def handicap_3way(self, line: float) -> list[Column]:
+    def handicap_3way(self, line: float) -> list[Selection]:
         return [_priced("Handicap 3-Way", s, w("d", -line), line=line) for s, w in (("1", _above), ("X", _equal), ("2", _below))]
 
-    def asian_handicap(self, line: float) -> list[Column]:
+    def asian_handicap(self, line: float) -> list[Selection]:
         """line in the home side's perspective."""
         win, lose, push = (_mean([f("d", -x) for x in _parts(line)]) for f in (_above, _below, _equal))
         return [_priced("Handicap asiatico", "1", win, lose, push, line), _priced("Handicap asiatico", "2", lose, win, push, line)]
 
-    def both_score(self) -> list[Column]:
-        no = _equal("h", 0) + _equal("a", 0) - _equal("t", 0)
+    def both_score(self) -> list[Selection]:
+        no = np.maximum(_equal("h", 0), _equal("a", 0))
         return [_priced("Ambos Equipos Marcaran", "Si", 1 - no), _priced("Ambos Equipos Marcaran", "No", no)]
 
-    def scores_at_least(self, side: str, n: int) -> list[Column]:
-        return [_priced(f"Marca al menos {n} ({side})", "Si", _from("h" if side == "local" else "a", n))]
-
-    def everything(self, totals: tuple[float, ...] = TOTALS, handicaps: tuple[float, ...] = HANDICAPS) -> list[Column]:
+    def scores_at_least(self, side: str, n: int) -> list[Selection]:
+        return [_priced(f"Marca al menos {n} ({side})", "Si", _above("h" if side == "local" else "a", n - 1))]
+
+    def exact_score(self, home: int, away: int) -> list[Selection]:
+        return [_priced("Resultado Correcto", f"{home}-{away}", _equal("h", home) * _equal("a", away))]
+
+    def wanted(self, market: str, selection: str, line: float | None) -> Selection | None:
+        """The selection of a name as line_request() gives it, or None."""
+        at = lambda f: f(line) if line is not None else []
+        if market == "Resultado Correcto":
+            goals = selection.split("-")
+            found = self.exact_score(*map(int, goals)) if len(goals) == 2 and all(g.isascii() and g.isdigit() and int(g) < GOALS for g in goals) else []
+        else:
+            found = {
+                "Resultado Final": self.result, "Doble Oportunidad": self.double_chance, "Apuesta sin empate": self.draw_no_bet, "Ambos Equipos Marcaran": self.both_score,
+                "Total de goles": lambda: at(self.total), "Total asiatico": lambda: at(self.asian_total), "Total de goles (local)": lambda: at(lambda x: self.team_total("local", x)), "Total de goles (visitante)": lambda: at(lambda x: self.team_total("visitante", x)),
+                "Handicap asiatico": lambda: at(self.asian_handicap), "Handicap 3-Way": lambda: at(self.handicap_3way),
+            }.get(market, list)()
+        return next((x for x in found if x.selection == selection), None)
+
+    def everything(self, totals: tuple[float, ...] = TOTALS, handicaps: tuple[float, ...] = HANDICAPS) -> list[Selection]:
         """All markets but the exact score."""
         found = self.result() + self.double_chance() + self.draw_no_bet() + self.both_score()
         for line in totals:
@@ -174,11 +200,42 @@ class Catalogue:
         return found
 
 
-def price(scores: DataFrame, selections: list[Column], key: str = "match_id") -> DataFrame:
+def price(scores: DataFrame, selections: list[Selection], key: str = "match_id") -> DataFrame:
     """key, market, selection, line, win, push, lose, p (effective probability) and fair odds, from score_rows() or a grid."""
-    rows = tails(scores, key).select(key, F.array(*selections).alias("s")).select(key, F.explode("s").alias("s")).select(key, "s.*")
-    rows = rows.withColumn("p", effective(F.col("win"), F.col("lose")))
-    return rows.withColumn("fair_odds", F.try_divide(F.lit(1.0), F.col("p")))
+    kind = scores.schema[key].dataType.simpleString()
+    n = len(selections)
+    weights = [np.column_stack([getattr(x, w) for x in selections]) for w in ("win", "push", "lose")]
+    names = [pa.array([x.market for x in selections]), pa.array([x.selection for x in selections]), pa.array([x.line for x in selections], pa.float64())]
+
+    def run(batches):
+        for batch in _slices(batches):
+            p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            win, push, lose = ((p @ w).ravel() for w in weights)
+            row, at = np.repeat(np.arange(batch.num_rows), n), pa.array(np.tile(np.arange(n), batch.num_rows))
+            played = win + lose
+            fair = np.divide(win, played, out=np.zeros_like(win), where=played > 0)
+            odds = np.divide(1.0, fair, out=np.full_like(fair, np.nan), where=fair > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(x.take(at) for x in names), *map(pa.array, (win, push, lose, fair)), pa.array(odds, from_pandas=True)], [key, "market", "selection", "line", "win", "push", "lose", "p", "fair_odds"])
+
+    return _as_rows(scores, key).select(key, "p").mapInArrow(run, f"{key} {kind}, market string, selection string, line double, win double, push double, lose double, p double, fair_odds double")
+
+
+def outcomes(rates: DataFrame) -> DataFrame:
+    """rates (lam, mu, rho, and what else they have) with p1, px, p2, over25 and btts."""
+    c = Catalogue()
+    weights = np.column_stack([*(x.win for x in c.result()), c.total(2.5)[0].win, c.both_score()[0].win])
+    names = ["p1", "px", "p2", "over25", "btts"]
+    kept = [c for c in rates.columns if c not in names]
+    schema = rates.select(*kept).schema
+    for n in names:
+        schema = schema.add(n, "double")
+
+    def run(batches):
+        for batch in _slices(batches):
+            p = cells(*(_numbers(batch, c) for c in ("lam", "mu", "rho"))) @ weights
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, from_pandas=True) for x in p.T)], [*kept, *names])
+
+    return rates.select(*kept).mapInArrow(run, schema)
 
 
 def exact_scores(grid: DataFrame, most: int = 5, least: float = 0.002, key: str = "match_id") -> DataFrame:
@@ -246,6 +303,62 @@ def value_lines(lines: DataFrame, priced: DataFrame, key: str = "match_id") -> D
     return found.withColumns({"p": effective(F.col("win"), F.col("lose")), "ev": expected_value(F.col("win"), F.col("lose"), F.col("odds"))})
 
 
+#: The columns of rates by period: of each side's goals, and the correction of low scores.
+PERIODS = {"completo": ("lam", "mu", "rho"), "primera": ("lam_ht", "mu_ht", "rho_ht"), "segunda": ("lam_st", "mu_st", "rho_st")}
+
+
+def _count_weights(mean: np.ndarray) -> np.ndarray:
+    """Counts with Poisson means, a row each, cut at COUNTS and renormalised."""
+    k = np.arange(COUNTS + 1)
+    logs = k * np.log(mean)[:, None] - np.cumsum(np.log(np.maximum(k, 1)))
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def price_lines(lines: DataFrame, rates: DataFrame, key: str = "match_id") -> DataFrame:
+    """Every bookmaker's line with its request (see line_request), covered, and win, push, lose, p and ev, null where it isn't covered.
+
+    rates has a row per match: lam and mu, and as far as there is a model for them rho, lam_ht, mu_ht, rho_ht (first half), lam_st, mu_st, rho_st
+    (second half) and corners (the mean number of corners); a missing rho counts as 0.  One join on the key brings a match's rates to its lines, and each is priced in its row,
+    at any line, from the scores of its own period."""
+    optional = lambda c: (F.col(c) if c in rates.columns else F.lit(None)).cast("double").alias(f"__{c}")
+    known = rates.select(key, *(optional(c) for names in PERIODS.values() for c in names), optional("corners"))
+    asked = lines.withColumns(line_request()).join(known, key, "left")
+    pick = lambda i: F.coalesce(*(F.when(F.col("period") == period, F.col(f"__{names[i]}")) for period, names in PERIODS.items()))
+    corners = F.col("want_market") == "Total de Tiros de Esquina"
+    kept = [*lines.columns, *line_request()]
+    rows = asked.select(*kept, F.when(~corners, pick(0)).alias("__l"), F.when(~corners, pick(1)).alias("__m"), F.coalesce(pick(2), F.lit(0.0)).alias("__r"), F.when(corners & (F.col("period") == "completo"), F.col("__corners")).alias("__c"))
+    schema = rows.select(*kept).schema
+    for n in ("win", "push", "lose"):
+        schema = schema.add(n, "double")
+
+    def run(batches):
+        catalogue = Catalogue()
+        for batch in _slices(batches):
+            lam, mu, rho, mean = (_numbers(batch, c) for c in ("__l", "__m", "__r", "__c"))
+            out = np.full((batch.num_rows, 3), np.nan)
+            asked = list(zip(*(batch.column(c).to_pylist() for c in ("want_market", "want_selection", "want_line")), strict=True))
+            goals, counts = np.flatnonzero((lam > 0) & (mu > 0)), np.flatnonzero((mean > 0) & np.array([x[2] is not None for x in asked], bool))
+            p = cells(np.minimum(lam[goals], MOST), np.minimum(mu[goals], MOST), rho[goals])
+            by: dict[tuple, list[int]] = {}
+            for at, i in enumerate(goals.tolist()):
+                by.setdefault(asked[i], []).append(at)
+            for (market, selection, line), at in by.items():
+                found = catalogue.wanted(market, selection, line) if market is not None and selection is not None else None
+                if found:
+                    out[goals[at]] = p[at] @ np.column_stack([found.win, found.push, found.lose])
+            if len(counts):
+                p, k = _count_weights(mean[counts]), np.arange(COUNTS + 1)
+                line = np.array([asked[i][2] for i in counts.tolist()])[:, None]
+                over, push, under = ((p * f).sum(axis=1) for f in (k > line, k == line, k < line))
+                is_over = np.array([asked[i][1] == "Mas de" for i in counts.tolist()])
+                out[counts] = np.column_stack([np.where(is_over, over, under), push, np.where(is_over, under, over)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, from_pandas=True) for x in out.T)], [*kept, "win", "push", "lose"])
+
+    priced = rows.mapInArrow(run, schema)
+    return priced.withColumns({"covered": F.col("win").isNotNull(), "p": effective(F.col("win"), F.col("lose")), "ev": expected_value(F.col("win"), F.col("lose"), F.col("odds"))}).withColumn("p", F.when(F.col("covered"), F.col("p")))
+
+
 def is_leg(least_odds: float = 1.5, most_odds: float = 4.0, least_ev: float = 0.02, most_gap: float = 0.06) -> Column:
     """Whether a valued line is fit for a ticket: odds in range, worth it, and not far from the bookmaker's own probability."""
     return F.col("odds").between(least_odds, most_odds) & (F.col("p") > 0) & (F.col("ev") >= least_ev) & (F.abs(F.col("p") - 1 / F.col("odds")) <= most_gap)
