@@ -234,3 +234,65 @@ def test_results_are_resolved_over_both_days(spark):
     events = spark.createDataFrame([(1, "E0", day, "Dinamo"), (2, "E0", day, "Betis")], "event_id int, league string, day date, home_name string")
     results = spark.createDataFrame([(10, "E0", day, "dinamo_alfa", 1), (11, "E0", day + datetime.timedelta(1), "dinamo_beta", 2), (12, "E0", day + datetime.timedelta(1), "betis", 3), (13, "E0", day + datetime.timedelta(2), "betis", 4)], "result_id int, league string, day date, home_name string, goals int")
     assert [(r.event_id, r.goals) for r in entity.results_for(events, results).collect()] == [(2, 3)]
+
+
+# ---- ratings
+
+
+def rated(rows, start=1500.0):
+    """One pass over all matches, whatever their leagues."""
+    elo, out = {}, {}
+    for i, _, _, h, a, x, y in sorted(rows, key=lambda r: (r[1], r[0])):
+        eh, ea = elo.get(h, start), elo.get(a, start)
+        e = 1 / (1 + 10 ** (-(eh + 60 - ea) / 400))
+        out[i] = (eh, ea, e)
+        if x is not None and y is not None:
+            move = 20 * (1 + math.log1p(abs(x - y))) * ((x > y) + 0.5 * (x == y) - e)
+            elo[h], elo[a] = eh + move, ea - move
+    return out, elo
+
+
+def fixture_list(n=260):
+    """Two leagues of four and a third one apart; team 3 is promoted halfway, and some matches aren't played."""
+    import datetime
+
+    draw = np.random.default_rng(21)
+    rows = []
+    for i in range(n):
+        league = int(draw.integers(3))
+        teams = [[0, 1, 2, 3], [4, 5, 6, 7], [20, 21, 22, 23]][league]
+        if i > n // 2 and league < 2:
+            teams = [[0, 1, 2], [3, 4, 5, 6, 7]][league]
+        h, a = map(int, draw.choice(teams, 2, replace=False))
+        x, y = (int(v) for v in draw.integers(0, 4, 2))
+        rows.append((i, datetime.datetime(2019, 1, 1) + datetime.timedelta(days=i * 4), "ABC"[league], h, a, *((None, None) if i % 17 == 5 else (x, y))))
+    return rows
+
+
+FIXTURE = "match_id long, kickoff timestamp, league string, home long, away long, home_goals int, away_goals int"
+
+
+def test_ratings_survive_promotion_and_go_on(spark):
+    from touchline.operators import elo
+
+    rows = fixture_list()
+    want, last = rated(rows)
+    found, state = elo.run(spark.createDataFrame(rows, FIXTURE))
+    got = {r.match_id: (r.home_elo, r.away_elo, r.home_expectation) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert {r.team: r.elo for r in state.collect()} == pytest.approx(last)
+    cut = [r for r in rows if r[1].year < 2021], [r for r in rows if r[1].year >= 2021]
+    _, half = elo.run(spark.createDataFrame(cut[0], FIXTURE))
+    rest, end = elo.run(spark.createDataFrame(cut[1], FIXTURE), half)
+    assert {r.team: r.elo for r in end.collect()} == pytest.approx(last)
+    assert all((r.home_elo, r.away_elo, r.home_expectation) == pytest.approx(want[r.match_id]) for r in rest.collect())
+    empty, none = elo.run(spark.createDataFrame([], FIXTURE))
+    assert empty.count() == none.count() == 0
+
+
+def test_components(spark):
+    from touchline.operators import elo
+
+    chain = [(i, i + 1) for i in range(40, 5, -1)] + [(100, 101), (101, 102), (200, None)]
+    got = {r.team: r.component for r in elo.components(spark.createDataFrame(chain, "home int, away int")).collect()}
+    assert got == {**dict.fromkeys(range(6, 42), 6), 100: 100, 101: 100, 102: 100}

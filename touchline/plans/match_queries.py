@@ -119,7 +119,16 @@ def q_match_features(t: Tables) -> DataFrame:
     return features.match_features(t.sql(PARTLY)).join(elo.ratings(t.sql(PARTLY)), "match_id")
 
 
-@query()
+#: A step rates the next match of each league, whose ratings are a list by team; the tables' teams never leave their league.
+_ELO = f"""WITH RECURSIVE m AS (SELECT league, match_id, home - league * 12 + 1 AS h, away - league * 12 + 1 AS a, home_goals AS x, away_goals AS y, row_number() OVER (PARTITION BY league ORDER BY kickoff, match_id) AS r FROM ({MATCH}) q),
+ s(league, r, match_id, eh, ea, expected, elo) AS (SELECT DISTINCT league, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, list_transform(range(12), lambda i: 1500e0) FROM m
+ UNION ALL SELECT league, r, match_id, eh, ea, expected, list_transform(elo, lambda v, i: v + CASE i WHEN h THEN move WHEN a THEN -move ELSE 0 END)
+ FROM (SELECT *, 20 * (1 + ln(1 + abs(x - y))) * (CASE WHEN x > y THEN 1 WHEN x = y THEN 0.5e0 ELSE 0 END - expected) AS move
+ FROM (SELECT *, 1 / (1 + pow(10e0, -(eh + 60 - ea) / 400)) AS expected FROM (SELECT m.*, s.elo, s.elo[m.h] AS eh, s.elo[m.a] AS ea FROM s JOIN m ON m.league = s.league AND m.r = s.r + 1) b) c) d)
+ SELECT match_id, round(eh, 6) AS home_elo, round(ea, 6) AS away_elo, round(expected, 6) AS home_expectation FROM s WHERE r > 0"""
+
+
+@query(_ELO)
 def q_elo(t: Tables) -> DataFrame:
     return rounded(elo.ratings(t.sql(MATCH)), "home_elo", "away_elo", "home_expectation")
 
