@@ -296,3 +296,21 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40, 5, -1)] + [(100, 101), (101, 102), (200, None)]
     got = {r.team: r.component for r in elo.components(spark.createDataFrame(chain, "home int, away int")).collect()}
     assert got == {**dict.fromkeys(range(6, 42), 6), 100: 100, 101: 100, 102: 100}
+
+
+# ---- medians
+
+
+@pytest.mark.parametrize("last", [1, 3, 2048])
+def test_medians_by_counting(spark, last):
+    from touchline.operators.medians import medians
+
+    draw = np.random.default_rng(41)
+    groups = {"odd": draw.normal(size=301), "even": draw.normal(size=400) * 10.0 ** draw.integers(-9, 9, 400), "ties": np.repeat([1.0, 2.0, 5.0], [40, 1, 39]), "one": np.array([7.0]), None: draw.integers(0, 4, 90) / 3, "huge": np.array([-1.7e308, 1.7e308, 1.0, 2.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("odd", None), ("none", None), ("odd", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r.k: r.median for r in medians(df, ["k"], "v", buckets=8, last=last).collect()}
+    half = lambda x: float((np.sort(x)[(len(x) - 1) // 2] / 2) + np.sort(x)[len(x) // 2] / 2)
+    assert got == pytest.approx({k: half(x) for k, x in groups.items()}, rel=1e-14)
+    assert medians(df, [], "v").first().median == pytest.approx(half(np.concatenate(list(groups.values()))))
+    assert medians(df.limit(0), ["k"], "v").count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import implied, overround
+from touchline.operators.medians import medians
 
 
 def with_implied(odds: DataFrame) -> DataFrame:
@@ -61,8 +62,9 @@ def line_movement(prices: DataFrame) -> DataFrame:
     """How far prices of an outcome (outcome_id, captured_at, odds) moved between captures; no row's worth with one capture."""
     moved = prices.groupBy("outcome_id").agg(F.count(F.lit(1)).alias("n"), F.min("odds").alias("lo"), F.max("odds").alias("hi")).where("n > 1").select(((F.col("hi") - F.col("lo")) / F.col("lo") * 100).alias("move"))
     captures = prices.agg(F.count_distinct("captured_at").alias("captures"))
-    found = moved.agg(F.count(F.lit(1)).alias("outcomes"), F.median("move").alias("median_pct"), (F.avg((F.col("move") < 0.01).cast("double")) * 100).alias("unmoved_pct"), F.count(F.when(F.col("move") > 10, 1)).alias("volatile"))
-    return captures.crossJoin(found)
+    found = moved.agg(F.count(F.lit(1)).alias("outcomes"), (F.avg((F.col("move") < 0.01).cast("double")) * 100).alias("unmoved_pct"), F.count(F.when(F.col("move") > 10, 1)).alias("volatile"))
+    middle = medians(moved, [], "move").agg(F.max("median").alias("median_pct"))
+    return captures.crossJoin(found).crossJoin(middle)
 
 
 def first_last_price(prices: DataFrame) -> DataFrame:
@@ -75,7 +77,8 @@ def offer_margins(prices: DataFrame, least: int = 30) -> DataFrame:
 
     Offers are told apart by capture too, so that repeated captures don't add up."""
     offers = prices.where("market is not null").groupBy("market", "offer_id", "captured_at").agg(F.count(F.lit(1)).alias("outcomes"), F.sum(1.0 / F.col("odds")).alias("total"), F.bool_or("is_player").alias("is_player")).where("outcomes >= 2 and total > 1 and total < 2")
-    return offers.groupBy("market").agg(F.count(F.lit(1)).alias("n_offers"), ((F.median("total") - 1) * 100).alias("margin_pct"), F.bool_or("is_player").alias("is_player")).where(F.col("n_offers") >= least)
+    counted = offers.groupBy("market").agg(F.count(F.lit(1)).alias("n_offers"), F.bool_or("is_player").alias("is_player")).where(F.col("n_offers") >= least)
+    return counted.join(medians(offers, ["market"], "total"), "market").select("market", "n_offers", ((F.col("median") - 1) * 100).alias("margin_pct"), "is_player")
 
 
 def combination_cost(packs: DataFrame, prices: DataFrame) -> DataFrame:
@@ -89,7 +92,9 @@ def combination_cost(packs: DataFrame, prices: DataFrame) -> DataFrame:
 
 def combination_summary(costs: DataFrame) -> DataFrame:
     """Ratios over all packs and by number of legs (n_legs is null in the row over all)."""
-    return costs.rollup("n_legs").agg(F.count(F.lit(1)).alias("n"), F.median("ratio").alias("median_ratio"), F.avg("ratio").alias("mean_ratio"), (F.avg((F.col("ratio") < 0.99).cast("double")) * 100).alias("below_pct"), (F.avg((F.col("ratio") > 1.01).cast("double")) * 100).alias("above_pct"))
+    middle = medians(costs.unionByName(costs.withColumn("n_legs", F.lit(None).cast(costs.schema["n_legs"].dataType))), ["n_legs"], "ratio").select(F.col("n_legs").alias("__n"), F.col("median").alias("median_ratio"))
+    rows = costs.rollup("n_legs").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("mean_ratio"), (F.avg((F.col("ratio") < 0.99).cast("double")) * 100).alias("below_pct"), (F.avg((F.col("ratio") > 1.01).cast("double")) * 100).alias("above_pct"))
+    return rows.join(middle, F.col("n_legs").eqNullSafe(F.col("__n")), "left").select("n_legs", "n", "median_ratio", "mean_ratio", "below_pct", "above_pct")
 
 
 def extreme_ratios(costs: DataFrame, n: int = 5) -> DataFrame:

@@ -252,14 +252,24 @@ def count_market(means: DataFrame, lines: list[float], key: str = "match_id", mo
     return rows.select(key, found.alias("s")).select(key, "s.*")
 
 
-def line_request() -> dict[str, Column]:
+_NAMED = ("market", "label", "participant", "home_name", "away_name")
+
+
+def requested(lines: DataFrame) -> DataFrame:
+    """lines with the columns of line_request(), whose names are brought to their normal form once a row."""
+    rows = lines.withColumns({f"__{c}": market_normal(F.col(c)) for c in _NAMED}).withColumn("__base", market_base(F.col("__market")))
+    given = {c: F.col(f"__{c}") for c in (*_NAMED, "base")}
+    return rows.withColumns(line_request(given)).drop("__base", *(f"__{c}" for c in _NAMED))
+
+
+def line_request(given: dict[str, Column] | None = None) -> dict[str, Column]:
     """What a bookmaker's line (market, label, participant, home_name, away_name, line) asks of the catalogue.
 
-    period, base; want_market, want_selection and want_line, null where the line isn't covered; side of the backed team."""
-    normal = market_normal(F.col("market"))
-    base = market_base(normal)
-    label, who = market_normal(F.col("label")), market_normal(F.col("participant"))
-    home, away = market_normal(F.col("home_name")), market_normal(F.col("away_name"))
+    period, base; want_market, want_selection and want_line, null where the line isn't covered; side of the backed team.  given has the
+    normal forms of the names and the base, if they are at hand; see requested()."""
+    given = given or {c: market_normal(F.col(c)) for c in _NAMED}
+    normal, label, who, home, away = (given[c] for c in _NAMED)
+    base = given.get("base", market_base(normal))
     line, at_home = F.col("line"), (who != "") & (who == home)
     over = F.when(label.startswith("mas"), "Mas de").otherwise("Menos de")
     team = F.trim(F.regexp_replace(base, "^.*total de goles de", ""))
@@ -296,7 +306,7 @@ def line_request() -> dict[str, Column]:
 
 def value_lines(lines: DataFrame, priced: DataFrame, key: str = "match_id") -> DataFrame:
     """Bookmaker's lines joined with the priced selection (per key and period) that they ask for; uncovered lines drop out."""
-    asked = lines.withColumns(line_request()).where("want_market is not null")
+    asked = requested(lines).where("want_market is not null")
     got = priced.select(F.col(key).alias("__k"), F.col("period").alias("__p"), F.col("market").alias("__m"), F.col("selection").alias("__s"), F.col("line").alias("__l"), "win", "push", "lose")
     same = (F.col(key) == F.col("__k")) & (F.col("period") == F.col("__p")) & (F.col("want_market") == F.col("__m")) & (F.col("want_selection") == F.col("__s")) & F.col("want_line").eqNullSafe(F.col("__l"))
     found = asked.join(got, same).drop("__k", "__p", "__m", "__s", "__l")
@@ -323,7 +333,7 @@ def price_lines(lines: DataFrame, rates: DataFrame, key: str = "match_id") -> Da
     at any line, from the scores of its own period."""
     optional = lambda c: (F.col(c) if c in rates.columns else F.lit(None)).cast("double").alias(f"__{c}")
     known = rates.select(key, *(optional(c) for names in PERIODS.values() for c in names), optional("corners"))
-    asked = lines.withColumns(line_request()).join(known, key, "left")
+    asked = requested(lines).join(known, key, "left")
     pick = lambda i: F.coalesce(*(F.when(F.col("period") == period, F.col(f"__{names[i]}")) for period, names in PERIODS.items()))
     corners = F.col("want_market") == "Total de Tiros de Esquina"
     kept = [*lines.columns, *line_request()]

@@ -111,13 +111,48 @@ _WANTED = [
 
 @query(_RAW + ", s AS (" + " UNION ALL ".join(_WANTED) + f"), o AS ({OFFERED}), v AS (SELECT o.match_id, outcome_id, odds, win / (win + lose) AS p, win * (odds - 1) - lose AS ev FROM o JOIN s ON o.match_id = s.match_id AND outcome_id % 10 = s.selection::INT) SELECT match_id, outcome_id, odds, round(p, 6) AS p, round(ev, 6) AS ev, odds BETWEEN 1.5 AND 4.0 AND p > 0 AND ev >= 0.02 AND abs(p - 1 / odds) <= 0.06 AS leg FROM v")
 def q_line_values(t: Tables) -> DataFrame:
-    c = pricing.Catalogue()
-    selections = c.result() + c.total(2.5) + c.asian_handicap(-0.5) + c.team_total("visitante", 1.5) + c.double_chance()
-    priced = pricing.price(_scores_of(t), selections).withColumn("period", F.lit("completo"))
-    valued = pricing.value_lines(t.sql(OFFERED), priced)
+    valued = pricing.price_lines(t.sql(OFFERED), t.sql(RATES).withColumn("rho", F.lit(_RHO))).where("covered")
     return rounded(valued.select("match_id", "outcome_id", "odds", "p", "ev", pricing.is_leg().alias("leg")), "p", "ev")
 
 
+# every market that is priced: its name, label, participant and line, and over h, a, d and t what wins and what returns the stake (conditions separated by | are averaged)
+_EVERY = [
+    ("Resultado Final", "1", None, None, "d > 0", ""), ("Resultado", "X", None, None, "d = 0", ""), ("Resultado Final", "2", None, None, "d < 0", ""),
+    ("Doble Oportunidad", "1 o X", None, None, "d >= 0", ""), ("Doble Oportunidad", "12", None, None, "d <> 0", ""), ("Doble Oportunidad", "X o 2", None, None, "d <= 0", ""),
+    ("Apuesta sin empate", "x", "home", None, "d > 0", "d = 0"), ("Apuesta sin empate", "x", "away", None, "d < 0", "d = 0"),
+    ("Ambos Equipos Marcarán", "Sí", None, None, "h > 0 AND a > 0", ""), ("Ambos equipos marcan", "No", None, None, "h = 0 OR a = 0", ""),
+    ("Resultado Correcto", "2-1", None, None, "h = 2 AND a = 1", ""), ("Resultado Correcto", "0 - 3", None, None, "h = 0 AND a = 3", ""),
+    ("Total de goles", "Más de", None, 2.5, "t > 2.5", ""), ("Total de goles", "Menos de", None, 11.0, "t < 11", "t = 11"), ("Total asiático", "Más de", None, 2.25, "t > 2|t > 2.5", "t = 2|t = 2.5"),
+    ("Total de goles de Real", "Más de", None, 1.5, "h > 1.5", ""), ("Total de goles de Deportivo", "Menos de", None, 1.0, "a < 1", "a = 1"),
+    ("Hándicap asiático", "x", "home", -0.75, "d > 0.5|d > 1", "d = 0.5|d = 1"), ("Hándicap asiático", "x", "away", 0.5, "d < 0.5", ""), ("Hándicap", "x", "away", -1.0, "d < -1", "d = -1"),
+    ("Hándicap 3-Way", "1", None, -1.0, "d > 1", ""), ("Hándicap 3-Way", "X", None, -1.0, "d = 1", ""), ("Hándicap 3-Way", "2", None, 1.0, "d < -1", ""),
+    ("Total de Tiros de Esquina", "Más de", None, 9.5, "", ""), ("Total de Tiros de Esquina", "Menos de", None, 10.0, "", ""), ("Tarjetas", "x", None, None, "", ""),
+]
+_OF = "SELECT match_id, lam, mu, -0.05e0 AS rho, lam * 0.45e0 AS lam_ht, mu * 0.4e0 AS mu_ht, 0.04e0 AS rho_ht, lam * 0.55e0 AS lam_st, mu * 0.6e0 AS mu_st, 0e0 AS rho_st, 8e0 + match_id % 50 / 1e1 AS corners FROM (" + RATES + ") u"
+_CELL = lambda x, kind: f"CAST(NULL AS {kind})" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}e0"
+_TABLE = " UNION ALL ".join(f"SELECT {k} AS k, '{m}' AS name, '{s}' AS label, {_CELL(who, 'VARCHAR(10)')} AS who, {_CELL(x, 'DOUBLE')} AS line" for k, (m, s, who, x, _, _) in enumerate(_EVERY))
+#: Each match's lines, each in one of the three periods.
+_EVERY_LINE = f"""SELECT match_id, match_id * 100 + k AS outcome_id, 'Real' AS home_name, 'Deportivo' AS away_name, label, line, 1.3e0 + (match_id + k) % 30 / 1e1 AS odds,
+ name || CASE (match_id + k) % 3 WHEN 0 THEN '' WHEN 1 THEN ' - 1ª parte' ELSE ' - 2ª parte' END AS market, CASE who WHEN 'home' THEN 'Real' WHEN 'away' THEN 'Deportivo' END AS participant FROM ({RATES}) u, ({_TABLE}) v"""
+_SHARE = lambda w: "(" + " + ".join(f"coalesce(sum(p) FILTER ({x}), 0)" for x in w.split("|")) + f") / {len(w.split('|'))}" if w else "0"
+_EVERY_SQL = f"""WITH z AS ({_OF}), r AS (SELECT match_id, 0 AS part, lam, mu, rho FROM z UNION ALL SELECT match_id, 1, lam_ht, mu_ht, rho_ht FROM z UNION ALL SELECT match_id, 2, lam_st, mu_st, rho_st FROM z),
+ c AS (SELECT r.*, h, a FROM r, (SELECT unnest(range(10)) AS h) x, (SELECT unnest(range(10)) AS a) y),
+ w AS (SELECT match_id, part, h, a, greatest(exp(-lam) * pow(lam, h) / {_FACT.format(k="h")} * exp(-mu) * pow(mu, a) / {_FACT.format(k="a")} * CASE WHEN h = 0 AND a = 0 THEN 1 - lam * mu * rho WHEN h = 0 AND a = 1 THEN 1 + lam * rho WHEN h = 1 AND a = 0 THEN 1 + mu * rho WHEN h = 1 AND a = 1 THEN 1 - rho ELSE 1 END, 0) AS raw FROM c),
+ g AS (SELECT match_id, part, h, a, h - a AS d, h + a AS t, raw / sum(raw) OVER (PARTITION BY match_id, part) AS p FROM w),
+ s AS (SELECT match_id, part, [{", ".join(_SHARE(x[4]) for x in _EVERY)}] AS win, [{", ".join(_SHARE(x[5]) for x in _EVERY)}] AS push FROM g GROUP BY match_id, part),
+ n AS (SELECT match_id, k, exp(-corners + k * ln(corners) - lgamma(k + 1)) AS p FROM z, (SELECT unnest(range(31)) AS k) x),
+ e AS (SELECT match_id, sum(p) FILTER (k > 9.5) / sum(p) AS over_9, sum(p) FILTER (k < 10) / sum(p) AS under_10, sum(p) FILTER (k = 10) / sum(p) AS push_10 FROM n GROUP BY match_id),
+ v AS (SELECT o.match_id, outcome_id, odds, outcome_id % 100 AS k, (o.match_id + outcome_id % 100) % 3 AS part FROM ({_EVERY_LINE}) o),
+ q AS (SELECT v.match_id, outcome_id, odds, CASE WHEN k = 25 OR k >= 23 AND v.part > 0 THEN NULL WHEN k = 23 THEN over_9 WHEN k = 24 THEN under_10 ELSE win[k + 1] END AS win, CASE WHEN k = 24 THEN push_10 WHEN k = 23 THEN 0 ELSE push[k + 1] END AS push FROM v JOIN s ON v.match_id = s.match_id AND v.part = s.part JOIN e ON v.match_id = e.match_id)
+ SELECT match_id, outcome_id, win IS NOT NULL AS covered, round(win, 6) AS win, CASE WHEN win IS NOT NULL THEN round(1 - win - push, 6) + 0e0 END AS lose, round(win * (odds - 1) - (1 - win - push), 6) + 0e0 AS ev FROM q"""
+
+
+@query(_EVERY_SQL)
+def q_line_periods(t: Tables) -> DataFrame:
+    """Lines of every market in the whole match and in either half; those without a model are marked."""
+    return rounded(pricing.price_lines(t.sql(_EVERY_LINE), t.sql(_OF)).select("match_id", "outcome_id", "covered", "win", "lose", "ev"), "win", "lose", "ev")
+
+
 # legs of each match: market, selection, line, period, side
 _LEGS = (
     ("Resultado Final", "1", None, "completo", None), ("Resultado Final", "X", None, "primera", None), ("Doble Oportunidad", "1X", None, "completo", None), ("Apuesta sin empate", "2", None, "completo", None),
