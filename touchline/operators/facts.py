@@ -64,3 +64,9 @@ def client_rendered(html: Column) -> Column:
 def extraction_state(html: Column, n_chars: Column) -> Column:
     """ok, js_rendered or texto_insuficiente."""
     return F.when(n_chars >= TEXT_LEAST, "ok").when(client_rendered(html), "js_rendered").otherwise("texto_insuficiente")
+
+
+def counters(rows: DataFrame, bucket: Column, *keys: Column) -> DataFrame:
+    """How often each key that isn't null came up in each bucket, in one pass; a row may count for several keys."""
+    found = rows.select(bucket.alias("bucket"), F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    return found.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -22,13 +22,18 @@ def session(name: str = "touchline", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and written to spark.checkpoint.dir, which all executors share; where that is unset, to an own folder in local mode, and an error on a cluster."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder below spark.checkpoint.dir that driver and executors share; where that is unset, an own one in local mode, and an error on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="touchline-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

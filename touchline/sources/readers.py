@@ -42,18 +42,20 @@ def match_file(league: str, season: str) -> str:
 
 
 def kickoff(day: Column, time: Column) -> Column:
-    """dd/MM/yyyy or dd/MM/yy and HH:mm as ISO text; 15:00 without a usable time; null without a day."""
-    date = F.coalesce(F.try_to_date(F.trim(day), "dd/MM/yyyy"), F.try_to_date(F.trim(day), "dd/MM/yy"))
+    """dd/MM/yyyy or dd/MM/yy (69 to 99 are of the last century) and HH:mm as ISO text; 15:00 without a usable time; null without a day."""
+    short = F.try_to_date(F.trim(day), "dd/MM/yy")
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    date = F.coalesce(F.try_to_date(F.trim(day), "dd/MM/yyyy"), short)
     usable = F.trim(time).rlike(r"^([01]?\d|2[0-3]):[0-5]\d")
     hour = F.when(usable, F.regexp_extract(F.trim(time), r"^(\d{1,2}:\d{2})", 1)).otherwise("15:00")
     return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T"), F.lpad(hour, 5, "0"), F.lit(":00Z"))
 
 
 def csv_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Match CSVs as text columns by their headers, with the league and season that the path names."""
+    """Match CSVs as text columns by their headers, with the league that the path names; a CSV may also be a folder of parts, E0.csv/part-0.csv."""
     rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(paths)
     path = F.input_file_name()
-    return rows.withColumns({"league": F.regexp_extract(path, r"([^/]+)\.csv$", 1), "__file": path})
+    return rows.withColumns({"league": F.regexp_extract(path, r"([^/]+)\.csv(?:/[^/]+)?$", 1), "__file": path})
 
 
 def matches_from_csv(rows: DataFrame) -> DataFrame:
