@@ -570,6 +570,45 @@ def test_secret_parts_overlap(monkeypatch):
     assert spans == {t for t in ("".join(texts)[a:b] for k, a, b in secrets.find("".join(texts)) if k == "assign")}
 
 
+@pytest.mark.parametrize("front", ["x ", "", "word/", "ab_cdefghijklmnopq/", "words\n", "longer-words-than-that\n"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress])
+@pytest.mark.parametrize("width", [0, 76])
+def test_secret_in_long_runs(monkeypatch, front, pack, width):
+    """A base64 run that is far longer than a part stays whole, with a secret at its end, as it does in one part."""
+    import base64
+
+    if width and front.endswith("/"):
+        pytest.skip("over lines a run is read from the first character of a line only")
+    encode = lambda data: base64.b64encode(data).decode()
+    inner = encode(pack(random.Random(3).randbytes(90_000 if pack is zlib.compress else 900) + b" words" * (1 if pack is zlib.compress else 12_000) + b" password=hunter2hunter2 "))
+    if width:
+        inner = "\n".join(inner[i : i + width] for i in range(0, len(inner), width))
+    text = f"head {encode((front + inner + ' tail').encode())} tail"
+    whole = {x[:3] for x in secrets.scan(text)}
+    assert ("assign", 5, len(text) - 5) in whole
+    monkeypatch.setattr(secrets, "PIECE", 2_000)
+    monkeypatch.setattr(secrets, "CHUNK", 512)
+    assert {x[:3] for x in secrets.scan(text)} == whole
+
+
+def test_secrets_in_runs_beside_each_other(monkeypatch):
+    """Long runs one after the other, each of which is cut, and escapes between them."""
+    import base64
+
+    encode = lambda data: base64.b64encode(data).decode()
+    runs = [encode(zlib.compress(random.Random(k).randbytes(9_000) + b" %d AKIA" % k + b"ABCDEFGHIJKL%d " % k)) for k in range(5)]
+    text = encode(" ".join([*runs, "secret%3Dabcdefghijklmnop", *runs[::-1]]).encode())
+    layers = lambda: sorted({x[3] for x in secrets.scan(text)})
+    seen = []
+    monkeypatch.setattr(secrets, "find", lambda layer, find=secrets.find: [seen.append(layer[a:b]) or (k, a, b) for k, a, b in find(layer)])
+    want = layers(), set(seen)
+    assert len([x for x in want[1] if x.startswith("AKIA")]) == 5 and any(x.startswith("secret=") for x in want[1])
+    seen.clear()
+    monkeypatch.setattr(secrets, "PIECE", 1_000)
+    monkeypatch.setattr(secrets, "CHUNK", 256)
+    assert (layers(), set(seen)) == want
+
+
 @pytest.mark.parametrize(("width", "end"), [(64, "\n"), (76, "\n"), (76, "\r\n")])
 def test_secret_in_wrapped_base64(width, end):
     import base64

@@ -12,7 +12,11 @@ Base64 runs are read in all alignments in which a part behind a separator (/, -,
 each separator.  Layers needn't be text: bytes that aren't UTF-8 become replacement characters, and the rest is scanned.
 Compressed streams are opened with all their members and whatever their size, in pieces of PIECE characters that
 are cut where no finding or layer can go on.  A run of over 4 * PIECE characters without such a place is cut with an
-overlap of PIECE; only a layer within it that is longer than the overlap is then seen in parts.  A base64 run goes on over single line breaks.
+overlap of PIECE, and a base64 run that reaches over the cut is decoded as a stream, from the layer's source read again, so that what it
+holds stays whole whatever its length.  Only an escape run (%41%42...) of more than PIECE characters within such a layer is seen in parts.
+A base64 run goes on over single line breaks; over several lines it is read from the first character of its first or second line.  Behind a separator a stream counts only if it opens; other data there is part of its alignment's.
+
+Of hexadecimal runs in a reading from behind a separator, those of fewer than DISTINCT different characters are left out.
 
 Findings of an escape come from that escape's characters, those of a base64 run from the whole run.  Ties: of the same finding by
 several ways the first way counts.  Very long texts are scanned whole; a layer keeps one span, not one for each character.
@@ -26,7 +30,7 @@ import itertools
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,11 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"(?<![0-9a-f])[0-9a-f]
 _URL, _UNICODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_GOES_ON = re.compile(r"(?:[A-Za-z0-9+/_-]++|\r?\n(?=[A-Za-z0-9+/_-]))*+")
 _SEPARATOR = re.compile(r"[+/_-]")
+_LINE, _FIRST = re.compile(r"\r?\n"), re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
+#: What ends a base64 run: another character, or an empty line.
+_ENDS = re.compile(r"[^A-Za-z0-9+/_\r\n-]|(?<=\n)\n|(?<=\n\r)\n|(?<=\r)(?=[^\n])")
 #: Characters that no finding and no layer contains.
 _OUTSIDE = re.compile(r"[^A-Za-z0-9+/_.=:%\\\"'\x20\r\n\u017f\u212a-]")
 _CODE = re.compile(r"\\[ux]([0-9A-Fa-f]+)")
@@ -172,37 +180,71 @@ def _opened(chunks: Iterator[bytes]) -> Iterator[bytes]:
     yield from _opened(itertools.chain([first], inner))
 
 
-def _texts(data: bytes) -> Iterator[str]:
-    """The text of the data, opened if it is packed."""
+def _opens(data: memoryview) -> bool:
+    """Whether a stream begins here that gives anything before its first fault."""
+    try:
+        stream = zlib.decompressobj(47)
+        return len(stream.decompress(data[:CHUNK], 1)) > 0 or not stream.eof and len(data) > CHUNK
+    except zlib.error:
+        return False
+
+
+def _chunks(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + CHUNK] for i in range(0, len(data), CHUNK))
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The text of the chunks, opened if they are packed."""
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    for chunk in _opened(data[i : i + CHUNK] for i in range(0, len(data), CHUNK)):
+    for chunk in _opened(chunks):
         yield decoder.decode(chunk)
     yield decoder.decode(b"", True)
 
 
-def _parts(texts: Iterator[str]) -> Iterator[str]:
-    """The text in parts of about PIECE characters, cut where nothing goes on."""
-    held, size = [], 0
+def _last(pattern: re.Pattern, text: str, low: int, high: int) -> int:
+    """Where the last match between two places ends; the lower one without any."""
+    width = 64
+    while high > low:
+        start = max(high - width, low)
+        if ends := [m.end() for m in pattern.finditer(text, start, high)]:
+            return ends[-1]
+        high, width = start, min(2 * width, CHUNK)
+    return low
+
+
+class Part(str):
+    """A part of a layer: the character that it begins with, and whether something goes on over its start and its end."""
+
+    at, begun, goes_on = 0, False, False
+
+    @classmethod
+    def of(cls, text: str, at: int, begun: bool, goes_on: bool) -> Part:
+        part = cls(text)
+        part.at, part.begun, part.goes_on = at, begun, goes_on
+        return part
+
+
+def _parts(texts: Iterator[str]) -> Iterator[Part]:
+    """The text in parts of about PIECE characters, cut where nothing goes on.  Parts between which there is no such place overlap by PIECE."""
+    held, size, at, begun, wait = [], 0, 0, False, PIECE
     for text in texts:
         held.append(text)
         size += len(text)
-        if size < PIECE:
+        if size < wait:
             continue
         whole = "".join(held)
-        last = None
-        for at in range(len(whole), 0, -CHUNK):
-            for last in _OUTSIDE.finditer(whole, max(at - CHUNK, 0), at):
-                pass
-            if last:
-                break
+        last, kept = _last(_OUTSIDE, whole, 0, len(whole)), len(whole)
         if last:
-            yield whole[: last.end()]
-            whole = whole[last.end() :]
+            yield Part.of(whole[:last], at, begun, False)
+            kept, begun, wait = len(whole) - last, False, PIECE
         elif size > 4 * PIECE:
-            yield whole
-            whole = whole[-PIECE:]
-        held, size = [whole], len(whole)
-    yield "".join(held)
+            yield Part.of(whole, at, begun, True)
+            kept, begun, wait = PIECE, True, 2 * PIECE
+        else:
+            wait = 2 * size
+        at += len(whole) - kept
+        held, size = [whole[len(whole) - kept :]], kept
+    yield Part.of("".join(held), at, begun, False)
 
 
 def _bytes(run: str) -> bytes:
@@ -212,10 +254,60 @@ def _bytes(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
+def _decoded(source: Callable[[], Iterator[str]], start: int) -> Iterator[bytes]:
+    """What the base64 run at that character of a layer encodes, over single line breaks, in chunks."""
+    body, gap = "", ""
+    for text in source():
+        if start >= len(text):
+            start -= len(text)
+            continue
+        text, start = gap + text[start:], 0
+        end = _GOES_ON.match(text).end()
+        body, gap = body + "".join(text[:end].split()), text[end:]
+        whole = len(body) // 4 * 4
+        yield _bytes(body[:whole])
+        body = body[whole:]
+        if gap not in ("", "\r", "\n", "\r\n"):
+            break
+    yield _bytes(body)
+
+
+def _reaching(layer: str, low: int) -> int | None:
+    """Where the base64 run begins that reaches the layer's end, over single line breaks."""
+    m = _FIRST.search(layer, _last(_ENDS, layer, low, len(layer)))
+    return m and m.start()
+
+
+def _long_starts(run: str, at: int, first: int, known: dict[int, int]) -> Iterator[int]:
+    """Characters of a layer at which readings of its run begin that reaches over a cut; `run` is what a part that begins at `at` has of it, `first` the
+    run's first character.  Starts are chosen as in _readings, and known has the first one of each alignment; a run over lines is read from
+    its first and from its second line."""
+    if line := _LINE.search(run):
+        for place in (at, at + line.end()) if at == first and not known else ():
+            known[place - at] = place
+            yield place
+        return
+    local: dict[int, tuple[int, memoryview]] = {}
+    for start in (0, *(m.end() for m in _SEPARATOR.finditer(run))):
+        place = at + start
+        if start == 0 and place != first or len(run) - start < 16:
+            continue
+        turn = (place - first) % 4
+        if turn not in known:
+            known[turn] = place
+            yield place
+        elif place > known[turn]:
+            if turn not in local:
+                local[turn] = start, memoryview(_bytes(run[start:]))
+            data = local[turn][1][(start - local[turn][0]) // 4 * 3 :]
+            if _packed(data[:3]) and _opens(data):
+                yield place
+
+
 def _is_text(data: bytes) -> bool:
     """Whether the data, opened, is text but for a few characters."""
     size = odd = 0
-    for text in _texts(data):
+    for text in _texts(_chunks(data)):
         size, odd = size + len(text), odd + len(_ODD.findall(text))
     return size > 0 and odd <= 0.05 * size
 
@@ -233,12 +325,14 @@ def _readings(run: str) -> Iterator[tuple[bytes, bool]]:
         else:
             first, data = known[start % 4]
             at = (start - first) // 4 * 3
-            if _packed(data[at : at + 3]):
+            if _packed(data[at : at + 3]) and _opens(memoryview(data)[at:]):
                 yield data[at:], True
 
 
 def _runs(layer: str) -> Iterator[tuple[int, int, bytes, bool]]:
     """Start, end and data of base64 runs, and whether they are read from behind a separator: first those over several lines, of which the first or last line may be another word, then others."""
+    if not _FIRST.search(layer):
+        return
     known: list[tuple[int, int]] = []
     for m in _WRAPPED.finditer(layer):
         lines = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"[^\r\n]+", m[0])]
@@ -261,30 +355,66 @@ def _runs(layer: str) -> Iterator[tuple[int, int, bytes, bool]]:
                 yield m.start(), m.end(), data, behind
 
 
+def _beside(pattern: re.Pattern, layer: str) -> str:
+    """The stretches of a layer between characters that nothing contains, of which those with a match."""
+    if not _OUTSIDE.search(layer):
+        return layer
+    found, at = [], 0
+    for m in pattern.finditer(layer):
+        if m.start() < at:
+            continue
+        begin, end = _last(_OUTSIDE, layer, at, m.start()), _OUTSIDE.search(layer, m.end())
+        at = end.end() if end else len(layer)
+        found.append(layer[begin:at])
+    return "".join(found)
+
+
 def scan(text: str) -> list[tuple[str, int, int, str]]:
     """All findings as kind, start, end and the path of layers ("" for the base), by start, kind and end."""
     found: dict[Span, str] = {}
-    todo, seen = deque([(iter([text]), Origin(), "", False)]), set()
+    todo, seen = deque([(lambda: iter([text]), Origin(), "", False)]), set()
     while todo:
-        parts, origin, path, shifted = todo.popleft()
+        source, origin, path, shifted = todo.popleft()
+        # a text, and what its escapes give, is one part; only data of base64 runs is read in several
+        parts = _parts(source()) if origin.span_ else map(Part, source())
+        chain, long_run, starts, waiting = b"", None, {}, []
         for layer in parts:
-            key = xxhash.xxh3_128_digest(layer.encode("utf-8", "surrogatepass")), origin.key()
+            at, begun, goes_on = layer.at, layer.begun, layer.goes_on
+            chain = xxhash.xxh3_128_digest((chain if begun else b"") + layer.encode("utf-8", "surrogatepass"))
+            low, high, key = 0, len(layer), (chain, origin.key(), goes_on)
+            if begun:
+                low = _GOES_ON.match(layer).end()
+                if low and long_run is not None and long_run <= at:
+                    waiting += [(start, True) for start in _long_starts(layer[:low], at, long_run, starts)]
+            if goes_on and low < high:
+                start = _reaching(layer, low)
+                if start is None or at + start != long_run:
+                    long_run, starts = None if start is None else at + start, {}
+                if start is not None:
+                    high = start
+                    waiting += [(x, x > long_run) for x in _long_starts(layer[high:], at + high, long_run, starts)]
             if not layer or key in seen:
                 continue
             seen.add(key)
+            todo.extend((_stream(source, start), origin, f"{path}/base64", shifted or behind) for start, behind in waiting)
+            waiting = []
             for kind, a, b in find(layer):
                 if kind == "hex" and shifted and len(set(layer[a:b])) < DISTINCT:
                     continue
                 found.setdefault((kind, *origin.span(a, b)), path)
             for name, mark, pattern, decode in (("url", "%", _URL, _url), ("unicode", "\\", _UNICODE, _codes)):
                 if mark in layer and pattern.search(layer):
-                    new, whence = _unescaped(pattern, decode, layer, origin)
-                    todo.append((iter([new]), whence, f"{path}/{name}", shifted))
-            for a, b, data, behind in _runs(layer):
-                todo.append((_parts(_texts(data)), Origin(span=origin.span(a, b)), f"{path}/base64", shifted or behind))
+                    new, whence = _unescaped(pattern, decode, _beside(pattern, layer) if origin.span_ else layer, origin)
+                    todo.append((lambda new=new: iter([new]), whence, f"{path}/{name}", shifted))
+            for a, b, data, behind in _runs(layer if (low, high) == (0, len(layer)) else layer[low:high]):
+                todo.append((lambda data=data: _texts(_chunks(data)), Origin(span=origin.span(low + a, low + b)), f"{path}/base64", shifted or behind))
     return sorted(((*k, p) for k, p in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _stream(source: Callable[[], Iterator[str]], start: int) -> Callable[[], Iterator[str]]:
+    return lambda: _texts(_decoded(source, start))
+
+
 def may_hold(data: bytes) -> bool:
     """False only where neither a layer nor a finding is possible: every one has a key word, an escape or a run of 16 characters."""
     lower = data.lower()
