@@ -32,6 +32,25 @@ def q_score_grid(t: Tables) -> DataFrame:
     return rounded(_grid(t), "p", digits=8)
 
 
+@query(_RAW + "SELECT match_id, " + ", ".join(f"round(sum(p) FILTER ({x}), 6) AS {n}" for n, x in (("p1", "d > 0"), ("px", "d = 0"), ("p2", "d < 0"), ("over25", "t > 2"), ("btts", "h > 0 AND a > 0"))) + " FROM g GROUP BY 1")
+def q_goal_outcomes(t: Tables) -> DataFrame:
+    """A match's forecasts: result, over 2.5 goals, both sides score."""
+    names = ("p1", "px", "p2", "over25", "btts")
+    return rounded(pricing.outcomes(t.sql(RATES).withColumn("rho", F.lit(_RHO))).select("match_id", *names), *names)
+
+
+#: Strengths by team; one team of each league has none.
+_STRENGTH = f"SELECT DISTINCT home AS team, 3e0 * (home % 7) / 1e1 AS attack, (home % 5 - 2) / 1e1 AS defence FROM ({MATCH}) q WHERE home % 12 <> 5"
+
+
+@query(f"""WITH s AS ({_STRENGTH}) SELECT match_id, round(least(exp(coalesce(x.attack, 0) + coalesce(y.defence, -0.05) + 0.25), 8), 6) AS lam, round(least(exp(coalesce(y.attack, 0) + coalesce(x.defence, -0.05)), 8), 6) AS mu
+ FROM ({MATCH}) m LEFT JOIN s x ON x.team = home LEFT JOIN s y ON y.team = away""")
+def q_expected_goals(t: Tables) -> DataFrame:
+    """Expected goals from strengths; a team without one is an average one."""
+    found = pricing.expected_goals(t.sql(MATCH), t.sql(_STRENGTH), F.lit(0.25), F.lit(-0.05))
+    return rounded(found.select("match_id", "lam", "mu"), "lam", "mu")
+
+
 def _selection(market: str, name: str, line: float | None, win: str, push: str = "false", lose: str | None = None) -> str:
     """One selection's probabilities as a row of DuckDB's SQL; conditions over d, t, h and a, several ones separated by | are averaged."""
     mean = lambda w: "(" + " + ".join(f"coalesce(sum(p) FILTER ({x}), 0)" for x in w.split("|")) + f") / {len(w.split('|'))}"
