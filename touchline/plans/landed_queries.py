@@ -364,20 +364,22 @@ def q_model_inputs(t: Tables) -> DataFrame:
 # ---- streams over the files of a table
 
 
-def _streamed(t: Tables, of, name: str) -> DataFrame:
-    """What a stream over the events' files has written once all are read."""
+def _streamed(t: Tables, of, name: str, mode: str = "append") -> DataFrame:
+    """What a stream over the events' files has written once all are read; in update mode a folder for each batch."""
     base, out = _folder(t.spark), _folder(t.spark)
     t("events").select("event_id", "user_id", "ts", "value").repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
     rows = streams.captures(t.spark, f"{base}/in", "event_id long, user_id long, ts timestamp, value double")
-    running = of(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").queryName(f"{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    found = of(rows).writeStream
+    sink = found.format("parquet").option("path", out) if mode == "append" else found.foreachBatch(lambda part, k: part.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    running = sink.option("checkpointLocation", f"{base}/state").outputMode(mode).queryName(f"{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     running.awaitTermination()
     return t.spark.read.parquet(out)
 
 
 @query("SELECT user_id, min(ts) AS first FROM events GROUP BY 1")
 def q_stream_first_seen(t: Tables) -> DataFrame:
-    """Keys once each: the watermark outlasts the table's days, so none is forgotten."""
-    return _streamed(t, lambda rows: streams.first_seen(rows, "user_id", "ts", "36500 days"), "first").groupBy("user_id").agg(F.min("ts").alias("first"))
+    """Keys with their earliest row; of those that a later batch corrects the earliest counts."""
+    return _streamed(t, lambda rows: streams.earliest(rows, "user_id", "ts"), "first", "update").groupBy("user_id").agg(F.min("ts").alias("first"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, user_id % 5 AS k, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

@@ -18,10 +18,19 @@ def captures(spark: SparkSession, path: str, schema: str, files_per_trigger: int
 
 
 def first_seen(rows: DataFrame, key: str, event_time: str, late: str = "1 day") -> DataFrame:
-    """The first row of each key; keys are remembered until the watermark passes them."""
+    """One row of each key, of those that arrive together any one; keys are remembered until the watermark passes them.  See earliest()."""
     return rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
 
 
+def earliest(rows: DataFrame, key: str, event_time: str) -> DataFrame:
+    """The row of each key that is earliest so far, for update mode: a key comes again when a still earlier row of it arrives.
+
+    The state is a row per key and is never forgotten; of rows at the same time the one with the least other columns counts."""
+    others = [event_time, *(c for c in rows.columns if c not in (key, event_time))]
+    first = F.min(F.when(F.col(event_time).isNotNull(), F.struct(*others)))
+    return rows.groupBy(key).agg(first.alias("__first")).select(key, *(F.col(f"__first.{c}").alias(c) for c in others))
+
+
 def windowed(rows: DataFrame, event_time: str, width: str, keys: list[str], value: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Count, mean, least and greatest of a value by window and keys; late rows within the watermark count."""
     w = F.window(event_time, width, slide) if slide else F.window(event_time, width)
