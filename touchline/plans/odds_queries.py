@@ -68,8 +68,16 @@ COSTS = f"""WITH p AS ({_PACKS}), l AS ({_LEG_PRICES}), x AS (SELECT pack_id, od
  c AS (SELECT pack_id, max(x.odds) AS pack_odds, count(*) AS n_legs, product(l.odds) AS product, max(x.odds) / product(l.odds) AS ratio FROM x LEFT JOIN l ON leg = outcome_id GROUP BY pack_id HAVING count(*) = count(l.odds)) """
 
 
+def _leg_prices(t: Tables) -> DataFrame:
+    """Odds are summed as decimals, so that a mean of just 3.35 isn't below it in one order of rows and not in another."""
+    total = F.sum(F.col("odds").cast("decimal(18,6)"))
+    below = total < F.count("odds") * F.lit("3.35").cast("decimal(3,2)")
+    rows = t.sql(SNAPSHOT).groupBy("outcome_id").agg(F.max("odds").alias("odds"), below.alias("__below"))
+    return rows.where("__below").select("outcome_id", F.lit("2024").alias("captured_at"), "odds")
+
+
 def costs(t: Tables) -> DataFrame:
-    return market.combination_cost(t.sql(_PACKS), t.sql(_LEG_PRICES))
+    return market.combination_cost(t.sql(_PACKS), _leg_prices(t))
 
 
 @query(COSTS + "SELECT pack_id, n_legs, pack_odds, round(product, 6) AS product, round(ratio, 6) AS ratio FROM c")
