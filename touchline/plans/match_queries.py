@@ -165,8 +165,8 @@ _NAMES = """SELECT CASE s_suppkey % 4 WHEN 0 THEN replace(s_name, '#', ' ') WHEN
 def q_entity(t: Tables) -> DataFrame:
     names = t.sql(f"SELECT name FROM ({_NAMES}) q")
     slugs = t.sql(f"SELECT slug FROM ({_SLUGS}) q")
-    real = entity.resolve(names.where("name not like '% Real'"), slugs)
-    within = entity.resolve(names.where("name like '% Real'"), slugs)
+    real = entity.resolve(names.where("name not like '% Real'"), slugs, closest=False)
+    within = entity.resolve(names.where("name like '% Real'"), slugs, closest=False)
     return real.unionByName(within).select("name", "slug", "method")
 
 
