@@ -37,3 +37,8 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over spark.sql.shuffle.partitions tasks, before work that makes many rows of each or takes long: a file's few row groups would be as few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
