@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.session import spread
+
 MATCH = """SELECT o_orderkey AS match_id, o_orderkey % 4 AS league, CAST(year(o_orderdate) AS INT) AS season, o_orderdate AS kickoff,
  (o_orderkey % 4) * 12 + o_custkey % 12 AS home,
  (o_orderkey % 4) * 12 + (o_custkey % 12 + 1 + CAST(floor(o_orderkey / 4e0) AS BIGINT) % 11) % 12 AS away,
@@ -44,10 +46,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        """sha256(x) is sha2(x, 256) in Spark."""
+    def sql(self, text: str, dealt: bool = False) -> DataFrame:
+        """sha256(x) is sha2(x, 256) in Spark; the base tables' rows are dealt over all tasks first, if many rows are made of each."""
         text = text.replace("sha256(text)", "sha2(text, 256)")
-        return self.spark.sql(text, **{t: self(t) for t in _TABLES if "{" + t + "}" in text})
+        return self.spark.sql(text, **{t: spread(self(t)) if dealt else self(t) for t in _TABLES if "{" + t + "}" in text})
 
 
 def duck(text: str) -> str:
