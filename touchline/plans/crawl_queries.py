@@ -140,12 +140,12 @@ def q_cache_upsert(t: Tables) -> DataFrame:
 
 @query()
 def q_page_text(t: Tables) -> DataFrame:
-    return t("pages").select("page_id", pages.text_of("html").alias("t")).select("page_id", "t.*")
+    return pages.bounded(t("pages")).select("page_id", pages.text_of("html").alias("t")).select("page_id", "t.*")
 
 
 @query()
 def q_page_facts(t: Tables) -> DataFrame:
-    rows = t("pages").select("url", "html", pages.text_of("html").alias("t"))
+    rows = pages.bounded(t("pages")).select("url", "html", pages.text_of("html").alias("t"))
     return facts.text_facts(rows, F.col("t.text"), F.lit("2024-01-01T00:00:00Z")).drop("n_chars")
 
 
