@@ -320,7 +320,7 @@ def q_seed_records(t: Tables) -> DataFrame:
 @query("SELECT v.league, v.country, v.level, count(*) AS n FROM (VALUES " + ", ".join(f"({k}, '{x[0]}', '{x[2]}', {x[3]})" for k, x in enumerate(dimensions.LEAGUES)) + ") v(k, league, country, level) JOIN orders o ON o.o_orderkey % 9 = v.k GROUP BY 1, 2, 3")
 def q_league_levels(t: Tables) -> DataFrame:
     code = F.get(F.array(*(F.lit(x[0]) for x in dimensions.LEAGUES)), (F.col("o_orderkey") % 9).cast("int"))
-    rows = t("orders").select(code.alias("league")).join(dimensions.leagues(t.spark), "league")
+    rows = t("orders").select(code.alias("league")).join(F.broadcast(dimensions.leagues(t.spark)), "league")
     return rows.groupBy("league", "country", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
