@@ -42,13 +42,17 @@ _PLAYED = f"""SELECT match_id, league, kickoff, home_goals, away_goals, home_sho
  FROM ({MATCH}) q"""
 _AT = "CASE WHEN match_id % 5 < 2 THEN '15:00' ELSE hour END"
 _KEY = "substr(sha256('L' || league || '|' || CAST(kickoff AS VARCHAR)[1:10] || '|' || lower(replace(home_name, ' ', '_')) || '|' || lower(replace(away_name, ' ', '_'))), 1, 24)"
+#: Parts of a season's CSV of a league.
+_CSV_PARTS = 8
 _VALID = "home_name IS NOT NULL AND home_name <> away_name AND letter <> 'X'"
 
 
 def _csv_rows(t: Tables) -> DataFrame:
     """The rows of a CSV for each season and league, below one folder, read again."""
     path, day = _folder(t.spark), F.col("kickoff").cast("date")
+    # each season and league is written by a few tasks, and each task writes few files
     rows = t.sql(_PLAYED)
+    rows = rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "began", "league", F.pmod(F.xxhash64("match_id"), F.lit(_CSV_PARTS)))
     row = rows.select(
         F.concat(F.lpad(F.pmod("began", F.lit(100)), 2, "0"), F.lpad(F.pmod(F.col("began") + 1, F.lit(100)), 2, "0")).alias("folder"), F.concat(F.lit("L"), "league", F.lit(".csv")).alias("file"),
         F.when(F.col("match_id") % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd/MM/yy")).alias("Date"), F.col("hour").alias("Time"), F.col("home_name").alias("HomeTeam"), F.col("away_name").alias("AwayTeam"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.odds import decimal_odds, whole
-from touchline.functions.text import match_key, season_label, season_start, team_slug
+from touchline.functions.text import match_key, season_label, season_start, slugs_key, team_slug
 from touchline.operators import feed
 from touchline.operators.matches import invalid_reason
 
@@ -55,7 +55,17 @@ def csv_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Match CSVs as text columns by their headers, with the league that the path names; a CSV may also be a folder of parts, E0.csv/part-0.csv."""
     rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(paths)
     path = F.input_file_name()
-    return rows.withColumns({"league": F.regexp_extract(path, r"([^/]+)\.csv(?:/[^/]+)?$", 1), "__file": path})
+    last, above = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    named = lambda c: c.endswith(".csv") & (F.length(c) > 4)
+    stem = lambda c: F.left(c, F.length(c) - 4)
+    # no regular expression, which would try each place of a long path in each row
+    return rows.withColumns({"league": F.when(named(above), stem(above)).when(named(last), stem(last)).otherwise(""), "__file": path})
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row: filters and columns built on them read their values instead of repeating their expressions."""
+    once = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__x")
+    return rows.select("*", once).withColumns({n: F.col(f"__x.{n}") for n in columns}).drop("__x")
 
 
 def matches_from_csv(rows: DataFrame) -> DataFrame:
@@ -63,13 +73,13 @@ def matches_from_csv(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     start = kickoff(text("Date"), text("Time"))
-    named = rows.where("coalesce(HomeTeam, '') <> '' and coalesce(AwayTeam, '') <> ''").withColumn("kickoff", start).where("kickoff is not null")
-    day = F.to_date(F.substring("kickoff", 1, 10))
-    found = named.select(
-        match_key(F.col("league"), F.col("kickoff"), F.col("HomeTeam"), F.col("AwayTeam")).alias("match_id"), "league", season_label(season_start(day)).alias("season"), "kickoff",
-        team_slug(F.col("HomeTeam")).alias("home"), team_slug(F.col("AwayTeam")).alias("away"), F.col("HomeTeam").alias("home_name"), F.col("AwayTeam").alias("away_name"),
-        F.nullif(text("FTR"), F.lit("")).alias("result"), *(whole(text(c)).alias(n) for c, n in MATCH_COUNTS.items()), F.nullif(text("Referee"), F.lit("")).alias("referee"), F.substring("kickoff", 1, 10).alias("day"),
-    )
+    named = computed(rows.where("coalesce(HomeTeam, '') <> '' and coalesce(AwayTeam, '') <> ''"), kickoff=start).where("kickoff is not null")
+    named = computed(named, home=team_slug(F.col("HomeTeam")), away=team_slug(F.col("AwayTeam")), day=F.substring("kickoff", 1, 10))
+    counts = {n: whole(text(c)) for c, n in MATCH_COUNTS.items()}
+    found = computed(
+        named, match_id=slugs_key(F.col("league"), F.col("kickoff"), F.col("home"), F.col("away")), season=season_label(season_start(F.to_date("day"))), home_name=F.col("HomeTeam"), away_name=F.col("AwayTeam"),
+        result=F.nullif(text("FTR"), F.lit("")), referee=F.nullif(text("Referee"), F.lit("")), **counts,
+    ).select("match_id", "league", "season", "kickoff", "home", "away", "home_name", "away_name", "result", *counts, "referee", "day")
     return found.where(invalid_reason().isNull())
 
 
@@ -87,7 +97,7 @@ def odds_from_csv(rows: DataFrame) -> DataFrame:
     quotes = [quote(b, "1x2", f"{p}H", f"{p}D", f"{p}A", none) for p, b in BOOKS_1X2]
     quotes += [quote(b, "ou25", f"{p}>2.5", None, f"{p}<2.5", F.lit(2.5)) for p, b in BOOKS_TOTAL]
     quotes += [quote(b, "ah", f"{p}AHH", None, f"{p}AHA", text("AHCh").try_cast("double")) for p, b in BOOKS_HANDICAP]
-    named = rows.where("coalesce(HomeTeam, '') <> '' and coalesce(AwayTeam, '') <> ''").withColumn("kickoff", start).where("kickoff is not null")
+    named = computed(rows.where("coalesce(HomeTeam, '') <> '' and coalesce(AwayTeam, '') <> ''"), kickoff=start).where("kickoff is not null")
     found = named.select(match_key(F.col("league"), F.col("kickoff"), F.col("HomeTeam"), F.col("AwayTeam")).alias("match_id"), "kickoff", F.explode(F.array(*quotes)).alias("q")).select("match_id", "kickoff", "q.*")
     return found.where("odds_1 is not null and odds_2 is not null and (market <> '1x2' or odds_x is not null)")
 
