@@ -27,43 +27,81 @@ def _split(line: Column, margin) -> Column:
     return _pair(mean(lambda m: m > 0), mean(lambda m: m == 0))
 
 
-def settle() -> Column:
-    """struct(won, returned) of a row with a leg's and its match's columns."""
+#: What read_legs() makes of a leg's text: how it settles, its selection, period and side as numbers, and an exact score as text.
+TERMS = "__terms"
+_KINDS = ("result", "double", "no_draw", "both", "exact", "team_total", "total", "three_way", "handicap")
+_PERIODS, _SIDES = ("completo", "primera", "segunda"), ("local", "visitante")
+
+
+def read_legs(legs: DataFrame) -> DataFrame:
+    """Legs with a column TERMS, all that settling needs of their text.  It may be added to the few texts that many legs are made of."""
     market, sel = market_normal(F.col("market")), market_normal(F.col("selection"))
-    period = F.coalesce(F.col("period"), F.lit("completo"))
-    score = lambda s: F.when(period == "completo", F.col(f"{s}_goals")).when(period == "primera", F.col(f"{s}_goals_ht")).when(period == "segunda", F.col(f"{s}_goals") - F.col(f"{s}_goals_ht"))
-    h, a = score("home"), score("away")
-    d, line, side = h - a, F.col("line"), F.col("side")
-    real = lambda x: F.when(x > 0, "1").when(x < 0, "2").otherwise("x")
-    over = F.when(sel.startswith("mas"), 1).otherwise(-1)
-    team = F.when(side == "local", h).when(side == "visitante", a)
-    own = F.when(side == "local", d).when(side == "visitante", -d)
-    number = lambda c: c.cast("double")
-    rule = (
+    rows = legs.select("*", F.explode(F.array(F.struct(market.alias("market"), sel.alias("sel")))).alias("__t"))
+    market, sel = F.col("__t.market"), F.col("__t.sel")
+    side, number = F.col("side"), lambda x: F.lit(_KINDS.index(x)).cast("tinyint")
+    kind = (
         F.when(market.contains("esquina") | market.contains("corner"), None)
-        .when(market.contains("resultado final") | (market == "resultado"), _pair(sel == real(d)))
-        .when(market.contains("doble oportunidad"), _pair(F.contains(sel, real(d))))
-        .when(market.contains("sin empate"), _pair((d != 0) & (sel == real(d)), d == 0))
-        .when(market.contains("ambos equipos"), _pair(((h > 0) & (a > 0)) == sel.startswith("s")))
-        .when(market.contains("resultado correcto"), _pair(F.replace(sel, F.lit(" "), F.lit("")) == F.concat_ws("-", h.cast("int"), a.cast("int"))))
-        .when(market.contains("total de goles de") | (market.startswith("total") & side.isNotNull()), F.when(team.isNotNull() & line.isNotNull(), _split(line, lambda x: (number(team) - x) * over)))
-        .when(market.startswith("total"), F.when(line.isNotNull(), _split(line, lambda x: (number(h + a) - x) * over)))
-        .when(market.contains("handicap 3-way"), F.when(line.isNotNull(), _pair(sel == real(number(d) + line))))
-        .when(market.contains("handicap"), F.when(line.isNotNull() & own.isNotNull(), _split(line, lambda x: number(own) + x)))
+        .when(market.contains("resultado final") | (market == "resultado"), number("result"))
+        .when(market.contains("doble oportunidad"), number("double"))
+        .when(market.contains("sin empate"), number("no_draw"))
+        .when(market.contains("ambos equipos"), number("both"))
+        .when(market.contains("resultado correcto"), number("exact"))
+        .when(market.contains("total de goles de") | (market.startswith("total") & side.isNotNull()), number("team_total"))
+        .when(market.startswith("total"), number("total"))
+        .when(market.contains("handicap 3-way"), number("three_way"))
+        .when(market.contains("handicap"), number("handicap"))
     )
+    # bits: is 1, 2 or x; has 1, 2 or x; begins with s; begins with mas
+    flags = [sel == "1", sel == "2", sel == "x", sel.contains("1"), sel.contains("2"), sel.contains("x"), sel.startswith("s"), sel.startswith("mas")]
+    bits = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(flags)), F.lit(0)).cast("smallint")
+    place = lambda c, names: F.when(c == names[0], F.lit(0)).when(c == names[1], F.lit(1)).when(c == names[-1], F.lit(len(names) - 1)).cast("tinyint")
+    period = place(F.coalesce(F.col("period"), F.lit("completo")), _PERIODS)
+    exact = F.when(kind == number("exact"), F.replace(sel, F.lit(" "), F.lit("")))
+    return rows.withColumn(TERMS, F.struct(kind.alias("kind"), bits.alias("bits"), period.alias("period"), place(side, _SIDES).alias("side"), exact.alias("exact"))).drop("__t")
+
+
+def settle() -> Column:
+    """struct(won, returned) of a row with a leg's TERMS and line and its match's columns."""
+    kind, bits, period, side = (F.col(f"{TERMS}.{c}") for c in ("kind", "bits", "period", "side"))
+    score = lambda s: F.when(period == 0, F.col(f"{s}_goals")).when(period == 1, F.col(f"{s}_goals_ht")).when(period == 2, F.col(f"{s}_goals") - F.col(f"{s}_goals_ht"))
+    h, a = score("home"), score("away")
+    d, line = h - a, F.col("line")
+    has = lambda bit: bits.bitwiseAND(bit) > 0
+    real = lambda x, first=0: F.when(x > 0, has(1 << first)).when(x < 0, has(2 << first)).otherwise(has(4 << first))
+    over = F.when(has(128), 1).otherwise(-1)
+    team = F.when(side == 0, h).when(side == 1, a)
+    own = F.when(side == 0, d).when(side == 1, -d)
+    number = lambda c: c.cast("double")
+    rules = {
+        "result": _pair(real(d)),
+        "double": _pair(real(d, 3)),
+        "no_draw": _pair((d != 0) & real(d), d == 0),
+        "both": _pair(((h > 0) & (a > 0)) == has(64)),
+        "exact": _pair(F.col(f"{TERMS}.exact") == F.concat_ws("-", h.cast("int"), a.cast("int"))),
+        "team_total": F.when(team.isNotNull() & line.isNotNull(), _split(line, lambda x: (number(team) - x) * over)),
+        "total": F.when(line.isNotNull(), _split(line, lambda x: (number(h + a) - x) * over)),
+        "three_way": F.when(line.isNotNull(), _pair(real(number(d) + line))),
+        "handicap": F.when(line.isNotNull() & own.isNotNull(), _split(line, lambda x: number(own) + x)),
+    }
+    rule = F.lit(None)
+    for k, name in reversed(list(enumerate(_KINDS))):
+        rule = F.when(kind == k, rules[name]).otherwise(rule)
     return F.when(h.isNotNull() & a.isNotNull(), rule)
 
 
 def settle_legs(legs: DataFrame, scores: DataFrame, key: str = "event_id") -> DataFrame:
-    """Legs with won, returned and payout per unit; null where the match or the rule is missing."""
-    rows = legs.join(scores.select(key, "home_goals", "away_goals", "home_goals_ht", "away_goals_ht"), key, "left").withColumn("__s", settle())
-    rows = rows.withColumns({"won": F.col("__s.won"), "returned": F.col("__s.returned")}).drop("__s")
+    """Legs with won, returned and payout per unit; null where the match or the rule is missing.  Legs with TERMS aren't read again."""
+    legs = legs if TERMS in legs.columns else read_legs(legs)
+    rows = legs.join(scores.select(key, "home_goals", "away_goals", "home_goals_ht", "away_goals_ht"), key, "left")
+    rows = rows.select("*", F.explode(F.array(settle())).alias("__s")).withColumns({"won": F.col("__s.won"), "returned": F.col("__s.returned")}).drop("__s", TERMS)
     return rows.withColumn("payout", F.col("won") * F.col("odds") + F.col("returned"))
 
 
 def settle_tickets(legs: DataFrame, scores: DataFrame, ticket: str = "ticket_id") -> DataFrame:
-    """Tickets all of whose legs settle: payout (the product of the legs'), net return, and whether it paid."""
-    rows = settle_legs(legs, scores).groupBy(ticket).agg(F.count(F.lit(1)).alias("n_legs"), F.count("payout").alias("n_settled"), F.product("payout").alias("payout"))
+    """Tickets all of whose legs settle: payout (the product of the legs', in the order of their events), net return, and whether it paid."""
+    leg = F.collect_list(F.struct("event_id", "payout"))
+    rows = settle_legs(legs, scores).groupBy(ticket).agg(F.count(F.lit(1)).alias("n_legs"), F.count("payout").alias("n_settled"), leg.alias("payout"))
+    rows = rows.withColumn("payout", F.aggregate(F.sort_array("payout"), F.lit(1.0), lambda product, x: product * x["payout"]))
     return rows.where("n_legs = n_settled").select(ticket, "n_legs", "payout", (F.col("payout") - 1).alias("net"), (F.col("payout") > 1).alias("paid"))
 
 
