@@ -1,7 +1,7 @@
 """Quality rules: exact rule statistics of each text and an isolation forest over them.
 
-The forest is grown without labels from a bounded sample (SAMPLE rows).  The score beyond which a document is anomalous is
-set by the labels of that sample, each half of it scored by a forest that was grown from the other half alone.
+The forest is grown without labels; its trees hold PER_TREE labelled documents each, as the method has it (see grown()).  The score
+beyond which a document is anomalous is set by all labels, each half of them scored by a forest that was grown from the other half alone.
 Statistics cover every whole text.
 
 Nulls: a null text counts as empty (all statistics 0, base_failed).  A null id is kept as it is.
@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_sample, column_bytes, pieces, small_batches
+from touchline.llm.common import BROADCAST_IDS, bounded_sample, column_bytes, pieces, small_batches, staged
 from touchline.llm.docstats import COUNTS, RATIOS, text_stats
 
-#: Labelled documents that the forest and its threshold see at most.
-SAMPLE = 6000
 TREES, PER_TREE, DEPTH = 100, 256, 8
 #: The ratios that the forest splits on: rules of junk, none of which goes with a language or a kind of content.
 RULES = [len(COUNTS) + RATIOS.index(x) for x in ("symbols", "pipes", "upper", "stops", "marks", "word_length", "repeats", "distinct")]
 #: Share of the good labelled documents that a threshold may reject.
 GOOD_LOST = 0.005
+#: Steps of a score, from 0 to 1, in which scores are counted for the threshold.
+STEPS = 1_000_000
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -99,29 +99,65 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return np.array(rows["stats"].tolist(), float).reshape(len(rows), len(COUNTS) + len(RATIOS)), rows["label"].to_numpy(int)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[IsolationForest | None, float]:
-    """The forest and the score beyond which a document is anomalous (above 1: never)."""
-    stats, label = labelled_stats(docs, labels, "quality", sample)
-    if len(stats) < 8:
-        return None, 2.0
-    usable = ~base_failed(stats)
-    ratios, label = stats[usable][:, RULES], label[usable]
-    if len(ratios) < 8 or not (label == 1).any():
+def labelled_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label, half (0 or 1) and RULES of every labelled document that passes the base rules (of an id with several labels, the least)."""
+    small_batches(docs.sparkSession)
+    keys = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    keys = staged(keys.groupBy("doc_id").agg(F.min("label").alias("label")))
+    small = keys.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(keys) if small else keys, "doc_id")
+
+    def run(batches):
+        for batch in pieces(batches):
+            stats = np.array([text_stats(x) for x in column_bytes(batch, "text")]).reshape(batch.num_rows, len(COUNTS) + len(RATIOS))
+            ok = np.flatnonzero(~base_failed(stats))
+            kept = batch.take(pa.array(ok, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("label"), kept.column("text_hash"), pa.array(list(stats[ok][:, RULES]), pa.list_(pa.float64()))], ["doc_id", "label", "text_hash", "ratios"])
+
+    rows = texts.select("doc_id", "label", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, label int, text_hash long, ratios array<double>")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", "ratios"), "text_hash").alias("x"))
+    return staged(one.select("doc_id", "x.label", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)).alias("half"), "x.ratios"))
+
+
+def grown(rows: DataFrame) -> IsolationForest | None:
+    """A forest whose trees have PER_TREE rows each, the method's own subsamples: they draw them from as many rows as all trees hold, those of the least hashes."""
+    drawn = bounded_sample(rows, "doc_id", TREES * PER_TREE).select("ratios").toPandas()["ratios"].tolist()
+    return IsolationForest(np.array(drawn, float)) if len(drawn) >= 4 else None
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest | None, float]:
+    """The forest and the score beyond which a document is anomalous (above 1: never).
+
+    Every labelled document is scored by the forest of the half that it isn't in, and the threshold comes from counts of all
+    these scores: by label and score in steps of 1 / STEPS."""
+    rows = labelled_ratios(docs, labels)
+    if rows.count() < 8 or rows.where("label = 1").isEmpty():
         return None, 2.0
-    forest, half, scores = IsolationForest(ratios), np.arange(len(ratios)) % 2, np.zeros(len(ratios))
-    for k in (0, 1):
-        scores[half == k] = IsolationForest(ratios[half != k]).score(ratios[half == k])
-    good, bad = np.sort(scores[label == 1]), scores[label != 1]
-    least = good[min(len(good) - 1, int(np.ceil(len(good) * (1 - GOOD_LOST))))]
+    halves = [grown(rows.where(F.col("half") != k)) for k in (0, 1)]
+    forest = grown(rows)
+    halves = [h or forest for h in halves]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ratios, half = np.array(batch.column("ratios").to_pylist(), float), batch.column("half").to_numpy()
+                scores, good = np.where(half == 0, halves[0].score(ratios), halves[1].score(ratios)), batch.column("label").to_numpy() == 1
+                # a threshold mustn't lose good rows by the forest that judges in the end either
+                scores[good] = np.maximum(scores[good], forest.score(ratios[good]))
+                yield pa.RecordBatch.from_arrays([pa.array(good), pa.array(np.ceil(scores * STEPS).astype(np.int64))], ["good", "step"])
+
+    counts = rows.select("label", "half", "ratios").mapInArrow(run, "good boolean, step long").groupBy("step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas().sort_values("step")
+    step, good, bad = (counts[c].to_numpy() for c in ("step", "good", "bad"))
+    good_over, bad_over = good.sum() - np.cumsum(good), bad.sum() - np.cumsum(bad)
     # among the thresholds that lose few good rows, the one that parts the two labels best
-    cuts = np.unique(np.append(bad[bad > least] - 1e-9, least))
-    gain = [(bad > c).mean() - (good > c).mean() if len(bad) else 0.0 for c in cuts]
-    return forest, float(cuts[int(np.argmax(gain))])
+    gain = bad_over / max(bad.sum(), 1) - good_over / good.sum()
+    gain[good_over > GOOD_LOST * good.sum()] = -2.0
+    return forest, float(step[int(np.argmax(gain))]) / STEPS
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, the COUNTS, anomaly score, base_failed and kept."""
-    forest, threshold = fit_rules(docs, labels, sample)
+    forest, threshold = fit_rules(docs, labels)
 
     def run(batches):
         for batch in pieces(batches):
