@@ -83,10 +83,10 @@ def offer_margins(prices: DataFrame, least: int = 30) -> DataFrame:
 
 def combination_cost(packs: DataFrame, prices: DataFrame) -> DataFrame:
     """Per pack (pack_id, captured_at, legs as comma-joined ids, odds) all of whose legs have a price in its capture: product of the
-    legs' odds and the pack's odds over it."""
+    legs' odds and the pack's odds (the highest, where its rows differ) over it."""
     legs = packs.select("pack_id", "captured_at", F.col("odds").alias("pack_odds"), F.explode(F.transform(F.filter(F.split("legs", ","), lambda x: x != ""), lambda x: x.cast("bigint"))).alias("outcome_id"))
     priced = legs.join(prices.groupBy("captured_at", "outcome_id").agg(F.max("odds").alias("leg_odds")), ["captured_at", "outcome_id"], "left")
-    whole = priced.groupBy("pack_id", "captured_at").agg(F.first("pack_odds").alias("pack_odds"), F.count(F.lit(1)).alias("n_legs"), F.count("leg_odds").alias("n_priced"), F.product("leg_odds").alias("product"))
+    whole = priced.groupBy("pack_id", "captured_at").agg(F.max("pack_odds").alias("pack_odds"), F.count(F.lit(1)).alias("n_legs"), F.count("leg_odds").alias("n_priced"), F.product("leg_odds").alias("product"))
     return whole.where("n_legs = n_priced").select("pack_id", "captured_at", "n_legs", "pack_odds", "product", (F.col("pack_odds") / F.col("product")).alias("ratio"))
 
 
