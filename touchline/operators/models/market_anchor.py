@@ -40,8 +40,8 @@ def moments(x: np.ndarray, offset: np.ndarray, y: np.ndarray, w: np.ndarray) ->
     grad = x.T @ (p - np.eye(3)[y])
     curve = np.empty((3, d, 3, d))
     for k in range(3):
-        for m in range(3):
-            curve[k, :, m] = (x * (p[:, k] * ((k == m) - p[:, m]))[:, None]).T @ x
+        for m in range(k, 3):
+            curve[k, :, m] = curve[m, :, k] = (x * (p[:, k] * ((k == m) - p[:, m]))[:, None]).T @ x
     return np.concatenate([[loss], grad.T.ravel(), curve.ravel()])
 
 
