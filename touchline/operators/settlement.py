q_ledger_summary, q_settle_tickets, q_settle_legs: legs' terms travel to the scores as columns, not as a struct

Symptom: the largest shuffle of q_ledger_summary is that of its legs on their way to the scores.
Evidence: at 6 times sf0.1 11.7 million legs took 214.8 of 410.1 MB written (own run, local, 8 cores); each row held its five terms as a nested struct with a header and an offset of its own.
Fix: settle_legs joins the terms as plain columns; settle reads them by name.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1218 -> 1100 s, shuffle 4.84 -> 4.10 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.17 GB, longest task 22 -> 19 s, most memory of a task 478 -> 487 MB; at 6 GB of input CPU 6562 -> 4370 s, shuffle 29.10 -> 25.05 GB, spill 0.00 -> 0.00 GB, read 1.02 -> 1.02 GB, longest task 25 -> 18 s, most memory of a task 554 -> 487 MB; with hot keys, at 1 GB of input CPU 1477 -> 1129 s, shuffle 4.91 -> 4.12 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.17 GB, longest task 32 -> 21 s, most memory of a task 478 -> 487 MB.

@@ -8,6 +8,8 @@ handicap is in the perspective of the backed team.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,9 @@ def read_legs(legs: DataFrame) -> DataFrame:
     return rows.withColumn(TERMS, F.struct(kind.alias("kind"), bits.alias("bits"), period.alias("period"), place(side, _SIDES).alias("side"), exact.alias("exact"))).drop("__t")
 
 
-def settle() -> Column:
-    """struct(won, returned) of a row with a leg's TERMS and line and its match's columns."""
-    kind, bits, period, side = (F.col(f"{TERMS}.{c}") for c in ("kind", "bits", "period", "side"))
+def settle(term: Callable[[str], Column] = lambda c: F.col(f"{TERMS}.{c}")) -> Column:
+    """struct(won, returned) of a row with a leg's terms and line and its match's columns; term gives a term by its name."""
+    kind, bits, period, side = (term(c) for c in ("kind", "bits", "period", "side"))
     score = lambda s: F.when(period == 0, F.col(f"{s}_goals")).when(period == 1, F.col(f"{s}_goals_ht")).when(period == 2, F.col(f"{s}_goals") - F.col(f"{s}_goals_ht"))
     h, a = score("home"), score("away")
     d, line = h - a, F.col("line")
@@ -77,7 +79,7 @@ def settle() -> Column:
         "double": _pair(real(d, 3)),
         "no_draw": _pair((d != 0) & real(d), d == 0),
         "both": _pair(((h > 0) & (a > 0)) == has(64)),
-        "exact": _pair(F.col(f"{TERMS}.exact") == F.concat_ws("-", h.cast("int"), a.cast("int"))),
+        "exact": _pair(term("exact") == F.concat_ws("-", h.cast("int"), a.cast("int"))),
         "team_total": F.when(team.isNotNull() & line.isNotNull(), _split(line, lambda x: (number(team) - x) * over)),
         "total": F.when(line.isNotNull(), _split(line, lambda x: (number(h + a) - x) * over)),
         "three_way": F.when(line.isNotNull(), _pair(real(number(d) + line))),
@@ -92,8 +94,12 @@ def settle() -> Column:
 def settle_legs(legs: DataFrame, scores: DataFrame, key: str = "event_id") -> DataFrame:
     """Legs with won, returned and payout per unit; null where the match or the rule is missing.  Legs with TERMS aren't read again."""
     legs = legs if TERMS in legs.columns else read_legs(legs)
+    # terms travel to the scores as columns of their own: as a struct, with its own header in each row, they take more shuffle
+    terms = {c: f"__t_{c}" for c in legs.schema[TERMS].dataType.names}
+    legs = legs.withColumns({to: F.col(f"{TERMS}.{c}") for c, to in terms.items()}).drop(TERMS)
     rows = legs.join(scores.select(key, "home_goals", "away_goals", "home_goals_ht", "away_goals_ht"), key, "left")
-    rows = rows.select("*", F.explode(F.array(settle())).alias("__s")).withColumns({"won": F.col("__s.won"), "returned": F.col("__s.returned")}).drop("__s", TERMS)
+    settled = settle(lambda c: F.col(terms[c]))
+    rows = rows.select("*", F.explode(F.array(settled)).alias("__s")).withColumns({"won": F.col("__s.won"), "returned": F.col("__s.returned")}).drop("__s", *terms.values())
     return rows.withColumn("payout", F.col("won") * F.col("odds") + F.col("returned"))
 
 
